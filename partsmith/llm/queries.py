@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, url_filter
+from . import bpe, exact_dedup, mixing, simhash, url_filter
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_simhash": simhash.op5_simhash,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
 }
