@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 MIN_CHUNK, MAX_CHUNK = 256, 2048
 
 #: From short to wide. The first that is one-to-one on the corpus's chunks is used.
@@ -57,18 +59,16 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", identi
     """One row per input row: key, keep_id, group_size, kept, text_sha256.
 
     Of rows with equal texts, the one with the largest key stays. Groups are pre-aggregated before
-    the shuffle; the join that hands each row its group's survivor is a sort-merge join, whose hot
-    recipes adaptive execution splits.
+    the shuffle, and only those of two rows or more are joined to their rows: by broadcast if their
+    table proves small, else by a sort-merge join whose hot recipes adaptive execution splits.
     """
     rows = recipes(docs, key, text, identifiers)
     groups = rows.groupBy("recipe").agg(F.max(key).alias("keep_id"), F.count("*").alias("group_size"))
-    return rows.join(groups.hint("merge"), "recipe").select(
-        key,
-        "keep_id",
-        "group_size",
-        F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"),
-        "text_sha256",
+    copied = materialize(groups.where("group_size > 1"), "exact-groups")
+    found = rows.join(copied, "recipe", "left").select(
+        key, F.when(F.col("group_size").isNull(), F.col(key)).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "text_sha256"
     )
+    return found.select(key, "keep_id", "group_size", F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
