@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, simhash, url_filter
+from . import bpe, embedding_dedup, exact_dedup, mixing, secrets, simhash, url_filter, warc
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_simhash": simhash.op5_simhash,
+    "op6_warc": warc.op6_warc,
+    "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
+    "op8_secrets": secrets.op8_secrets,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
 }
