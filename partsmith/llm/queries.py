@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, mixing, secrets, simhash, toxicity, url_filter, warc
+from . import bpe, brown_lm, embedding_dedup, exact_dedup, mixing, secrets, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_mixing": mixing.op2_mixing,
+    "op3_brown_lm": brown_lm.op3_brown_lm,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_simhash": simhash.op5_simhash,
     "op6_warc": warc.op6_warc,

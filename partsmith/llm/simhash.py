@@ -173,6 +173,12 @@ def simhash_components(docs: DataFrame, n: int = WORDS, radius: int = RADIUS, ke
     return rows.join(named.hint("merge"), "fp").select(key, "fp", "component_id")
 
 
+def survivors(docs: DataFrame, n: int = WORDS, radius: int = RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The input's rows with one document of each component, that of its name; all columns as they came."""
+    names = simhash_components(docs, n, radius, key, text).select(F.col("component_id").alias("_name")).distinct()
+    return docs.join(names, F.col(key).eqNullSafe(F.col("_name")), "left_semi")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
