@@ -168,7 +168,7 @@ def _flags(c):
 
 
 _SEGMENTS = f"""{ctes('f_parts')}, s AS (SELECT id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS text FROM (SELECT id, list_filter(string_split(regexp_replace(nomenclature_clean, '(?i)(\\b(?:optional|replace)\\b)', chr(1) || chr(2) || '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS l FROM f_parts))
-SELECT id, i AS pos, replace(text, chr(2), '') AS text, starts_with(text, chr(2)) AS hit FROM s"""
+SELECT id, i::INTEGER AS pos, replace(text, chr(2), '') AS text, starts_with(text, chr(2)) AS hit FROM s"""
 
 
 @query("highlight_segments", _SEGMENTS)
@@ -200,6 +200,6 @@ def _batch_contains(c):
     return S.batch_contains(c.f_parts, c.f_aliases, c.f_queries).groupBy("qid").agg(F.count("*").alias("hits"), F.min("id").alias("first_id"), F.sum("rank").alias("ranks"))
 
 
-@query("batch_topk", f"{_BATCH}, h AS (SELECT q, id, min(rank) AS rank FROM ({_BATCH_HITS} UNION ALL {_BATCH_IN}) GROUP BY ALL), k AS (SELECT q, id, rank, row_number() OVER (PARTITION BY q ORDER BY rank, id) AS position FROM h) SELECT qid, id, rank, position FROM u JOIN k USING (q) WHERE position <= 10")
+@query("batch_topk", f"{_BATCH}, h AS (SELECT q, id, min(rank) AS rank FROM ({_BATCH_HITS} UNION ALL {_BATCH_IN}) GROUP BY ALL), k AS (SELECT q, id, rank, row_number() OVER (PARTITION BY q ORDER BY rank, id)::INTEGER AS position FROM h) SELECT qid, id, rank, position FROM u JOIN k USING (q) WHERE position <= 10")
 def _topk(c):
     return S.top_k(S.batch_search(c.f_parts, c.f_aliases, c.f_queries), 10).select("qid", "id", "rank", "position")
