@@ -2,9 +2,9 @@
 
 Each piece of text that the split pattern finds is encoded by itself. The tree's leaves are the
 piece's bytes; leaf i holds the rank of merging the token that starts at byte i with the next one,
-and every node the leftmost smallest of its leaves. A merge reads the root, drops the leaf of the
-token that goes, and updates the two leaves whose neighbours changed, each in logarithmic time;
-so a piece of n bytes takes O(n log n) however long it is.
+and every node the leftmost smallest of its ``FAN`` children. A merge reads the root, drops the leaf
+of the token that goes, updates the two leaves whose neighbours changed, and then their ancestors,
+in logarithmic time; so a piece of n bytes takes O(n log n) however long it is.
 
 The vocabulary is a file of base64 tokens with their ranks, named by a parameter and read on each
 worker. Encoded pieces are kept in a bounded cache of the worker.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE, ROWS = 250_000, 512
+CACHE, ROWS, FAN = 350_000, 512, 16
 SPACES, CUTS = re.compile(r"\s\s").search, re.compile(r"(?<=\S)(?= \S)").split
 
 
@@ -46,36 +47,39 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if (whole := ranks.get(piece)) is not None:
         return [whole]
     n, get = len(piece), ranks.get
-    shift = (n - 1).bit_length()
-    size, none = 1 << shift, 1 << 62
+    shift, none = n.bit_length(), 1 << 62
+    mask = (1 << shift) - 1
     after, before = list(range(1, n + 2)), list(range(-1, n))
     leaves = [none if (rank := get(piece[i : i + 2])) is None else rank << shift | i for i in range(n - 1)]
-    tree = [none] * size + leaves + [none] * (size - n + 1)
-    for node in range(size - 1, 0, -1):
-        left, right = tree[2 * node], tree[2 * node + 1]
-        tree[node] = left if left < right else right
-    while (best := tree[1]) < none:
-        i = best & size - 1
+    leaves.append(none)
+    tree = [leaves]
+    while len(tree) == 1 or len(tree[-1]) > 1:
+        below = tree[-1]
+        tree.append([min(below[k : k + FAN]) for k in range(0, len(below), FAN)])
+    root = tree[-1]
+    while (best := root[0]) < none:
+        i = best & mask
         gone = after[i]
         end = after[i] = after[gone]
-        changed = [(gone, none), (i, none)]
+        leaves[gone] = leaves[i] = none
         if end < n:
             before[end] = i
             if (rank := get(piece[i : after[end]])) is not None:
-                changed[1] = i, rank << shift | i
+                leaves[i] = rank << shift | i
         if (start := before[i]) >= 0:
-            changed.append((start, none if (rank := get(piece[start:end])) is None else rank << shift | start))
-        for leaf, value in changed:
-            node = size + leaf
-            tree[node] = value
-            while node > 1:
-                other = tree[node ^ 1]
-                node >>= 1
-                if other < value:
-                    value = other
-                if tree[node] == value:
-                    break
-                tree[node] = value
+            leaves[start] = none if (rank := get(piece[start:end])) is None else rank << shift | start
+        if n <= FAN:
+            root[0] = min(leaves)
+            continue
+        changed = {max(start, 0) // FAN, i // FAN, gone // FAN}
+        for below, above in zip(tree, tree[1:], strict=False):
+            up = set()
+            for k in changed:
+                least = min(below[k * FAN : k * FAN + FAN])
+                if least != above[k]:
+                    above[k] = least
+                    up.add(k // FAN)
+            changed = up
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : after[i]]])
@@ -109,9 +113,9 @@ class Coder:
         self.pieces, self.spaced = Kept(self._piece, CACHE // 2), Kept(lambda part: self._pieces(" " + part), CACHE)
 
     def _piece(self, piece: str) -> tuple[bytes, bytes]:
-        """Ids as little-endian 32-bit integers, and what these ids decode to."""
+        """Ids as 32-bit integers, and what these ids decode to."""
         ids = encode_piece(piece.encode(), self.ranks)
-        return np.array(ids, "<i4").tobytes(), b"".join(map(self.tokens.__getitem__, ids))
+        return array("i", ids).tobytes(), b"".join(map(self.tokens.__getitem__, ids))
 
     def _pieces(self, text: str) -> tuple[bytes, bytes]:
         young, make = self.pieces.young.get, self.pieces
