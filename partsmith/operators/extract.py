@@ -12,6 +12,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 
@@ -175,7 +176,7 @@ def candidates(pages: DataFrame, text: str) -> DataFrame:
     return pages.select(*PAGE, F.explode(T.candidate_tokens(text)).alias("token"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; the order of arguments matters."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
