@@ -62,6 +62,14 @@ def replace(old: DataFrame | None, new: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def free(df: DataFrame, name: str) -> str:
+    """The name, or a longer one if the table has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def as_string(c) -> F.Column:
     """Text of a key with a fixed stand-in for null."""
     return F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit("null"))

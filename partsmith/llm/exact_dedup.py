@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free, materialize
 
 MIN_CHUNK, MAX_CHUNK = 256, 2048
 
@@ -73,10 +73,11 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", identi
 
 def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The input's rows without copies, all columns as they came; of repeated rows one stays."""
-    kept = exact_dedup(docs, key, text).where("kept").select(F.col(key).alias("_kept_key"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    on = (rows["_sha"] == kept["_sha"]) & rows[key].eqNullSafe(kept["_kept_key"])
-    return rows.join(kept, on, "left_semi").dropDuplicates(["_sha", key]).drop("_sha")
+    sha, own, same = (free(docs, n) for n in ("_sha", "_kept_key", "_kept_sha"))
+    kept = exact_dedup(docs, key, text).where("kept").select(F.col(key).alias(own), F.col("text_sha256").alias(same))
+    rows = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    on = (F.col(sha) == F.col(same)) & F.col(key).eqNullSafe(F.col(own))
+    return rows.join(kept, on, "left_semi").dropDuplicates([sha, key]).drop(sha)
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, as_string, materialize
+from .common import WORD, as_string, free, materialize
 
 WEIGHTS, MOST_REPEATS, BLOCK, SHARD_WORDS, MAX_SHARDS, SEED = (5, 2, 1), 3, 8, 131_072, 4096, "mix-1"
 
@@ -115,10 +115,11 @@ def mixed(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     are taken as often as the most taken of them.
     """
     sizes = mix(docs, key=key, **options)
+    own, often, copy = (free(docs, n) for n in ("_key", "_times", "_copy"))
     times = F.max(F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.col("size")))).cast("int")
-    taken = sizes.groupBy(F.col(key).alias("_key")).agg(times.alias("_times")).where("_times > 0")
-    rows = docs.join(taken, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "_copy")
+    taken = sizes.groupBy(F.col(key).alias(own)).agg(times.alias(often)).where(F.col(often) > 0)
+    rows = docs.join(taken, F.col(key).eqNullSafe(F.col(own))).drop(own)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(often)))).drop(often, copy)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

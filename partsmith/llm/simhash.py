@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free, materialize
 from .graph import connected_components
 
 SEED, WORDS, RADIUS, PIVOTS, BLOCK = 42, 3, 2, 16, 1024
@@ -118,7 +118,7 @@ def block_links(fps: np.ndarray, d: np.ndarray, radius: int) -> list[tuple[int,
     for i in range(len(fps) - 1):
         near = np.arange(i + 1, last[i])
         near = near[(np.abs(d[near] - d[i]) <= radius).all(1)]
-        near = near[np.bitwise_count(fps[near] ^ fps[i]) <= radius]
+        near = near[np.bitwise_count((fps[near] ^ fps[i]).view(np.uint64)) <= radius]  # of a negative number it would count the absolute value's bits
         for j in near:
             x, y = find(i), find(int(j))
             if x != y:
@@ -175,8 +175,9 @@ def simhash_components(docs: DataFrame, n: int = WORDS, radius: int = RADIUS, ke
 
 def survivors(docs: DataFrame, n: int = WORDS, radius: int = RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The input's rows with one document of each component, that of its name; all columns as they came."""
-    names = simhash_components(docs, n, radius, key, text).select(F.col("component_id").alias("_name")).distinct()
-    return docs.join(names, F.col(key).eqNullSafe(F.col("_name")), "left_semi")
+    name = free(docs, "_name")
+    names = simhash_components(docs, n, radius, key, text).select(F.col("component_id").alias(name)).distinct()
+    return docs.join(names, F.col(key).eqNullSafe(F.col(name)), "left_semi")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,7 +133,7 @@ def members(f, size: int) -> dict[str, tuple[int, int]]:
     tail_at = max(0, size - 65_557 - 20)
     tail = read(f, tail_at, size - tail_at)
     end = tail.rfind(b"PK\5\6")
-    while end >= 0 and struct.unpack_from("<H", tail, end + 20)[0] != len(tail) - end - 22:
+    while end >= 0 and (end + 22 > len(tail) or struct.unpack_from("<H", tail, end + 20)[0] != len(tail) - end - 22):
         end = tail.rfind(b"PK\5\6", 0, end)
     if end < 0:
         raise ValueError("no ZIP end record")
