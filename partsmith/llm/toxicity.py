@@ -9,9 +9,8 @@ distance is how many bytes longer it gets under the ordinary dictionary than und
 document's distances are summed up in a few numbers (how many windows pass each threshold, the
 largest, the mean), and a logistic curve calibrates these to a probability.
 
-Documents' word frequencies are counted over all labelled training rows, but for a fifth of them,
-which calibrates the curve (at most ``CALIBRATE`` rows of it, those with the smallest text hashes).
-Labels are looked at in training only; language, source and id never.
+The model is fitted on a sample of about ``SAMPLE`` labelled training rows: four fifths train the
+dictionaries, one fifth calibrates the curve. Labels are looked at in training only; language, source and id never.
 
 Defined cases: null and empty texts are scored by the curve like texts without a distance; rows
 without a label, or with a null one, are scored but not learned from; without any toxic or any
@@ -31,9 +30,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket, materialize
+from .common import bucket, free, materialize
 
-RATIO, SURPRISE, LEAST, SHORTEST, COMMON, MOST, CANDIDATES, REPEAT, LEVEL, CALIBRATE, CACHE, REJECT = 10, 1.0, 3, 4, 1000, 2000, 20_000, 5, 9, 20_000, 300_000, 0.3
+RATIO, SURPRISE, LEAST, SHORTEST, COMMON, MOST, CANDIDATES, REPEAT, LEVEL, SAMPLE, CACHE, REJECT = 10, 1.0, 3, 4, 1000, 2000, 20_000, 5, 9, 40_000, 300_000, 0.3
 # Punctuation that is taken out of words.
 PUNCTUATION = ".,!?;:|*%&$#\"()[]{}"
 THRESHOLDS = (1, 2, 3, 4)
@@ -123,8 +122,8 @@ def distances(ordinary: bytes, toxic: bytes) -> Distances:
     return Distances(ordinary, toxic)
 
 
-def features(docs: DataFrame, keep: list[str], trained: tuple[bytes, bytes], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and f, the document's numbers."""
+def features(docs: DataFrame, keep: list[str], trained: tuple[bytes, bytes], text: str = "text", out: str = "f") -> DataFrame:
+    """The columns ``keep`` and ``out``, the document's numbers."""
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(trained)  # two dictionaries of at most COMMON + 2 MOST words
@@ -134,9 +133,9 @@ def features(docs: DataFrame, keep: list[str], trained: tuple[bytes, bytes], tex
         for batch in batches:
             found = np.array([own.features(t.as_py()) for t in batch.column(batch.num_columns - 1)]).reshape(-1, N_FEATURES)
             f = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, N_FEATURES), pa.int32()), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], f], [*keep, "f"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], f], [*keep, out])
 
-    return docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, f"{kinds}, f array<double>")
+    return docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(free(docs, "_text"))).mapInArrow(run, f"{kinds}, `{out}` array<double>")
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -155,8 +154,7 @@ def train(rows: DataFrame) -> tuple[tuple[bytes, bytes], np.ndarray, float]:
     rows = materialize(rows.withColumn("h", F.xxhash64("text")), "toxicity-training")
     fold = F.pmod(F.col("h"), F.lit(5))
     trained = dictionaries(rows.where(fold != 0))
-    some = rows.where(fold == 0).orderBy("h", "toxic").limit(CALIBRATE)
-    found = features(some, ["toxic"], trained).collect()
+    found = features(rows.where(fold == 0), ["toxic"], trained).collect()
     x, y = np.array([r["f"] for r in found]).reshape(-1, N_FEATURES), np.array([r["toxic"] for r in found], float)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
@@ -165,17 +163,27 @@ def train(rows: DataFrame) -> tuple[tuple[bytes, bytes], np.ndarray, float]:
     return trained, *logistic(x, y)
 
 
-def score(docs: DataFrame, keep: list[str], model: tuple[tuple[bytes, bytes], np.ndarray, float], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and score, the probability of toxicity."""
+def score(docs: DataFrame, keep: list[str], model: tuple[tuple[bytes, bytes], np.ndarray, float], text: str = "text", out: str = "score") -> DataFrame:
+    """The columns ``keep`` and ``out``, the probability of toxicity."""
     trained, weights, offset = model
-    z = F.aggregate(F.zip_with("f", F.array(*(F.lit(float(w)) for w in weights)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) + offset
-    return features(docs, keep, trained, text).select(*keep, (1 / (1 + F.exp(-z))).alias("score"))
-
-
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Training rows (text, toxic): labelled documents outside the held-out fourth."""
-    marks = labels.where("toxic is not null").select("doc_id", "toxic")
-    return docs.select("doc_id", "text").where(bucket("doc_id", 4) != 2).join(marks, "doc_id").select("text", "toxic")
+    numbers = free(docs, "f")
+    z = F.aggregate(F.zip_with(numbers, F.array(*(F.lit(float(w)) for w in weights)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) + offset
+    return features(docs, keep, trained, text, numbers).select(*keep, (1 / (1 + F.exp(-z))).alias(out))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """Training rows (text, toxic): about ``most`` labelled documents outside the held-out fourth, all of them if there are fewer.
+
+    The sample is drawn from the labels by a hash, so that what meets the texts is small enough to be
+    broadcast and no text is shuffled.
+    """
+    marks = labels.where("toxic is not null").where(bucket("doc_id", 4) != 2).select("doc_id", "toxic")
+    n = marks.count()
+    if n > most:
+        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * most // n)
+    marks = materialize(marks, "toxicity-labels")
+    side = F.broadcast(marks) if marks.count() <= 2 * most else marks
+    return docs.select("doc_id", "text").join(side, "doc_id").select("text", "toxic")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
