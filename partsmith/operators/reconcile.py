@@ -55,16 +55,20 @@ def parent_mismatch(own: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def report(own: DataFrame, other: DataFrame) -> DataFrame:
-    """One row with the totals and counts of a comparison."""
-    parts = {
-        "own_total": own, "other_total": other, "missing_key3": missing(other, own, KEY3), "extra_key3": missing(own, other, KEY3),
-        "missing_key4": missing(other, own, KEY4), "extra_key4": missing(own, other, KEY4), "level_mismatch": level_mismatch(own, other), "parent_mismatch": parent_mismatch(own, other),
-    }
-    rows = None
-    for name, df in parts.items():
-        n = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        rows = n if rows is None else rows.unionByName(n)
-    return rows.groupBy().pivot("name", list(parts)).agg(F.max("n"))
+    """One row with the totals and counts of a comparison: one pass over both sides by key, one over their pairs."""
+    both = own.select(*KEY4, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(other.select(*KEY4, F.lit(0).alias("a"), F.lit(1).alias("b")))
+    alone = lambda n, where: F.sum(F.when(F.col(where) == 0, F.col(n)).otherwise(0))
+    four = both.groupBy(*KEY4).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    three = four.groupBy(*KEY3).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), alone("b", "a").alias("m4"), alone("a", "b").alias("e4"))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    totals = three.agg(
+        none(F.sum("a")).alias("own_total"), none(F.sum("b")).alias("other_total"), none(alone("b", "a")).alias("missing_key3"), none(alone("a", "b")).alias("extra_key3"),
+        none(F.sum("m4")).alias("missing_key4"), none(F.sum("e4")).alias("extra_key4"), F.lit(1).alias("k"),
+    )
+    differ = lambda c: none(F.sum(F.when(c, 1).otherwise(0)))
+    parent = ~F.col("other_parent").isin("", "MAIN") & (F.col("parent_pn") != F.col("other_parent"))
+    pair = pairs(own, other).agg(differ(F.col("level") != F.col("other_level")).alias("level_mismatch"), differ(parent).alias("parent_mismatch"), F.lit(1).alias("k"))
+    return totals.join(pair, "k").drop("k")
 
 
 def qa_check(samples: DataFrame, own: DataFrame) -> DataFrame:
