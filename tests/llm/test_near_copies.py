@@ -48,3 +48,39 @@ def test_a_large_block_is_dealt_again(spark, monkeypatch):
         texts.append(" ".join(ws))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert near_copies.survivors(df).count() == 1
+
+
+def components(rows):
+    """{id: smallest id reachable} over all pairs of a small table."""
+    sets = {i: set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for i, t in rows}
+    at, met = {i: i for i in sets}, set()
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and x & y and len(x & y) >= 0.8 * len(x | y):
+                low, high = sorted((at[a], at[b]))
+                at = {k: low if v == high else v for k, v in at.items()}
+                met |= {a, b}
+    return {i: at[i] for i in met}
+
+
+def found(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    return {x["id"]: x["component_id"] for x in near_copies.near_copies(df).collect()}
+
+
+def variants(seed, n, size, changes):
+    """Texts with a few words of one template replaced."""
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        ws = [f"w{k}" for k in range(size)]
+        for k in r.sample(range(size), changes):
+            ws[k] = f"x{i}-{k}"
+        out.append(" ".join(ws))
+    return out
+
+
+def test_a_partner_other_than_the_nearest(spark):
+    rows = list(enumerate(variants(31, 60, 240, 3)))  # some pairs above 0.8, most below
+    want = components(rows)
+    assert 20 < len(want) and found(spark, rows) == want
