@@ -84,3 +84,23 @@ def test_a_partner_other_than_the_nearest(spark):
     rows = list(enumerate(variants(31, 60, 240, 3)))  # some pairs above 0.8, most below
     want = components(rows)
     assert 20 < len(want) and found(spark, rows) == want
+
+
+def test_a_large_block_of_far_variants(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 8)
+    rows = list(enumerate(variants(32, 60, 240, 3)))
+    want = components(rows)
+    assert 20 < len(want) and found(spark, rows) == want
+
+
+def test_chunks_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "EVERY", 1)
+    rows = list(enumerate(variants(33, 40, 240, 2)))
+    texts = spark.createDataFrame(rows, "id bigint, t string").selectExpr("id", "id as comp", "cast(t as binary) as t")
+    got = []
+    for chunk in (1000, 3):
+        monkeypatch.setattr(near_copies, "CHUNK", chunk)
+        got.append({tuple(x) for x in near_copies.common_prefixes(texts, 5, 0.8).collect()})
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
+    true = {(a, b) for b in range(40) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert got[0] == got[1] >= true and len(true) > 100
