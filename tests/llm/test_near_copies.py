@@ -104,3 +104,17 @@ def test_chunks_lose_no_pair(spark, monkeypatch):
     sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
     true = {(a, b) for b in range(40) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert got[0] == got[1] >= true and len(true) > 100
+
+
+def test_pairs_at_the_threshold_of_any_bits(spark):
+    r, rows = random.Random(34), []
+    for i in range(150):  # a similarity of 0.83, many bits apart in some pairs
+        ws = [f"v{i}-{k}" for k in range(88)]
+        other = list(ws)
+        for k in (r.randrange(10, 40), 87, 0, 1):
+            other[k] = f"y{i}-{k}"
+        rows += [(2 * i, " ".join(ws)), (2 * i + 1, " ".join(other))]
+    want = components(rows)
+    bits = [near_copies.fingerprint_pair(simhash.shingle_hashes(t.encode(), 5))[0] for _, t in rows]
+    assert len(want) == 300 and max((a ^ b).bit_count() for a, b in zip(bits[::2], bits[1::2])) > 12
+    assert found(spark, rows) == want
