@@ -118,3 +118,20 @@ def test_pairs_at_the_threshold_of_any_bits(spark):
     bits = [near_copies.fingerprint_pair(simhash.shingle_hashes(t.encode(), 5))[0] for _, t in rows]
     assert len(want) == 300 and max((a ^ b).bit_count() for a, b in zip(bits[::2], bits[1::2])) > 12
     assert found(spark, rows) == want
+
+
+def test_repeated_lines_do_not_count(spark):
+    line = "this very line stands in the footer of each page "
+    body = [" ".join(f"b{k}-{i}" for i in range(120)) for k in range(2)]
+    twin = body[1].replace("b1-60 ", "changed ")
+    rows = [(i, t + " " + line * n) for i, (t, n) in enumerate([(body[0], 300), (body[1], 300), (twin, 300), (body[0], 3)])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "text")
+    pairs = []
+    real = near_copies.similar
+    near_copies.similar = lambda p, *a: pairs.append({tuple(sorted(x)) for x in p.select("a", "b").collect()}) or real(p, *a)
+    try:
+        got = {x["id"]: x["component_id"] for x in near_copies.near_copies(df).collect()}
+    finally:
+        near_copies.similar = real
+    assert got == components(rows) == {0: 0, 3: 0, 1: 1, 2: 1}
+    assert (0, 3) in pairs[0]  # equal sets have equal fingerprints: met in the first pass
