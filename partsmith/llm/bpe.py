@@ -7,7 +7,8 @@ of the token that goes, updates the two leaves whose neighbours changed, and the
 in logarithmic time; so a piece of n bytes takes O(n log n) however long it is.
 
 The vocabulary is a file of base64 tokens with their ranks, named by a parameter and read on each
-worker. Encoded pieces are kept in a bounded cache of the worker.
+worker. The ids of short pieces are kept in a cache of the worker, bounded in number and size (``CACHE``
+entries of ``LONGEST`` characters at most, in two generations); long ones are encoded each time.
 
 Defined cases: null and empty texts have no ids and decode to no bytes; ids out of the vocabulary
 raise; rows are neither merged nor reordered; other columns of the input are not looked at.
@@ -27,17 +28,18 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE, ROWS, FAN = 350_000, 512, 16
+CACHE, LONGEST, ROWS, FAN = 150_000, 64, 512, 16
+NONE, AFTER, BEFORE = 1 << 62, list(range(1, FAN + 2)), list(range(-1, FAN))
 SPACES, CUTS = re.compile(r"\s\s").search, re.compile(r"(?<=\S)(?= \S)").split
 
 
-@lru_cache(2)
+@lru_cache(1)
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-@lru_cache(2)
+@lru_cache(1)
 def load_tokens(path: str) -> dict[int, bytes]:
     return {rank: token for token, rank in load_ranks(path).items()}
 
@@ -47,7 +49,9 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if (whole := ranks.get(piece)) is not None:
         return [whole]
     n, get = len(piece), ranks.get
-    shift, none = n.bit_length(), 1 << 62
+    if n <= FAN:
+        return _one_node(piece, n, ranks)
+    shift, none = n.bit_length(), NONE
     mask = (1 << shift) - 1
     after, before = list(range(1, n + 2)), list(range(-1, n))
     leaves = [none if (rank := get(piece[i : i + 2])) is None else rank << shift | i for i in range(n - 1)]
@@ -68,9 +72,6 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 leaves[i] = rank << shift | i
         if (start := before[i]) >= 0:
             leaves[start] = none if (rank := get(piece[start:end])) is None else rank << shift | start
-        if n <= FAN:
-            root[0] = min(leaves)
-            continue
         changed = {max(start, 0) // FAN, i // FAN, gone // FAN}
         for below, above in zip(tree, tree[1:], strict=False):
             up = set()
@@ -87,14 +88,41 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+def _one_node(piece: bytes, n: int, ranks: dict[bytes, int]) -> list[int]:
+    """The same for a piece whose tree is one node over its bytes."""
+    get, after, before = ranks.get, AFTER[: n + 1], BEFORE[: n + 1]
+    leaves = [get(piece[i : i + 2], NONE) for i in range(n - 1)]
+    leaves.append(NONE)
+    while (best := min(leaves)) < NONE:
+        i = leaves.index(best)
+        gone = after[i]
+        end = after[i] = after[gone]
+        leaves[gone] = NONE
+        if end < n:
+            before[end] = i
+            leaves[i] = get(piece[i : after[end]], NONE)
+        else:
+            leaves[i] = NONE
+        if i:
+            start = before[i]
+            leaves[start] = get(piece[start:end], NONE)
+    ids, i = [], 0
+    while i < n:
+        ids.append(ranks[piece[i : after[i]]])
+        i = after[i]
+    return ids
+
+
 class Kept:
-    """A bounded cache of two generations: when the young one is full it becomes the old one."""
+    """A bounded cache of two generations: when the young one is full it becomes the old one. Keys longer than ``LONGEST`` are not kept."""
 
     def __init__(self, make, room: int):
         self.make, self.room, self.young, self.old = make, room, {}, {}
 
-    def __call__(self, key):
+    def __call__(self, key: str) -> bytes:
         found = self.old.get(key) or self.make(key)
+        if len(key) > LONGEST:
+            return found
         if len(self.young) >= self.room:
             self.old, self.young = self.young, {}
         self.young[key] = found
@@ -112,30 +140,30 @@ class Coder:
         self.ranks, self.tokens, self.split = load_ranks(path), load_tokens(path), regex.compile(pattern).findall
         self.pieces, self.spaced = Kept(self._piece, CACHE // 2), Kept(lambda part: self._pieces(" " + part), CACHE)
 
-    def _piece(self, piece: str) -> tuple[bytes, bytes]:
-        """Ids as 32-bit integers, and what these ids decode to."""
-        ids = encode_piece(piece.encode(), self.ranks)
-        return array("i", ids).tobytes(), b"".join(map(self.tokens.__getitem__, ids))
+    def _piece(self, piece: str) -> bytes:
+        """Ids as 32-bit integers."""
+        return array("i", encode_piece(piece.encode(), self.ranks)).tobytes()
 
-    def _pieces(self, text: str) -> tuple[bytes, bytes]:
+    def _pieces(self, text: str) -> bytes:
+        found = self.split(text)
+        if len(found) == 1:
+            return self._piece(text)
         young, make = self.pieces.young.get, self.pieces
-        return _joined([young(p) or make(p) for p in self.split(text)])
+        return b"".join([young(p) or make(p) for p in found])
 
     def text(self, text: str) -> tuple[bytes, bytes]:
+        """The text's ids as 32-bit integers, and the bytes that these ids decode to."""
         if SPACES(text):
             first, *rest = CUTS(text)
             rest = [part[1:] for part in rest]
         else:
             first, *rest = text.split(" ")
         young, make = self.spaced.young.get, self.spaced
-        return _joined([self._pieces(first), *[young(part) or make(part) for part in rest]])
-
-
-def _joined(coded: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
-    return b"".join([x[0] for x in coded]), b"".join([x[1] for x in coded])
+        ids = b"".join([self._pieces(first), *[young(part) or make(part) for part in rest]])
+        return ids, b"".join(map(self.tokens.__getitem__, array("i", ids)))
 
 
-@lru_cache(2)
+@lru_cache(1)
 def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 

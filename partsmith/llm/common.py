@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, NullType, ShortType
 
 #: White space that separates words: space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -70,6 +71,19 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def column(name: str) -> F.Column:
+    """The column of that name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def integer_key(df: DataFrame, name: str) -> F.Column:
+    """The key as a 64-bit integer; keys of other types raise."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, (ByteType, ShortType, IntegerType, LongType, NullType)):
+        raise TypeError(f"{name} must be a whole number, not {kind.simpleString()}")
+    return column(name).cast("bigint")
+
+
 def as_string(c) -> F.Column:
     """Text of a key with a fixed stand-in for null."""
     return F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit("null"))

@@ -52,15 +52,18 @@ def shingle_hashes(text: bytes, n: int = WORDS) -> np.ndarray:
     return np.fromiter((digest(s, SEED) for s in joined), np.uint64)
 
 
-def fingerprint(text: bytes, n: int = WORDS) -> int:
-    """The majority fingerprint as a signed 64-bit integer; zero without words."""
-    hashes = shingle_hashes(text, n)
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes, as a signed 64-bit integer; zero without hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = np.ascontiguousarray(hashes[i : i + (1 << 16)])
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.uint32)
-    packed = np.packbits(2 * ones > len(hashes), bitorder="little")
-    return int(packed.view(np.int64)[0]) if len(hashes) else 0
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: bytes, n: int = WORDS) -> int:
+    """The majority fingerprint of a text's shingles, repeats included."""
+    return majority(shingle_hashes(text, n))
 
 
 def fingerprints(docs: DataFrame, n: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:

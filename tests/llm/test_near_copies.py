@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from partsmith.llm import near_copies, simhash
@@ -37,8 +39,9 @@ def test_near_copies(spark):
     assert near_copies.near_copies(df.limit(0)).count() == 0
 
 
-def test_a_large_block_is_dealt_again(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "BLOCK", 8)
+def test_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "CHUNK", 8)
+    monkeypatch.setattr(near_copies, "EVERY", 1)
     r = random.Random(12)
     base = [f"w{i}" for i in range(200)]
     texts = []
@@ -86,8 +89,9 @@ def test_a_partner_other_than_the_nearest(spark):
     assert 20 < len(want) and found(spark, rows) == want
 
 
-def test_a_large_block_of_far_variants(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "BLOCK", 8)
+def test_a_large_group_of_far_variants(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "CHUNK", 8)
+    monkeypatch.setattr(near_copies, "EVERY", 1)
     rows = list(enumerate(variants(32, 60, 240, 3)))
     want = components(rows)
     assert 20 < len(want) and found(spark, rows) == want
@@ -96,14 +100,17 @@ def test_a_large_block_of_far_variants(spark, monkeypatch):
 def test_chunks_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "EVERY", 1)
     rows = list(enumerate(variants(33, 40, 240, 2)))
-    texts = spark.createDataFrame(rows, "id bigint, t string").selectExpr("id", "id as comp", "cast(t as binary) as t")
+    texts = spark.createDataFrame(rows, "id bigint, t string").selectExpr("id", "cast(t as binary) as t")
     got = []
-    for chunk in (1000, 3):
+    for chunk, few in ((1000, 64), (1000, 1), (3, 64)):
         monkeypatch.setattr(near_copies, "CHUNK", chunk)
-        got.append({tuple(x) for x in near_copies.common_prefixes(texts, 5, 0.8).collect()})
+        monkeypatch.setattr(near_copies, "FEW", few)
+        hot = near_copies.hot_shingles(texts, 5)
+        met = near_copies.meetings(near_copies.sketches(texts, hot, 5, 0.8).withColumn("comp", F.col("id")), hot, near_copies.ALL)
+        got.append({tuple(x) for x in near_copies.pairs_of(met, hot, 0.8, False).collect()})
     sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
     true = {(a, b) for b in range(40) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    assert got[0] == got[1] >= true and len(true) > 100
+    assert got[0] == got[1] == got[2] >= true and len(true) > 100
 
 
 def test_pairs_at_the_threshold_of_any_bits(spark):
@@ -115,7 +122,7 @@ def test_pairs_at_the_threshold_of_any_bits(spark):
             other[k] = f"y{i}-{k}"
         rows += [(2 * i, " ".join(ws)), (2 * i + 1, " ".join(other))]
     want = components(rows)
-    bits = [near_copies.fingerprint_pair(simhash.shingle_hashes(t.encode(), 5))[0] for _, t in rows]
+    bits = [simhash.majority(near_copies.shingle_set(t.encode(), 5).view(np.uint64)) for _, t in rows]
     assert len(want) == 300 and max((a ^ b).bit_count() for a, b in zip(bits[::2], bits[1::2])) > 12
     assert found(spark, rows) == want
 
@@ -135,3 +142,14 @@ def test_repeated_lines_do_not_count(spark):
         near_copies.similar = real
     assert got == components(rows) == {0: 0, 3: 0, 1: 1, 2: 1}
     assert (0, 3) in pairs[0]  # equal sets have equal fingerprints: met in the first pass
+
+
+def test_groups_are_never_cut(monkeypatch):
+    monkeypatch.setattr(near_copies, "TOGETHER", 20)
+    r = random.Random(35)
+    keys = sorted((r.randrange(12), r.randrange(2)) for _ in range(300))
+    h, part = (np.array(x, np.int64) for x in zip(*keys))
+    batches = [pa.RecordBatch.from_arrays([pa.array(h[i : i + 7]), pa.array(part[i : i + 7]), pa.array(np.arange(i, min(i + 7, 300)))], ["h", "part", "at"]) for i in range(0, 300, 7)]
+    wholes = list(near_copies.whole_groups(iter(batches)))
+    assert np.concatenate([w[2] for w in wholes]).tolist() == list(range(300)) and len(wholes) > 3
+    assert all((a[0][-1], a[1][-1]) != (b[0][0], b[1][0]) for a, b in zip(wholes, wholes[1:]))

@@ -251,22 +251,51 @@ def test_toxicity(spark):
     r = random.Random(7)
     words = ["".join(r.choices("bcdfgaeiou", k=r.randint(3, 8))) for _ in range(400)]
     rows, marks = [], []
-    for i in range(600):
-        ws, bad = r.choices(words, k=40), i % 5 == 0
+    for i in range(1200):
+        ws, bad = r.choices(words, k=40), i % 3 == 0
         if bad:
-            ws[r.randrange(40)] = r.choice(["slimeball", "nitwitted"])
+            for _ in range(3):
+                ws[r.randrange(40)] = r.choice(["slimeball", "nitwitted"])
         rows.append((i, " ".join(ws), "a"))
         marks.append((i, 1 if bad else 0))
-    rows += [(1000, None, "a"), (1001, "", None), (1002, "w" * 300_000, "a")]
-    labels = spark.createDataFrame([*marks, (5000, None)], "doc_id bigint, toxic int")
-    df = docs(spark, rows)
-    got = toxicity.score(df, ["doc_id"], toxicity.train(toxicity.labelled(df, labels))).collect()
-    scores = {x["doc_id"]: x["score"] for x in got}
+    rows += [(1500, None, "a"), (1501, "", None), (1502, "w" * 300_000, "a"), (1503, "long " * 50_000, "a"), (1504, " .,! ", "b"), (3, rows[3][1], "a")]
+    labels = spark.createDataFrame([*marks, (5000, None), (7, 0)], "doc_id bigint, toxic int")
+    df = docs(spark, rows).withColumn("f", F.lit(1)).withColumn("score", F.lit("s")).withColumn("a.b", F.lit(2))
+    model = toxicity.train(toxicity.labelled(df, labels))
+    got = df.select("doc_id", "text", toxicity.score(df, model).alias("p")).collect()
+    scores = {x["doc_id"]: x["p"] for x in got}
     assert len(got) == len(rows) and all(0 <= s <= 1 for s in scores.values())
-    wrong = [i for i, bad in marks if (scores[i] >= toxicity.REJECT) != bool(bad)]
-    assert len(wrong) <= 6
-    none = toxicity.score(df, ["doc_id"], toxicity.train(toxicity.labelled(df, labels.limit(0))))
-    assert none.where("score > 0.01").count() == 0
+    held = [(i, bad) for i, bad in marks if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum((scores[i] >= toxicity.REJECT) != bool(bad) for i, bad in held) <= len(held) // 20
+    (far, near), weights, offset = model  # the score by brute force: every window's lengths under both dictionaries
+    for i, t, _ in rows[:20] + rows[-6:]:
+        ws = (t or "").lower().encode().translate(None, toxicity.PUNCTUATION).split()
+        cut = [b" " + b" ".join(ws[k : k + toxicity.WINDOW]) + b" " for k in range(0, len(ws), toxicity.WINDOW)]
+        size = lambda d, w: len(toxicity.compressor(d).compress(w))
+        d = np.array([size(far, w) - size(near, w) for w in cut[:400]] or [0])
+        assert cut == toxicity.windows(t or "")
+        if len(cut) <= 400:
+            over = [(d >= k).sum() for k in toxicity.THRESHOLDS]
+            x = np.log1p(np.maximum(0, [d.max(), np.sort(d)[-3:].mean(), d.mean(), *over, *(n / len(d) for n in over[1:4]), d.clip(0).sum(), ((d - 1).clip(0) ** 2).sum()]))
+            assert abs(scores[i] - 1 / (1 + np.exp(-(x @ weights + offset)))) < 1e-9
+    kept = toxicity.survivors(df, labels)
+    assert kept.columns == df.columns and kept.count() == sum(x["p"] < toxicity.REJECT for x in got)
+    none = toxicity.train(toxicity.labelled(df, labels.limit(0)))
+    assert df.select(toxicity.score(df, none).alias("p")).where("p > 0.01").count() == 0
+    assert toxicity.survivors(df.limit(0), labels).count() == 0
+
+
+def test_toxic_dictionaries_hold_what_recurs():
+    r = random.Random(9)
+    words = ["".join(r.choices("bcdfgaeiou", k=r.randint(3, 8))) for _ in range(400)]
+    window = lambda bad: (" " + " ".join(r.choices(words, k=3) + ([bad] if bad else []) + r.choices(words, k=4)) + " ").encode()
+    toxic = [(window(r.choice(["slimeball", "nitwitted", None])), bool(r.getrandbits(1))) for _ in range(1500)]
+    ordinary = [(window(None), bool(r.getrandbits(1))) for _ in range(3000)]
+    far, near = toxicity.fit(toxic, ordinary)
+    assert len(far) == len(near) and b" slimeball " in near and b" nitwitted " in near and b"slimeball" not in far
+    gain = lambda w: len(toxicity.compressor(far).compress(w)) - len(toxicity.compressor(near).compress(w))
+    fresh = [window("slimeball") for _ in range(100)]
+    assert np.mean([gain(w) for w in fresh]) > 2 and abs(np.mean([gain(window(None)) for _ in range(100)])) < 0.5
 
 
 def test_components(spark):
