@@ -65,7 +65,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "relative_path") -> DataFr
 
 
 def without_documents(rows: DataFrame, gone: DataFrame, key: str = "document_id") -> DataFrame:
-    return rows.join(gone.select(F.col("id").alias(key)), key, "left_anti")
+    return rows.join(gone.select(F.col("id").alias(key)), key, "left_anti").select(*rows.columns)
 
 
 def rekey(parts: DataFrame, after: int) -> DataFrame:
@@ -131,25 +131,78 @@ def cascade_counts(documents: DataFrame, children: dict[str, tuple[DataFrame, st
 def resolve(documents: DataFrame, names: DataFrame) -> DataFrame:
     """(name, status, document_id, candidates): found by path, else by file name; several are ambiguous."""
     exact = documents.select(F.col("relative_path").alias("name"), F.col("id").alias("_exact"))
-    loose = documents.groupBy(F.col("pdf_name").alias("name")).agg(F.count("*").alias("_n"), F.min("id").alias("_id"), F.sort_array(F.collect_list("relative_path")).alias("_paths"))
+    asked = documents.join(names.select(F.col("name").alias("pdf_name")).distinct(), "pdf_name", "left_semi")
+    loose = asked.groupBy(F.col("pdf_name").alias("name")).agg(F.count("*").alias("_n"), F.min("id").alias("_id"), F.sort_array(F.collect_list("relative_path")).alias("_paths"))
     rows = names.join(exact, "name", "left").join(loose, "name", "left")
     one = F.coalesce("_exact", F.when(F.col("_n") == 1, F.col("_id")))
     status = F.when(one.isNotNull(), "found").when(F.col("_n") > 1, "ambiguous").otherwise("missing")
     return rows.select("name", status.alias("status"), one.alias("document_id"), F.when(status == "ambiguous", F.array_join("_paths", ",")).alias("candidates"))
 
 
+def move_outcome(documents: DataFrame, moves: DataFrame) -> DataFrame:
+    """(relative_path, new_path, outcome) of moves: moved, same, missing or conflict.
+
+    A target that a document has already is a conflict; of several moves to one target the first by
+    source is done, the others are conflicts. A source asked for twice goes to the first target by name.
+    """
+    known = documents.select("relative_path", F.lit(True).alias("_known")).distinct()
+    taken = known.select(F.col("relative_path").alias("new_path"), F.col("_known").alias("_taken"))
+    asked = moves.groupBy("relative_path").agg(F.min("new_path").alias("new_path"))
+    rows = asked.join(known, "relative_path", "left").join(taken, "new_path", "left")
+    free = F.col("_known").isNotNull() & F.col("_taken").isNull()
+    nth = F.row_number().over(Window.partitionBy("new_path", free).orderBy("relative_path"))
+    outcome = F.when(F.col("_known").isNull(), "missing").when(F.col("relative_path") == F.col("new_path"), "same").when(free & (nth == 1), "moved").otherwise("conflict")
+    return rows.select("relative_path", "new_path", outcome.alias("outcome"))
+
+
 def relocate(documents: DataFrame, moves: DataFrame) -> DataFrame:
-    """Documents after moves (relative_path, new_path); a move onto a path that another document has is a conflict and left out."""
-    taken = documents.select(F.col("relative_path").alias("new_path")).distinct()
-    good = moves.where("relative_path <> new_path").join(taken, "new_path", "left_anti")
+    """Documents after moves (relative_path, new_path); conflicts are left where they are."""
+    good = move_outcome(documents, moves).where("outcome = 'moved'").select("relative_path", "new_path")
     rows = documents.join(good, "relative_path", "left")
     path = F.coalesce("new_path", "relative_path")
     return rows.select("id", F.element_at(F.split(path, "/"), -1).alias("pdf_name"), path.alias("relative_path"), F.col("new_path").isNotNull().alias("moved"))
 
 
-def rename_folder(rows: DataFrame, old: str, new: str) -> DataFrame:
-    path = F.when(F.col("relative_path").startswith(old + "/"), F.concat(F.lit(new), F.substr("relative_path", F.lit(len(old) + 1)))).otherwise(F.col("relative_path"))
-    return rows.withColumn("relative_path", path)
+def relocated_state(state: DataFrame, documents: DataFrame, moves: DataFrame) -> DataFrame:
+    """The scan state after moves: what a target had is purged, what a source had goes along."""
+    good = move_outcome(documents, moves).where("outcome = 'moved'").select("relative_path", "new_path")
+    rows = state.join(good.select(F.col("new_path").alias("relative_path")), "relative_path", "left_anti").join(good, "relative_path", "left")
+    return rows.withColumn("relative_path", F.coalesce("new_path", "relative_path")).drop("new_path").select(*state.columns)
+
+
+def _renamed(c: str, old: str, new: str) -> Column:
+    return F.when(F.col(c).startswith(old + "/"), F.concat(F.lit(new), F.substr(c, F.lit(len(old) + 1)))).otherwise(F.col(c))
+
+
+def rename_folder(documents: DataFrame, old: str, new: str) -> DataFrame:
+    """Documents with the folder renamed; unchanged where the new folder holds documents already (a conflict)."""
+    if old == new:
+        return documents
+    taken = documents.agg(F.coalesce(F.max(F.col("relative_path").startswith(new + "/")), F.lit(False)).alias("_taken"))  # one row
+    path = F.when(F.col("_taken"), F.col("relative_path")).otherwise(_renamed("relative_path", old, new))
+    return documents.crossJoin(F.broadcast(taken)).withColumn("relative_path", path).drop("_taken")
+
+
+def renamed_state(state: DataFrame, documents: DataFrame, old: str, new: str) -> DataFrame:
+    """The scan state after the folder is renamed: rows of the new folder are purged, those of the old one renamed; all stay in a conflict."""
+    if old == new:
+        return state
+    taken = documents.agg(F.coalesce(F.max(F.col("relative_path").startswith(new + "/")), F.lit(False)).alias("_taken"))  # one row
+    rows = state.crossJoin(F.broadcast(taken)).where(F.col("_taken") | ~F.col("relative_path").startswith(new + "/"))
+    return rows.withColumn("relative_path", F.when(F.col("_taken"), F.col("relative_path")).otherwise(_renamed("relative_path", old, new))).drop("_taken")
+
+
+def replace_documents(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The catalogue after an ingest: a document of a path that comes in goes with its pages, parts, cross references and aliases."""
+    gone = old["documents"].join(new["documents"].select("relative_path").distinct(), "relative_path", "left_semi").select("id")
+    gone_parts = old["parts"].join(gone.select(F.col("id").alias("document_id")), "document_id", "left_semi").select("id")
+    out = {"documents": upsert(old["documents"], new["documents"])}
+    for name, rows in old.items():
+        if name != "documents":
+            by_document = "document_id" in rows.columns
+            kept = without_documents(rows, gone) if by_document else without_documents(rows, gone_parts, "part_id")
+            out[name] = kept.unionByName(new[name], allowMissingColumns=True) if name in new else kept
+    return out
 
 
 def delete_outcome(documents: DataFrame, names: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 MAX_DEPTH, MAX_SIBLINGS, MAX_CHILDREN = 12, 20, 40
+# The columns that tell rows apart.
 ROW_KEY = ("document_id", "page_num", "figure_code", "fig_item_raw", "fig_item_no", "not_illustrated", "part_number_cell", "nomenclature_clean", "effectivity", "units_per_assy", "nom_level")
 
 
@@ -46,23 +47,25 @@ def assign_parents(parts: DataFrame, order: str = "id", deepest: int | None = No
 def drop_duplicates(parts: DataFrame, deepest: int) -> DataFrame:
     """(id, survivor, parent): rows that agree in the row key and parent are one, the first; its id then acts as parent.
 
-    The key holds the parent, so levels are settled from 0 down, each with one shuffle.
+    Parents are one when they agree in turn, so rows are one when the keys of their whole chains agree:
+    one join with (id, key, parent) per level gathers the chain, and one window groups by it.
     """
     missing = [c for c in ROW_KEY if c not in parts.columns]
     rows = parts.select("*", *(F.lit(None).cast("string").alias(c) for c in missing))
     kind = dict(rows.dtypes)
     key = [F.coalesce(c, F.lit("")) if kind[c] == "string" else F.coalesce(c, F.lit(0)) for c in ROW_KEY]
-    rows = rows.select("id", "nom_level", F.col("parent_part_id").alias("parent"), F.struct(*key).alias("key"))
-    done = None
-    for level in range(deepest + 1):
-        here = rows.where(F.col("nom_level") == level)
-        if done is not None:
-            known = done.where("id <> survivor").select(F.col("id").alias("parent"), F.col("survivor").alias("_of"))
-            here = here.join(known, "parent", "left").withColumn("parent", F.coalesce("_of", "parent")).drop("_of")
-        same = Window.partitionBy("key", F.coalesce("parent", F.lit(0)))
-        here = here.select("id", F.min("id").over(same).alias("survivor"), "parent")
-        done = here if done is None else done.unionByName(here)
-    return done
+    rows = rows.where(F.col("nom_level").between(0, deepest)).select("id", F.col("parent_part_id").alias("parent"), F.sha2(F.to_json(F.struct(*key)), 256).alias("key"))
+    known = rows.select(F.col("id").alias("_at"), F.col("key").alias("_key"), F.col("parent").alias("_next"))
+    chain = rows.select("id", "parent", F.array("key").alias("chain"), F.coalesce("parent", F.lit(0)).alias("_at"))
+    for _ in range(deepest):
+        chain = chain.join(known, "_at", "left").select(
+            "id", "parent", F.when(F.col("_key").isNull(), F.col("chain")).otherwise(F.concat("chain", F.array("_key"))).alias("chain"),
+            F.when(F.col("_key").isNull(), F.col("_at")).otherwise(F.coalesce("_next", F.lit(0))).alias("_at"),
+        )
+    same = Window.partitionBy("chain", "_at")  # what is left of a chain is where it leads out of the table
+    found = chain.select("id", "parent", F.min("id").over(same).alias("survivor"))
+    of = found.where("id <> survivor").select(F.col("id").alias("parent"), F.col("survivor").alias("_of"))
+    return found.join(of, "parent", "left").select("id", "survivor", F.coalesce("_of", "parent").alias("parent"))
 
 
 def ancestors(parts: DataFrame, ids: DataFrame | None = None, depth: int = MAX_DEPTH) -> DataFrame:
@@ -92,11 +95,11 @@ def siblings(parts: DataFrame, most: int = MAX_SIBLINGS) -> DataFrame:
     return found.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("sibling_id"))).where(F.col("n") <= most).select("id", "sibling_id")
 
 
-def children(parts: DataFrame, most: int = MAX_CHILDREN) -> DataFrame:
-    """(id, child_id): the first parts by id whose parent it is."""
+def children(parts: DataFrame, of: DataFrame | None = None, most: int = MAX_CHILDREN) -> DataFrame:
+    """(id, child_id): the first parts by id whose parent it is; ``of`` names the parents, all parts by default."""
     nth = F.row_number().over(Window.partitionBy("parent_part_id").orderBy("id"))
     rows = parts.where(F.coalesce("parent_part_id", F.lit(0)) != 0).select(F.col("parent_part_id").alias("id"), F.col("id").alias("child_id"), nth.alias("n"))
-    return rows.where(F.col("n") <= most).join(parts.select("id"), "id", "left_semi").select("id", "child_id")
+    return rows.where(F.col("n") <= most).join((parts if of is None else of).select("id"), "id", "left_semi").select("id", "child_id")
 
 
 def detail(parts: DataFrame, documents: DataFrame, pages: DataFrame) -> DataFrame:
@@ -115,8 +118,9 @@ def nested_detail(parts: DataFrame, documents: DataFrame, pages: DataFrame, ids:
     want = ids.select("id").distinct()
     listed = lambda df, c, name: df.join(want, "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list(c)).alias(name))  # noqa: E731  at most MAX_* per id
     own = parts.join(want, "id", "left_semi")
+    near = parts.join(own.where("parent_part_id <> 0").select("parent_part_id").union(own.select("id")).distinct(), "parent_part_id", "left_semi")  # rows of the parents asked for
     xrefs = own.select("id", F.array_sort(T.cross_references("nomenclature_clean")).alias("xrefs"))
     out = detail(own, documents, pages).join(ancestors(parts, want), "id", "left")
-    out = out.join(listed(siblings(parts), "sibling_id", "siblings"), "id", "left").join(listed(children(parts), "child_id", "children"), "id", "left").join(xrefs, "id")
+    out = out.join(listed(siblings(near), "sibling_id", "siblings"), "id", "left").join(listed(children(near, want), "child_id", "children"), "id", "left").join(xrefs, "id")
     empty = F.array().cast("array<bigint>")
     return out.withColumn("siblings", F.coalesce("siblings", empty)).withColumn("children", F.coalesce("children", empty))

@@ -28,12 +28,35 @@ def histogram(log: DataFrame, n: int = HISTORY) -> DataFrame:
     )
 
 
+def numbered(log: DataFrame, slices: int = 256) -> DataFrame:
+    """Adds rn, the observation's place in its metric from 0: places in a slice of time, after the counts of the slices before."""
+    ts = F.unix_micros(F.col("ts").cast("timestamp"))
+    a, z = log.agg(F.min(ts), F.max(ts)).first()
+    at = F.lit(0) if a == z else F.floor((ts - a) / ((z - a) / slices)).cast("int")
+    rows = log.withColumn("_slice", F.coalesce(at, F.lit(-1)))
+    counts = rows.groupBy("metric", "_slice").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("metric").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("metric", "_slice", F.coalesce(before, F.lit(0)).alias("_before"))  # at most slices + 1 rows a metric
+    nth = F.row_number().over(Window.partitionBy("metric", "_slice").orderBy("ts", "event_id"))
+    return rows.withColumn("_nth", nth).join(counts, ["metric", "_slice"]).withColumn("rn", F.col("_before") + F.col("_nth") - 1).drop("_slice", "_nth", "_before")
+
+
 def rolling(log: DataFrame, n: int = HISTORY) -> DataFrame:
-    """The same numbers after every observation, but for p99."""
-    w = Window.partitionBy("metric").orderBy("ts", "event_id").rowsBetween(-(n - 1), 0)
-    return log.select(
-        "event_id", "metric", F.count("value").over(w).alias("count"), F.round(F.sum("value").over(w), 4).alias("sum"), F.round(F.avg("value").over(w), 9).alias("avg"), F.min("value").over(w).alias("min"), F.max("value").over(w).alias("max")
-    )
+    """The same numbers after every observation, but for p99.
+
+    Observations are cut into blocks of n. The last n of one are the end of the block before, from the
+    place after its own, and the beginning of its own block, so each row needs one running value
+    from either side, and no task holds more than a slice of time or a block.
+    """
+    rows = numbered(log.select("event_id", "ts", "metric", "value")).withColumn("_block", F.expr(f"rn div {n}"))
+    part = Window.partitionBy("metric", "_block")
+    upto, since = part.orderBy("rn").rowsBetween(Window.unboundedPreceding, 0), part.orderBy(F.col("rn").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    kinds = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+    both = rows.select("event_id", "metric", "rn", *(f("value").over(upto).alias(f"a_{k}") for k, f in kinds.items()), *(f("value").over(since).alias(f"z_{k}") for k, f in kinds.items()))
+    tails = both.select("metric", (F.col("rn") + n - 1).alias("rn"), *(f"z_{k}" for k in kinds)).where(F.expr(f"rn % {n} <> {n - 1}"))  # else its own block is all
+    out = both.drop(*(f"z_{k}" for k in kinds)).join(tails, ["metric", "rn"], "left")
+    count, total = F.col("a_count") + F.coalesce("z_count", F.lit(0)), F.when(F.coalesce("a_sum", "z_sum").isNotNull(), F.coalesce("a_sum", F.lit(0.0)) + F.coalesce("z_sum", F.lit(0.0)))
+    return out.select("event_id", "metric", count.alias("count"), F.round(total, 4).alias("sum"), F.round(total / count, 9).alias("avg"), F.least("a_min", "z_min").alias("min"), F.greatest("a_max", "z_max").alias("max"))
 
 
 def gauges(log: DataFrame) -> DataFrame:

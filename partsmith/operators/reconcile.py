@@ -24,7 +24,7 @@ def own_side(parts: DataFrame, documents: DataFrame) -> DataFrame:
 
 def other_side(rows: DataFrame) -> DataFrame:
     """The same columns of a second catalogue, whose cells are text."""
-    level = F.coalesce(T.null_if_empty(F.col("ipc_level").cast("string")), F.lit("0")).cast("int")
+    level = F.coalesce(T.null_if_empty(F.col("level").cast("string")), F.lit("0")).cast("int")
     parent = F.upper(F.trim(F.coalesce("parent_pn", F.lit("")))) if "parent_pn" in rows.columns else F.lit("")
     return rows.select(
         F.col("ext_id").alias("id"), F.trim("source_pdf").alias("source"), F.col("start_page").cast("int").alias("page"), F.upper(F.trim("part_number")).alias("pn"),
@@ -71,23 +71,48 @@ def report(own: DataFrame, other: DataFrame) -> DataFrame:
     return totals.join(pair, "k").drop("k")
 
 
-def qa_check(samples: DataFrame, own: DataFrame) -> DataFrame:
-    """(name, failures): a sample passes if its row is there and has the figure item, parent, level and number asked for."""
-    s = samples.select("name", F.col("source").alias("_s"), F.col("page").alias("_p"), F.upper("part_number").alias("_n"), "fig_item", "fig_items", "parent", "min_level", "at_least")
-    hit = s.join(own, (F.col("_s") == F.col("source")) & (F.col("_p") == F.col("page")) & (F.col("_n") == F.col("pn")), "left")
-    strip = lambda c: F.regexp_replace(c, "^- ", "")
-    ask = ["fig_item", "fig_items", "parent", "min_level", "at_least"]
+def qa_side(parts: DataFrame, documents: DataFrame) -> DataFrame:
+    """(id, source, page, pn, fig, figure, level, parent_pn) of all rows as samples name them: by file name, numbers as in the cell."""
+    number = F.upper(F.trim(F.coalesce("part_number_cell", "part_number_canonical", "part_number_extracted", F.lit(""))))
+    docs = documents.select(F.col("id").alias("document_id"), F.col("pdf_name").alias("source"))
+    ups = parts.select(F.col("id").alias("parent_part_id"), number.alias("parent_pn"))
+    rows = parts.join(docs, "document_id").join(ups, "parent_part_id", "left")
+    return rows.select(
+        "id", "source", F.col("page_num").alias("page"), number.alias("pn"), F.trim(T.fig_item_display("fig_item_raw", "fig_item_no", "not_illustrated")).alias("fig"),
+        F.upper(F.trim(F.coalesce("figure_code", F.lit("")))).alias("figure"), F.coalesce("nom_level", F.lit(0)).alias("level"), F.coalesce("parent_pn", F.lit("")).alias("parent_pn"),
+    )
+
+
+def asks_of(samples: DataFrame) -> DataFrame:
+    """What nested samples (sources.catalog.qa_samples) ask for, in the columns that qa_check() takes."""
+    want = {"parent": "parent_part_number", "figure_code": "figure_code", "min_level": "min_nom_level", "at_least": "count_at_least"}
+    return samples.select(
+        "name", F.trim("pdf_name").alias("source"), F.col("page_num").alias("page"), "part_number", "fig_item", F.col("fig_item_set").alias("fig_items"), *(F.col(f"expected.{c}").alias(n) for n, c in want.items())
+    )
+
+
+def qa_check(samples: DataFrame, rows: DataFrame) -> DataFrame:
+    """(name, failures) of samples against rows of qa_side().
+
+    A sample without its row is ``missing``; with a figure item that no row shows it is ``fig_item``, and nothing else
+    is looked at. Figure items are asked of all its rows, a level of the greatest one; figure and parent
+    of the first row by id, of those that show the figure item if one is named.
+    """
+    ask = ["fig_item", "fig_items", "parent", "figure_code", "min_level", "at_least"]
+    s = samples.select("name", F.col("source").alias("_s"), F.col("page").alias("_p"), F.upper(F.trim("part_number")).alias("_n"), *ask)
+    hit = s.join(rows, (F.col("_s") == F.col("source")) & (F.col("_p") == F.col("page")) & (F.col("_n") == F.col("pn")), "left")
+    strip = lambda c: F.regexp_replace(F.trim(c), "^- ", "")
+    ok = F.col("id").isNotNull() & (F.col("fig_item").isNull() | (F.col("fig") == F.trim("fig_item")))
     g = hit.groupBy("name").agg(
-        *(F.first(c).alias(c) for c in ask), F.count("id").alias("n"), F.collect_set(strip(F.col("fig"))).alias("figs"),
-        F.max(F.when(F.col("fig_item").isNull() | (F.col("fig") == F.col("fig_item")), 1)).alias("has_fig"),
-        F.max(F.when(F.col("parent_pn") == F.upper("parent"), 1)).alias("has_parent"), F.max("level").alias("top"),
+        *(F.first(c).alias(c) for c in ask), F.count("id").alias("n"), F.collect_set(strip(F.col("fig"))).alias("figs"), F.max("level").alias("top"),
+        F.min_by(F.when(ok, F.struct("figure", "parent_pn", "level")), F.when(ok, F.col("id"))).alias("at"),
     )
+    top = F.when(F.col("fig_item").isNull(), F.col("top")).otherwise(F.col("at.level"))
     failed = F.array_compact(F.array(
-        F.when(F.col("n") == 0, "missing"), F.when((F.col("n") > 0) & F.col("has_fig").isNull(), "fig_item"),
-        F.when((F.col("n") > 0) & F.col("parent").isNotNull() & F.col("has_parent").isNull(), "parent"), F.when(F.col("top") < F.col("min_level"), "level"),
-        F.when(F.col("n") < F.col("at_least"), "count"), F.when(F.size(F.array_except(F.transform("fig_items", strip), "figs")) > 0, "fig_items"),
+        F.when(F.size(F.array_except(F.transform("fig_items", strip), "figs")) > 0, "fig_items"), F.when(top < F.col("min_level"), "level"),
+        F.when(F.col("at.figure") != F.upper(F.trim("figure_code")), "figure_code"), F.when(F.col("at.parent_pn") != F.upper(F.trim("parent")), "parent"), F.when(F.col("n") < F.col("at_least"), "count"),
     ))
-    return g.select("name", F.array_join(failed, ",").alias("failures"))
+    return g.select("name", F.when(F.col("n") == 0, "missing").when(F.col("at").isNull(), "fig_item").otherwise(F.array_join(failed, ",")).alias("failures"))
 
 
 def truth_rows(records: DataFrame) -> DataFrame:

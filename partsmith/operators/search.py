@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 PAGE_SIZE, MAX_PAGE_SIZE = 20, 100
+# A part's identifiers, in order of rank.
 IDENTIFIERS = ("part_number_canonical", "part_number_extracted", "part_number_cell")
 
 
@@ -161,14 +162,15 @@ def envelope(parts: DataFrame, documents: DataFrame, aliases: DataFrame, r: Requ
 
 
 def lookup(parts: DataFrame, documents: DataFrame, aliases: DataFrame, number: str) -> DataFrame:
-    """Parts that have exactly this number, under any of its names; an alias repeats a row."""
+    """Parts that have exactly this number, under any of its names, by document, page and id; an alias repeats a row."""
     q = (number or "").strip().upper()
     rows = parts.join(aliases.select(F.col("part_id").alias("id"), "alias_value"), "id", "left")
     hit = F.col("alias_value") == q
     for c in IDENTIFIERS:
         hit = hit | (F.col(c) == q)
     docs = documents.select(F.col("id").alias("document_id"), "pdf_name")
-    return rows.where(hit).join(docs, "document_id").select("id", "pdf_name", "page_num", "figure_code", "fig_item_no", "part_number_canonical", T.shorten("nomenclature_clean").alias("title"))
+    out = rows.where(hit).join(docs, "document_id").select("id", "pdf_name", "page_num", "figure_code", "fig_item_no", "part_number_canonical", T.shorten("nomenclature_clean").alias("title"))
+    return out.orderBy("pdf_name", "page_num", "id")
 
 
 def xrefs_of(hits: DataFrame, parts: DataFrame) -> DataFrame:
@@ -180,61 +182,123 @@ def xrefs_of(hits: DataFrame, parts: DataFrame) -> DataFrame:
 # many queries at once
 
 
-def batch_exact(parts: DataFrame, aliases: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id, rank) of every query that equals an identifier: one equi-join."""
-    return _keyed(parts, aliases).join(queries.select("qid", F.upper(F.trim("q")).alias("value")), "value").groupBy("qid", "id").agg(F.min("kind").alias("rank"))
-
-
 def _keyed(parts: DataFrame, aliases: DataFrame) -> DataFrame:
     own = parts.select("id", F.inline(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(c).alias("value")) for i, c in enumerate(IDENTIFIERS)))))
     return own.unionByName(aliases.select(F.col("part_id").alias("id"), F.lit(3).alias("kind"), F.col("alias_value").alias("value"))).where("value is not null")
 
 
-def batch_prefix(parts: DataFrame, aliases: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id, rank) of every query of four characters or more that begins an identifier.
+def _asked(queries: DataFrame) -> DataFrame:
+    """(qid, needle) of the queries that ask for something."""
+    return queries.select("qid", F.upper(F.trim("q")).alias("needle")).where("needle <> ''")
+
+
+def _like_column(before: str, after: str) -> Column:
+    """value LIKE needle between two wildcards; the needle's own % and _ are wildcards too, a backslash is itself."""
+    return F.expr(f"value LIKE concat('{before}', replace(needle, '\\\\', '\\\\\\\\'), '{after}')")
+
+
+def _literal(c: str) -> Column:
+    return ~F.col(c).rlike("[%_]")
+
 
-    Identifiers are cut to each length that some query has and meet the queries in one equi-join.
+def exact_hits(keyed: DataFrame, needles: DataFrame) -> DataFrame:
+    """(needle, id, rank) of needles that equal an identifier: one equi-join."""
+    return keyed.join(needles, F.col("value") == F.col("needle")).select("needle", "id", F.col("kind").alias("rank"))
+
+
+def prefix_hits(keyed: DataFrame, needles: DataFrame) -> DataFrame:
+    """(needle, id, rank) of needles of four characters or more that begin an identifier.
+
+    Identifiers are cut to the length of each needle's literal head and meet it in one equi-join; wildcards after the head are tested.
     """
-    asked = queries.select("qid", F.upper(F.trim("q")).alias("head")).where(F.length("head") >= 4)
+    asked = needles.where(F.length("needle") >= 4).withColumn("head", F.regexp_extract("needle", "^([^%_]*)", 1))
     lengths = asked.select(F.length("head").alias("n")).distinct()
-    cut = _keyed(parts, aliases).join(F.broadcast(lengths), F.length("value") >= F.col("n"))  # as many rows as there are query lengths
-    cut = cut.select("id", "kind", F.substr("value", F.lit(1), F.col("n")).alias("head"))
-    return cut.join(asked, "head").groupBy("qid", "id").agg((F.min("kind") + 10).alias("rank"))
+    cut = keyed.join(F.broadcast(lengths), F.length("value") >= F.col("n"))  # as many rows as there are head lengths
+    met = cut.select("id", "kind", "value", F.substr("value", F.lit(1), F.col("n")).alias("head")).join(asked, "head")
+    return met.where(_literal("needle") | _like_column("", "%")).select("needle", "id", (F.col("kind") + 10).alias("rank"))
 
 
-def trigrams(c) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3))))
+def grams(c: Column, n: Column) -> Column:
+    """The distinct pieces of n characters of a text (n = 0: the empty one)."""
+    last = F.length(c) - n + 1
+    return F.when(n == 0, F.array(F.lit(""))).when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(c, i, n)))).otherwise(F.array().cast("array<string>"))
 
 
-def batch_contains(parts: DataFrame, aliases: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id, rank) of every query of three characters or more that an identifier contains.
+def containing(values: DataFrame, needles: DataFrame) -> DataFrame:
+    """(value, needle) of distinct values and needles for which value LIKE %needle%.
 
-    A query meets the identifiers that have its rarest trigram, then is tested. Equal identifiers and
-    equal queries are joined once.
+    A needle meets the values that have the rarest piece, of three characters at most, of its longest run
+    without wildcards, and is then tested. Only a needle of nothing but wildcards meets all values, as it must.
     """
-    asked = queries.select("qid", F.upper(F.trim("q")).alias("needle")).where((F.length("needle") >= 3) & ~F.col("needle").rlike("[%_]"))
-    values = _keyed(parts, aliases)
-    distinct = values.select("value").distinct()
-    grams = distinct.select("value", F.explode(trigrams(F.col("value"))).alias("gram"))
-    needles = asked.select("needle").distinct()
-    spread = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = needles.select("needle", F.explode(trigrams(F.col("needle"))).alias("gram")).join(spread, "gram").groupBy("needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("*").alias("known"), F.first(F.size(trigrams(F.col("needle")))).alias("all"))
-    found = grams.join(rarest.where("known = all"), "gram").where(F.col("value").contains(F.col("needle"))).select("value", "needle")
-    return values.join(found, "value").join(asked, "needle").groupBy("qid", "id").agg((F.min("kind") + 20).alias("rank"))
+    run = F.array_max(F.transform(F.split("needle", "[%_]+"), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    asked = needles.withColumn("run", run).withColumn("n", F.least(F.length("run"), F.lit(3)))
+    sizes = asked.select("n").distinct()  # 0 to 3
+    pieces = values.join(F.broadcast(sizes)).select("value", F.explode(grams(F.col("value"), F.col("n"))).alias("gram"))
+    own = asked.select("needle", F.explode(grams(F.col("run"), F.col("n"))).alias("gram"))
+    spread = pieces.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = own.join(spread, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
+    met = pieces.join(rarest, "gram")
+    return met.where(F.when(_literal("needle"), F.col("value").contains(F.col("needle"))).otherwise(_like_column("%", "%"))).select("value", "needle")
+
+
+def contains_hits(keyed: DataFrame, needles: DataFrame) -> DataFrame:
+    """(needle, id, rank) of needles of three characters or more that an identifier contains. Equal identifiers are tested once."""
+    found = containing(keyed.select("value").distinct(), needles.where(F.length("needle") >= 3))
+    return keyed.join(found, "value").select("needle", "id", (F.col("kind") + 20).alias("rank"))
+
+
+def term_hits_of(parts: DataFrame, needles: DataFrame) -> DataFrame:
+    """(needle, id, rank) of needles that a nomenclature contains, with the part that a note is attached to; dots alone ask for levels."""
+    text = F.upper(F.coalesce("nomenclature_clean", "nomenclature", F.lit("")))
+    rows = parts.select("id", "attached_to_part_id", "nom_level", text.alias("value"))
+    dots = F.col("needle").rlike("^[.]+$")
+    words = needles.where(~dots & (F.col("needle").startswith(".") | (F.length("needle") >= 3) | ((F.length("needle") >= 2) & F.col("needle").rlike("[0-9]"))))
+    found = rows.join(containing(rows.select("value").distinct(), words), "value")
+    own = found.select("needle", "id", F.lit(0).alias("rank"))
+    other = found.where("attached_to_part_id is not null and not startswith(needle, '.')").select("needle", F.col("attached_to_part_id").alias("id"), F.lit(1).alias("rank"))
+    levels = rows.where("nom_level > 0").select("id", F.explode(F.sequence(F.lit(1), F.col("nom_level"))).alias("n"))
+    deep = levels.join(needles.where(dots).withColumn("n", F.length("needle")), "n").select("needle", "id", F.lit(0).alias("rank"))
+    return own.unionByName(other).unionByName(deep)
+
+
+def best(hits: DataFrame, by: str = "needle") -> DataFrame:
+    return hits.groupBy(by, "id").agg(F.min("rank").alias("rank"))
+
+
+def by_query(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """What was found for a needle, for each query that asks for it: hits are multiplied last."""
+    return _asked(queries).join(found, "needle").drop("needle")
+
+
+def needle_hits(parts: DataFrame, aliases: DataFrame, queries: DataFrame, contains: bool = True) -> DataFrame:
+    """(needle, id, rank): the best rank of each part for each distinct query text."""
+    keyed, needles = _keyed(parts, aliases), _asked(queries).select("needle").distinct()
+    out = exact_hits(keyed, needles).unionByName(prefix_hits(keyed, needles))
+    return best(out.unionByName(contains_hits(keyed, needles)) if contains else out)
 
 
 def batch_search(parts: DataFrame, aliases: DataFrame, queries: DataFrame, contains: bool = True) -> DataFrame:
     """(qid, id, rank): the best rank of each part for each query."""
-    out = batch_exact(parts, aliases, queries).unionByName(batch_prefix(parts, aliases, queries))
-    out = out.unionByName(batch_contains(parts, aliases, queries)) if contains else out
-    return out.groupBy("qid", "id").agg(F.min("rank").alias("rank"))
+    return by_query(needle_hits(parts, aliases, queries, contains), queries)
+
+
+def batch_contains(parts: DataFrame, aliases: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, id, rank) of every query of three characters or more that an identifier contains."""
+    return by_query(best(contains_hits(_keyed(parts, aliases), _asked(queries).select("needle").distinct())), queries)
+
+
+def batch_terms(parts: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, id, rank) of every query that a nomenclature contains."""
+    return by_query(best(term_hits_of(parts, _asked(queries).select("needle").distinct())), queries)
+
 
+def top_k(ranked: DataFrame, k: int, by: str = "qid") -> DataFrame:
+    """The k best parts of each query or needle; of salted parts first, so that one with very many hits is not one task's."""
+    salted = ranked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32)))
+    kept = salted.withColumn("r", F.row_number().over(Window.partitionBy(by, "salt").orderBy("rank", "id"))).where(F.col("r") <= k).drop("r", "salt")
+    return kept.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy("rank", "id"))).where(F.col("position") <= k)
 
-def top_k(ranked: DataFrame, k: int) -> DataFrame:
-    """The k best parts of each query; per map task first, so that a query with very many hits is not one task's."""
-    best = ranked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32)))
-    from pyspark.sql import Window
 
-    part = Window.partitionBy("qid", "salt").orderBy("rank", "id")
-    best = best.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k).drop("r", "salt")
-    return best.withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "id"))).where(F.col("position") <= k)
+def batch_top_k(parts: DataFrame, aliases: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, id, rank, position): the k best parts of each query, ranked once per distinct query text."""
+    return by_query(top_k(needle_hits(parts, aliases, queries), k, "needle"), queries)

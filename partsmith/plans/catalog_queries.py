@@ -110,10 +110,10 @@ def _part_xrefs(c):
 
 @query("detail_nested", f"""{_CHAIN}, sib AS ({_SIBLINGS}), chi AS ({_CHILDREN}), det AS ({_DETAIL})
 SELECT id, source, fig_item, array_to_string((SELECT ups FROM longest WHERE longest.id = det.id), ',') AS ancestors, coalesce((SELECT string_agg(sibling_id::VARCHAR, ',' ORDER BY sibling_id) FROM sib WHERE sib.id = det.id), '') AS siblings,
- coalesce((SELECT string_agg(child_id::VARCHAR, ',' ORDER BY child_id) FROM chi WHERE chi.id = det.id), '') AS children FROM det WHERE id % 10 = 0""")
+ coalesce((SELECT string_agg(child_id::VARCHAR, ',' ORDER BY child_id) FROM chi WHERE chi.id = det.id), '') AS children FROM det""")
 def _nested(c):
     parts = with_parents(c)
-    out = H.nested_detail(parts, c.f_documents, c.f_pages, parts.where("id % 10 = 0"))
+    out = H.nested_detail(parts, c.f_documents, c.f_pages, parts.select("id"))
     return out.select("id", "source", "fig_item", *(F.array_join(n, ",").alias(n) for n in ("ancestors", "siblings", "children")))
 
 
@@ -187,11 +187,11 @@ def _counts(c):
     return C.table_counts({"documents": c.f_documents, "pages": c.f_pages, "parts": c.f_parts, "aliases": c.f_aliases})
 
 
-_NAMES = "names AS (SELECT DISTINCT CASE WHEN id % 5 = 0 THEN relative_path WHEN id % 5 = 1 THEN pdf_name WHEN id % 5 = 2 THEN 'absent' || id::VARCHAR || '.pdf' WHEN id % 5 = 3 THEN 'a/b/' || pdf_name ELSE 'dir1/' || pdf_name END AS name FROM f_documents WHERE id % 3 = 0)"
+_NAMES = "names AS (SELECT DISTINCT CASE WHEN id % 5 = 0 THEN relative_path WHEN id % 5 = 1 THEN pdf_name WHEN id % 5 = 2 THEN 'absent' || id::VARCHAR || '.pdf' WHEN id % 5 = 3 THEN 'a/b/' || pdf_name ELSE 'dir1/' || pdf_name END AS name FROM f_documents)"
 
 
 def names(c):
-    return c.f_documents.where("id % 3 = 0").selectExpr("CASE WHEN id % 5 = 0 THEN relative_path WHEN id % 5 = 1 THEN pdf_name WHEN id % 5 = 2 THEN concat('absent', id, '.pdf') WHEN id % 5 = 3 THEN concat('a/b/', pdf_name) ELSE concat('dir1/', pdf_name) END AS name").distinct()
+    return c.f_documents.selectExpr("CASE WHEN id % 5 = 0 THEN relative_path WHEN id % 5 = 1 THEN pdf_name WHEN id % 5 = 2 THEN concat('absent', id, '.pdf') WHEN id % 5 = 3 THEN concat('a/b/', pdf_name) ELSE concat('dir1/', pdf_name) END AS name").distinct()
 
 
 @query("document_location", f"{_D}, {_NAMES}, l AS (SELECT pdf_name, min(relative_path) AS p FROM f_documents GROUP BY pdf_name) SELECT name, coalesce(d.relative_path, p) AS relative_path FROM names LEFT JOIN f_documents d ON d.relative_path = name LEFT JOIN l ON l.pdf_name = name")
@@ -258,9 +258,9 @@ def _summary(c):
     return counts.agg(*(F.max(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in ("ingested", "replaced", "parts", "xrefs", "aliases")))
 
 
-@query("rekey_parts", f"{_PARENTS}, k AS (SELECT id AS old_id, 500000 + row_number() OVER (ORDER BY document_id, id) AS new_id FROM hp WHERE document_id % 3 = 0) SELECT k.new_id AS id, document_id, p.new_id AS parent_part_id, a.new_id AS attached_to_part_id FROM hp JOIN k ON k.old_id = id LEFT JOIN k p ON p.old_id = parent_part_id LEFT JOIN k a ON a.old_id = attached_to_part_id")
+@query("rekey_parts", f"{_PARENTS}, k AS (SELECT id AS old_id, 500000 + row_number() OVER (ORDER BY document_id, id) AS new_id FROM hp) SELECT k.new_id AS id, document_id, p.new_id AS parent_part_id, a.new_id AS attached_to_part_id FROM hp JOIN k ON k.old_id = id LEFT JOIN k p ON p.old_id = parent_part_id LEFT JOIN k a ON a.old_id = attached_to_part_id")
 def _rekey(c):
-    return C.rekey(with_parents(c).where("document_id % 3 = 0"), 500_000).select("id", "document_id", "parent_part_id", "attached_to_part_id")
+    return C.rekey(with_parents(c), 500_000).select("id", "document_id", "parent_part_id", "attached_to_part_id")
 
 
 _DIFF = f"{_S}, diff AS (SELECT coalesce(l.relative_path, s.relative_path) AS relative_path, CASE WHEN s.relative_path IS NULL THEN 'new' WHEN l.relative_path IS NULL THEN 'removed' WHEN l.size <> s.size OR abs(l.mtime - s.mtime) > 1e-9 THEN 'changed' ELSE 'same' END AS change FROM f_listing l FULL JOIN f_scan_prev s ON s.relative_path = l.relative_path)"
@@ -311,13 +311,27 @@ def _delete(c):
     return C.without_documents(c.f_parts, C.by_name(c.f_documents, "doc0002.pdf")).select("id", "document_id")
 
 
-_MOVES = "moves AS (SELECT relative_path, CASE WHEN id % 2 = 0 THEN 'dir1/doc0000.pdf' ELSE 'moved/' || replace(relative_path, '/', '_') END AS new_path FROM f_documents WHERE id % 6 < 2)"
+_MOVES = "moves AS (SELECT relative_path, CASE WHEN id % 6 = 0 THEN 'dir1/doc0000.pdf' WHEN id % 6 = 1 THEN 'shared/n' || (id // 12)::VARCHAR || '.pdf' WHEN id % 6 = 2 THEN relative_path WHEN id % 6 = 3 THEN 'moved/' || replace(relative_path, '/', '_') ELSE 'x/gone' END AS new_path FROM f_documents WHERE id % 6 < 4), outcomes AS (SELECT m.relative_path, m.new_path, CASE WHEN m.new_path = m.relative_path THEN 'same' WHEN t.id IS NULL AND row_number() OVER (PARTITION BY m.new_path, t.id IS NULL ORDER BY m.relative_path) = 1 THEN 'moved' ELSE 'conflict' END AS outcome FROM moves m LEFT JOIN f_documents t ON t.relative_path = m.new_path), good AS (SELECT * FROM outcomes WHERE outcome = 'moved')"
 
 
-@query("relocate_documents", f"{_D}, {_MOVES}, good AS (SELECT * FROM moves WHERE new_path NOT IN (SELECT relative_path FROM f_documents)) SELECT id, regexp_extract(coalesce(new_path, relative_path), '[^/]*$') AS pdf_name, coalesce(new_path, relative_path) AS relative_path, new_path IS NOT NULL AS moved FROM f_documents LEFT JOIN good USING (relative_path)")
+def moves(c):
+    target = "CASE WHEN id % 6 = 0 THEN 'dir1/doc0000.pdf' WHEN id % 6 = 1 THEN concat('shared/n', id div 12, '.pdf') WHEN id % 6 = 2 THEN relative_path ELSE concat('moved/', replace(relative_path, '/', '_')) END AS new_path"
+    return c.f_documents.where("id % 6 < 4").selectExpr("relative_path", target)
+
+
+@query("relocate_documents", f"{_D}, {_MOVES} SELECT id, regexp_extract(coalesce(new_path, relative_path), '[^/]*$') AS pdf_name, coalesce(new_path, relative_path) AS relative_path, new_path IS NOT NULL AS moved FROM f_documents LEFT JOIN good USING (relative_path)")
 def _relocate(c):
-    moves = c.f_documents.where("id % 6 < 2").selectExpr("relative_path", "CASE WHEN id % 2 = 0 THEN 'dir1/doc0000.pdf' ELSE concat('moved/', replace(relative_path, '/', '_')) END AS new_path")
-    return C.relocate(c.f_documents, moves)
+    return C.relocate(c.f_documents, moves(c))
+
+
+@query("relocate_outcome", f"{_D}, {_MOVES} SELECT * FROM outcomes")
+def _move_outcome(c):
+    return C.move_outcome(c.f_documents, moves(c))
+
+
+@query("relocate_scan_state", f"{_S}, {_MOVES} SELECT coalesce(new_path, relative_path) AS relative_path, size, mtime FROM f_scan_prev LEFT JOIN good USING (relative_path) WHERE relative_path NOT IN (SELECT new_path FROM good)")
+def _move_state(c):
+    return C.relocated_state(c.f_scan_prev, c.f_documents, moves(c))
 
 
 @query("rename_folder", f"{_D} SELECT id, pdf_name, CASE WHEN starts_with(relative_path, 'dir1/') THEN 'engine' || substr(relative_path, 5) ELSE relative_path END AS relative_path FROM f_documents")
@@ -325,6 +339,26 @@ def _rename(c):
     return C.rename_folder(c.f_documents, "dir1", "engine")
 
 
+@query("rename_folder_conflict", f"{_D} SELECT id, pdf_name, relative_path FROM f_documents")
+def _rename_conflict(c):
+    return C.rename_folder(c.f_documents, "dir1", "dir2")
+
+
+@query("rename_folder_state", f"{_S}, x AS (SELECT * FROM f_scan_prev UNION ALL SELECT 'engine/left.pdf', 1, 1.0) SELECT CASE WHEN starts_with(relative_path, 'dir1/') THEN 'engine' || substr(relative_path, 5) ELSE relative_path END AS relative_path, size, mtime FROM x WHERE NOT starts_with(relative_path, 'engine/')")
+def _rename_state(c):
+    left = c.f_scan_prev.limit(1).selectExpr("'engine/left.pdf' as relative_path", "cast(1 as bigint) as size", "cast(1.0 as double) as mtime")
+    return C.renamed_state(c.f_scan_prev.unionByName(left), c.f_documents, "dir1", "engine")
+
+
+_REPLACED = "old_docs AS (SELECT d.id FROM f_documents d WHERE relative_path IN (SELECT relative_path FROM n))"
+
+
+@query("replace_documents", f"{ctes('f_parts', 'f_documents', 'f_pages', 'f_aliases')}, n AS ({_NEW}), {_REPLACED} SELECT 'documents' AS name, (SELECT count(*) FROM f_documents WHERE id NOT IN (SELECT id FROM old_docs)) + (SELECT count(*) FROM n) AS n UNION ALL SELECT 'parts', count(*) FROM f_parts WHERE document_id NOT IN (SELECT id FROM old_docs) UNION ALL SELECT 'pages', count(*) FROM f_pages WHERE document_id NOT IN (SELECT id FROM old_docs) UNION ALL SELECT 'aliases', count(*) FROM f_aliases WHERE part_id NOT IN (SELECT id FROM f_parts WHERE document_id IN (SELECT id FROM old_docs))")
+def _replace(c):
+    old = {"documents": c.f_documents, "parts": c.f_parts, "pages": c.f_pages, "aliases": c.f_aliases}
+    return C.table_counts(C.replace_documents(old, {"documents": incoming(c)}))
+
+
 @query("delete_folder", f"{_S} SELECT 'documents' AS name, count(*) AS n FROM f_documents WHERE starts_with(relative_path, 'dir3/') UNION ALL SELECT 'scan_state', count(*) FROM f_scan_prev WHERE starts_with(relative_path, 'dir3/')")
 def _delete_folder(c):
     return C.table_counts({"documents": c.f_documents.where(C.in_folder("relative_path", "dir3")), "scan_state": c.f_scan_prev.where(C.in_folder("relative_path", "dir3"))})

@@ -109,7 +109,7 @@ def _totals(c):
     return E.records(c.words, c.word_pages).agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("parts"), F.countDistinct("doc_id", "page_num", "pn", "fig_item", "nomenclature").alias("parts_dedup"))
 
 
-_META = "'21-1' || ((doc_id % 10)::VARCHAR) || '-00-0' || (1 + page_num // 2)::VARCHAR AS figure_code, 'FIG. ' || (1 + page_num // 2)::VARCHAR AS figure_label, 'APR 15/21' AS date_text, 'PAGE ' || page_num::VARCHAR AS page_token, 'RF 21-10-00' AS rf_text"
+_META = "'21-1' || ((doc_id % 10)::VARCHAR) || '-00-0' || (1 + page_num // 2 % 9)::VARCHAR AS figure_code, 'FIG. ' || (1 + page_num // 2 % 9)::VARCHAR AS figure_label, 'APR ' || (10 + page_num % 18)::VARCHAR || '/21' AS date_text, 'PAGE ' || page_num::VARCHAR AS page_token, 'RF 21-1' || (doc_id % 8)::VARCHAR || '-00' AS rf_text"
 
 
 @query("footer_meta", f"{_W} SELECT doc_id, page_num, {_META} FROM f_word_pages")
@@ -122,7 +122,7 @@ def _pages_dim(c):
     return E.pages_dim(E.page_spans(E.anchors(c.words), c.word_pages), c.word_pages)
 
 
-@query("page_text_meta", f"{_W} SELECT doc_id, page_num, CASE WHEN page_num % 2 = 0 THEN '21-10-00-02A' ELSE '21-10-00-01' END AS figure_code, 'FIG. ' || (1 + page_num // 2)::VARCHAR AS figure_label, 'APR 15/21' AS date_text, 'PAGE ' || page_num::VARCHAR AS page_token, 'RF 21-10-00' AS rf_text FROM f_word_pages")
+@query("page_text_meta", f"{_W} SELECT doc_id, page_num, CASE WHEN page_num % 2 = 0 THEN '21-10-00-02A' ELSE '21-10-00-01' END AS figure_code, 'FIG. ' || (1 + page_num // 2 % 9)::VARCHAR AS figure_label, 'APR ' || (10 + page_num % 18)::VARCHAR || '/21' AS date_text, 'PAGE ' || page_num::VARCHAR AS page_token, 'RF 21-1' || (doc_id % 8)::VARCHAR || '-00' AS rf_text FROM f_word_pages")
 def _text_meta(c):
     codes = F.when(F.col("page_num") % 2 == 0, "\nFOR 21-10-00-02A AND 21-10-00-03").otherwise("\nFOR 33-10-00-99A AND 21-10-00-01")
     return c.word_pages.withColumn("m", T.page_text_meta(F.concat("meta_text", codes), "21-1")).select("doc_id", "page_num", "m.*")

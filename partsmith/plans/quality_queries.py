@@ -30,7 +30,7 @@ def query(name: str, sql: str | None):
 _EXT = ctes("f_ext_rows").removeprefix("WITH ").split("f_ext_rows AS (", 1)[1]
 _SIDES = f"""{_PARENTS}, f_ext_rows AS ({_EXT}, own AS (SELECT p.id, d.relative_path AS source, p.page_num AS page, upper(trim(coalesce(p.part_number_canonical, p.part_number_extracted, p.part_number_cell, ''))) AS pn, {FIG.replace("fig_item", "p.fig_item").replace("not_illustrated", "p.not_illustrated")} AS fig, coalesce(p.nom_level, 0) AS level,
  coalesce(upper(trim(coalesce(u.part_number_canonical, u.part_number_extracted, u.part_number_cell, ''))), '') AS parent_pn FROM hp p JOIN f_documents d ON d.id = p.document_id LEFT JOIN hp u ON u.id = p.parent_part_id WHERE p.row_kind = 'part'),
-other AS (SELECT e.ext_id AS id, trim(source_pdf) AS source, start_page AS page, upper(trim(part_number)) AS pn, trim(coalesce(fig_item_text, '')) AS fig, ipc_level AS level, CASE WHEN ext_id % 40 = 0 THEN 'MAIN' WHEN ext_id % 8 = 0 THEN 'X-1' ELSE coalesce(o.parent_pn, '') END AS parent_pn FROM f_ext_rows e LEFT JOIN own o ON o.id = e.ext_id)"""
+other AS (SELECT e.ext_id AS id, trim(source_pdf) AS source, start_page AS page, upper(trim(part_number)) AS pn, trim(coalesce(fig_item_text, '')) AS fig, e.level AS level, CASE WHEN ext_id % 40 = 0 THEN 'MAIN' WHEN ext_id % 8 = 0 THEN 'X-1' ELSE coalesce(o.parent_pn, '') END AS parent_pn FROM f_ext_rows e LEFT JOIN own o ON o.id = e.ext_id)"""
 
 
 def sides(c):
@@ -88,39 +88,42 @@ def _compare(c):
     return R.report(*sides(c))
 
 
-_ASK = "CASE WHEN id % 7 = 0 THEN 'absent' ELSE pn END"
-_QA = f"""{_SIDES}, asks AS (SELECT 's' || id::VARCHAR AS name, source, page, {_ASK} AS part_number, CASE WHEN id % 5 = 0 THEN '77' END AS fig_item, ['- ' || fig, 'x'][1:CASE WHEN id % 12 = 0 THEN 2 ELSE 1 END] AS fig_items, CASE WHEN id % 6 = 0 THEN parent_pn WHEN id % 11 = 0 THEN 'NONE' END AS parent, CASE WHEN id % 9 = 0 THEN 3 END AS min_level, CASE WHEN id % 13 = 0 THEN 2 END AS at_least FROM own WHERE id % 3 = 0),
-g AS (SELECT a.name, any_value(a.fig_item) AS fig_item, any_value(a.fig_items) AS fig_items, any_value(a.parent) AS parent, any_value(a.min_level) AS min_level, any_value(a.at_least) AS at_least, count(o.id) AS n, list(DISTINCT regexp_replace(o.fig, '^- ', '')) FILTER (o.id IS NOT NULL) AS figs, bool_or(a.fig_item IS NULL OR o.fig = a.fig_item) AS has_fig, bool_or(o.parent_pn = a.parent) AS has_parent, max(level) AS top
- FROM asks a LEFT JOIN own o ON o.source = a.source AND o.page = a.page AND o.pn = upper(a.part_number) GROUP BY a.name)"""
+_CELL_FIRST = "upper(trim(coalesce({0}.part_number_cell, {0}.part_number_canonical, {0}.part_number_extracted, '')))"
+_QA = f"""{_PARENTS}, rs AS (SELECT p.id, d.pdf_name AS source, p.page_num AS page, {_CELL_FIRST.format('p')} AS pn, trim({FIG.replace("fig_item", "p.fig_item").replace("not_illustrated", "p.not_illustrated")}) AS fig, upper(trim(coalesce(p.figure_code, ''))) AS figure, coalesce(p.nom_level, 0) AS level, {_CELL_FIRST.format('u')} AS parent_pn FROM hp p JOIN f_documents d ON d.id = p.document_id LEFT JOIN hp u ON u.id = p.parent_part_id),
+asks AS (SELECT 's' || id::VARCHAR AS name, source, page, CASE WHEN id % 7 = 0 THEN 'absent' ELSE ' ' || lower(pn) END AS part_number, CASE WHEN id % 5 = 0 THEN '77' WHEN id % 5 = 1 THEN fig || ' ' END AS fig_item, ['- ' || fig, 'x'][1:CASE WHEN id % 12 = 0 THEN 2 ELSE 1 END] AS fig_items, CASE WHEN id % 6 = 0 THEN lower(parent_pn) WHEN id % 11 = 0 THEN 'NONE' END AS parent, CASE WHEN id % 8 = 0 THEN figure WHEN id % 10 = 0 THEN '99' END AS figure_code, CASE WHEN id % 9 = 0 THEN 3 END AS min_level, CASE WHEN id % 13 = 0 THEN 2 END AS at_least FROM rs WHERE pn <> ''),
+h AS (SELECT a.*, o.id AS oid, o.fig, o.figure, o.level, o.parent_pn, o.id IS NOT NULL AND (a.fig_item IS NULL OR o.fig = trim(a.fig_item)) AS ok FROM asks a LEFT JOIN rs o ON o.source = a.source AND o.page = a.page AND o.pn = upper(trim(a.part_number))),
+g AS (SELECT name, any_value(fig_item) AS fig_item, any_value(fig_items) AS fig_items, any_value(parent) AS want_parent, any_value(figure_code) AS want_figure, any_value(min_level) AS min_level, any_value(at_least) AS at_least, count(oid) AS n, list(DISTINCT regexp_replace(fig, '^- ', '')) FILTER (oid IS NOT NULL) AS figs,
+ min(oid) FILTER (ok) AS first_id, CASE WHEN any_value(fig_item) IS NULL THEN max(level) ELSE min_by(level, oid) FILTER (ok) END AS top, min_by(figure, oid) FILTER (ok) AS got_figure, min_by(parent_pn, oid) FILTER (ok) AS got_parent FROM h GROUP BY name)"""
 
 
-def asks(own):
+def qa_asks(rows):
     k = F.col("id")
     items = F.slice(F.array(F.concat(F.lit("- "), "fig"), F.lit("x")), F.lit(1), F.when(k % 12 == 0, 2).otherwise(1))
-    return own.where(k % 3 == 0).select(
-        F.concat(F.lit("s"), k.cast("string")).alias("name"), "source", "page", F.when(k % 7 == 0, "absent").otherwise(F.col("pn")).alias("part_number"), F.when(k % 5 == 0, "77").alias("fig_item"), items.alias("fig_items"),
-        F.when(k % 6 == 0, F.col("parent_pn")).when(k % 11 == 0, "NONE").alias("parent"), F.when(k % 9 == 0, 3).alias("min_level"), F.when(k % 13 == 0, 2).alias("at_least"),
+    return rows.where("pn <> ''").select(
+        F.concat(F.lit("s"), k.cast("string")).alias("name"), "source", "page", F.when(k % 7 == 0, "absent").otherwise(F.concat(F.lit(" "), F.lower("pn"))).alias("part_number"),
+        F.when(k % 5 == 0, "77").when(k % 5 == 1, F.concat("fig", F.lit(" "))).alias("fig_item"), items.alias("fig_items"), F.when(k % 6 == 0, F.lower("parent_pn")).when(k % 11 == 0, "NONE").alias("parent"),
+        F.when(k % 8 == 0, F.col("figure")).when(k % 10 == 0, "99").alias("figure_code"), F.when(k % 9 == 0, 3).alias("min_level"), F.when(k % 13 == 0, 2).alias("at_least"),
     )
 
 
-_SUBSET = "len(list_filter(list_transform(fig_items, lambda f: regexp_replace(f, '^- ', '')), lambda f: NOT list_contains(coalesce(figs, []), f))) > 0"
+_SUBSET = "len(list_filter(list_transform(fig_items, lambda f: regexp_replace(trim(f), '^- ', '')), lambda f: NOT list_contains(coalesce(figs, []), f))) > 0"
 
 
-@query("qa_check", f"""{_QA} SELECT name, array_to_string(list_filter([CASE WHEN n = 0 THEN 'missing' END, CASE WHEN n > 0 AND NOT has_fig THEN 'fig_item' END, CASE WHEN n > 0 AND parent IS NOT NULL AND NOT coalesce(has_parent, false) THEN 'parent' END,
- CASE WHEN top < min_level THEN 'level' END, CASE WHEN n < at_least THEN 'count' END, CASE WHEN {_SUBSET} THEN 'fig_items' END], lambda x: x IS NOT NULL), ',') AS failures FROM g""")
+@query("qa_check", f"""{_QA} SELECT name, CASE WHEN n = 0 THEN 'missing' WHEN first_id IS NULL THEN 'fig_item' ELSE array_to_string(list_filter([CASE WHEN {_SUBSET} THEN 'fig_items' END, CASE WHEN top < min_level THEN 'level' END, CASE WHEN got_figure <> want_figure THEN 'figure_code' END,
+ CASE WHEN got_parent <> upper(trim(want_parent)) THEN 'parent' END, CASE WHEN n < at_least THEN 'count' END], lambda x: x IS NOT NULL), ',') END AS failures FROM g""")
 def _qa(c):
-    own, _ = sides(c)
-    return R.qa_check(asks(own), own)
+    rows = R.qa_side(with_parents(c), c.f_documents)
+    return R.qa_check(qa_asks(rows), rows)
 
 
-@query("qa_fig_subset", f"{_QA} SELECT name FROM g WHERE {_SUBSET}")
+@query("qa_fig_subset", f"{_QA} SELECT name FROM g WHERE first_id IS NOT NULL AND {_SUBSET}")
 def _subset(c):
-    own, _ = sides(c)
-    return R.qa_check(asks(own), own).where(F.array_contains(F.split("failures", ","), "fig_items")).select("name")
+    rows = R.qa_side(with_parents(c), c.f_documents)
+    return R.qa_check(qa_asks(rows), rows).where(F.array_contains(F.split("failures", ","), "fig_items")).select("name")
 
 
 _TRUTH = f"{_RECORDS}, t0 AS (SELECT doc_id, page_num, y, upper(pn) AS pn, trim(fig_item) AS fig_item, trim(string_split(nomenclature, chr(10))[1]) AS first_line FROM records), truth AS (SELECT *, length(regexp_extract(first_line, '^(\\.*)', 1))::INTEGER AS level FROM t0)"
-_FIGURES = "figures AS (SELECT doc_id, page_num, '21-1' || ((doc_id % 10)::VARCHAR) || '-00-0' || (1 + page_num // 2)::VARCHAR AS figure_code FROM f_word_pages)"
+_FIGURES = "figures AS (SELECT doc_id, page_num, '21-1' || ((doc_id % 10)::VARCHAR) || '-00-0' || (1 + page_num // 2 % 9)::VARCHAR AS figure_code FROM f_word_pages)"
 _STACK = f"""{_TRUTH}, {_FIGURES}, l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, figure_code ORDER BY page_num, y) AS seq FROM truth JOIN figures USING (doc_id, page_num)),
 up AS (SELECT a.doc_id, a.figure_code, a.seq, max_by(b.pn, b.seq) AS ppn, max_by(b.level, b.seq) AS plevel FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.figure_code = b.figure_code AND b.seq < a.seq AND b.level < a.level GROUP BY ALL),
 top AS (SELECT a.doc_id, a.figure_code, a.seq, max_by(b.pn, b.seq) AS root FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.figure_code = b.figure_code AND b.seq <= a.seq AND b.level = 0 GROUP BY ALL),

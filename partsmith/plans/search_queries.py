@@ -197,9 +197,33 @@ def _batch(c):
 
 @query("batch_contains_search", f"{_BATCH}, h AS (SELECT q, id, min(rank) AS rank FROM ({_BATCH_IN}) GROUP BY ALL) SELECT qid, count(*) AS hits, min(id) AS first_id, sum(rank)::BIGINT AS ranks FROM u JOIN h USING (q) GROUP BY qid")
 def _batch_contains(c):
-    return S.batch_contains(c.f_parts, c.f_aliases, c.f_queries).groupBy("qid").agg(F.count("*").alias("hits"), F.min("id").alias("first_id"), F.sum("rank").alias("ranks"))
+    needles = S._asked(c.f_queries).select("needle").distinct()
+    found = S.best(S.contains_hits(S._keyed(c.f_parts, c.f_aliases), needles)).groupBy("needle").agg(F.count("*").alias("hits"), F.min("id").alias("first_id"), F.sum("rank").alias("ranks"))
+    return S.by_query(found, c.f_queries)
 
 
 @query("batch_topk", f"{_BATCH}, h AS (SELECT q, id, min(rank) AS rank FROM ({_BATCH_HITS} UNION ALL {_BATCH_IN}) GROUP BY ALL), k AS (SELECT q, id, rank, row_number() OVER (PARTITION BY q ORDER BY rank, id)::INTEGER AS position FROM h) SELECT qid, id, rank, position FROM u JOIN k USING (q) WHERE position <= 10")
 def _topk(c):
-    return S.top_k(S.batch_search(c.f_parts, c.f_aliases, c.f_queries), 10).select("qid", "id", "rank", "position")
+    return S.batch_top_k(c.f_parts, c.f_aliases, c.f_queries, 10)
+
+
+_WILD = "CASE WHEN c_custkey % 3 = 0 THEN '1__A4' || (c_custkey % 10)::VARCHAR WHEN c_custkey % 3 = 1 THEN 'A4' || lpad((c_custkey % 50)::VARCHAR, 2, '0') || '%-' || (1 + c_custkey % 9)::VARCHAR ELSE '%' || (c_custkey % 10)::VARCHAR || '_-' END"
+
+
+def wild(c):
+    k = F.col("c_custkey")
+    q = F.when(k % 3 == 0, F.concat(F.lit("1__A4"), (k % 10).cast("string"))).when(k % 3 == 1, F.concat(F.lit("A4"), F.lpad((k % 50).cast("string"), 2, "0"), F.lit("%-"), (1 + k % 9).cast("string"))).otherwise(F.concat(F.lit("%"), (k % 10).cast("string"), F.lit("_-")))
+    return c.table("customer").select(k.cast("int").alias("qid"), q.alias("q"))
+
+
+@query("batch_wildcard_search", f"{ctes('f_parts', 'f_aliases')}, v AS ({_KEYED}), u AS (SELECT CAST(c_custkey AS INTEGER) AS qid, {_WILD} AS q FROM customer), uq AS (SELECT DISTINCT q FROM u), dv AS (SELECT DISTINCT value FROM v), m AS (SELECT value, q, CASE WHEN length(q) >= 4 AND value LIKE q || '%' THEN 10 ELSE 20 END AS far FROM dv JOIN uq ON value LIKE '%' || q || '%'), h AS (SELECT q, id, min(kind + far) AS rank FROM v JOIN m USING (value) GROUP BY ALL) SELECT qid, count(*) AS hits, min(id) AS first_id, sum(rank)::BIGINT AS ranks FROM u JOIN h USING (q) GROUP BY qid")
+def _wildcards(c):
+    found = S.needle_hits(c.f_parts, c.f_aliases, wild(c)).groupBy("needle").agg(F.count("*").alias("hits"), F.min("id").alias("first_id"), F.sum("rank").alias("ranks"))
+    return S.by_query(found, wild(c))
+
+
+@query("batch_term_search", f"{ctes('f_parts', 'f_queries')}, u AS (SELECT qid, upper(trim(q)) AS q FROM f_queries), uq AS (SELECT DISTINCT q FROM u), t AS (SELECT id, attached_to_part_id, nom_level, upper(coalesce(nomenclature_clean, nomenclature, '')) AS value FROM f_parts), f AS (SELECT q, id, attached_to_part_id FROM t JOIN uq ON contains(value, q) WHERE NOT regexp_full_match(q, '[.]+') AND length(q) >= 3), h AS (SELECT q, id, min(rank) AS rank FROM (SELECT q, id, 0 AS rank FROM f UNION ALL SELECT q, attached_to_part_id, 1 FROM f WHERE attached_to_part_id IS NOT NULL UNION ALL SELECT q, id, 0 FROM t JOIN uq ON regexp_full_match(q, '[.]+') AND nom_level >= length(q)) GROUP BY ALL), n AS (SELECT q, count(*) AS hits, min(id) AS first_id, sum(rank)::BIGINT AS ranks FROM h GROUP BY q) SELECT qid, hits, first_id, ranks FROM u JOIN n USING (q)")
+def _batch_terms(c):
+    needles = S._asked(c.f_queries).select("needle").distinct()
+    found = S.best(S.term_hits_of(c.f_parts, needles)).groupBy("needle").agg(F.count("*").alias("hits"), F.min("id").alias("first_id"), F.sum("rank").alias("ranks"))
+    return S.by_query(found, c.f_queries)

@@ -35,6 +35,8 @@ SELECT o_orderkey + 1 AS id,
   CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE concat(CAST(100 + o_orderkey % 37 AS string), 'A',
        CAST(4000 + o_custkey % 500 AS string), '-', CAST(1 + o_orderkey % 9 AS string),
        CASE WHEN o_orderkey % 11 = 0 THEN 'B' ELSE '' END) END AS part_number_canonical,
+  CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE concat(CAST(100 + o_orderkey % 37 AS string), 'A',
+       CAST(4000 + o_custkey % 500 AS string), '-', CAST(1 + o_orderkey % 9 AS string)) END AS part_number_extracted,
   CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS pn_corrected,
   CASE WHEN o_orderkey % 11 = 0 THEN CAST(0.9375 AS double) ELSE NULL END AS pn_best_similarity,
   CASE WHEN o_orderkey % 33 = 0 THEN 1 ELSE 0 END AS pn_needs_review,
@@ -72,7 +74,7 @@ FROM f_documents WHERE id % 10 <> 4
 SELECT p.id AS ext_id, d.relative_path AS source_pdf, p.page_num AS start_page,
   concat(' ', lower(p.part_number_canonical)) AS part_number,
   CASE WHEN p.id % 21 = 0 THEN '999' ELSE coalesce(p.fig_item_no, '') END AS fig_item_text,
-  p.nom_level + CASE WHEN p.id % 25 = 0 THEN 1 ELSE 0 END AS ipc_level
+  p.nom_level + CASE WHEN p.id % 25 = 0 THEN 1 ELSE 0 END AS level
 FROM f_parts p JOIN f_documents d ON d.id = p.document_id
 WHERE p.part_number_canonical IS NOT NULL AND p.id % 16 <> 0
 """,
@@ -90,32 +92,29 @@ FROM events
 """
 }
 
-#: The identifiers that a part has in the catalogue; the fixture's extracted number is the cell's.
-VIEWS["f_parts"] = VIEWS["f_parts"].replace("  CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS pn_corrected", """  CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE concat(CAST(100 + o_orderkey % 37 AS string), 'A',
-       CAST(4000 + o_custkey % 500 AS string), '-', CAST(1 + o_orderkey % 9 AS string)) END AS part_number_extracted,
-  CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS pn_corrected""")
+PAGE_WORDS = 200
 
-#: The tokens of each text as word boxes of a catalogue page.
-F_WORDS_SQL = """
-SELECT CAST(doc_id // 4 AS INTEGER) AS doc_id, CAST(1 + doc_id % 4 AS INTEGER) AS page_num, x0, x0 + 20 AS x1, y0, y0 + 9 AS y1, word FROM (
-  SELECT doc_id, [65.2, 107.7, 223.9, 462.0, 521.6][col + 1]::DOUBLE + 3 AS x0, (110 + 12 * r + 0.7 * (pos % 3))::DOUBLE AS y0,
+#: The tokens of each text as word boxes of catalogue pages, ``PAGE_WORDS`` to a page.
+F_WORDS_SQL = f"""
+SELECT CAST(doc_id AS INTEGER) AS doc_id, page_num, x0, x0 + 20 AS x1, y0, y0 + 9 AS y1, word FROM (
+  SELECT doc_id, page_num, [65.2, 107.7, 223.9, 462.0, 521.6][col + 1]::DOUBLE + 3 AS x0, (110 + 12 * r + 0.7 * (pos % 3))::DOUBLE AS y0,
     CASE col WHEN 0 THEN CASE WHEN r % 2 = 0 THEN CAST(r + 1 AS VARCHAR) END
       WHEN 1 THEN CASE WHEN r % 2 = 0 THEN chr(CAST(65 + pos % 26 AS INTEGER)) || CAST(1000 + doc_id AS VARCHAR) || '-' || CAST(r AS VARCHAR) END
       WHEN 2 THEN repeat('.', CAST(r % 4 AS INTEGER)) || tok WHEN 3 THEN tok ELSE CAST(1 + pos % 9 AS VARCHAR) END AS word
-  FROM (SELECT doc_id, tok, pos, pos % 5 AS col, pos // 5 AS r FROM (
-    SELECT doc_id, unnest(string_split(text, ' ')) AS tok, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents) WHERE pos < 200))
+  FROM (SELECT doc_id, tok, nth % {PAGE_WORDS} AS pos, CAST(1 + nth // {PAGE_WORDS} AS INTEGER) AS page_num, nth % 5 AS col, (nth % {PAGE_WORDS}) // 5 AS r FROM (
+    SELECT doc_id, unnest(string_split(text, ' ')) AS tok, generate_subscripts(string_split(text, ' '), 1) - 1 AS nth FROM documents)))
 WHERE word IS NOT NULL
 """
-F_WORD_PAGES_SQL = """
-SELECT CAST(doc_id // 4 AS INTEGER) AS doc_id, CAST(1 + doc_id % 4 AS INTEGER) AS page_num, doc_id % 7 <> 0 AS is_table,
-  concat('21-1', CAST((doc_id // 4) % 10 AS VARCHAR), '-00', chr(10), 'FIG. ', CAST(1 + (1 + doc_id % 4) // 2 AS VARCHAR), chr(10), 'PAGE ', CAST(1 + doc_id % 4 AS VARCHAR), chr(10), 'APR 15/21', chr(10), 'RF 21-10-00') AS meta_text
-FROM documents
+F_WORD_PAGES_SQL = f"""
+SELECT CAST(doc_id AS INTEGER) AS doc_id, page_num, (doc_id + page_num) % 7 <> 0 AS is_table,
+  concat('21-1', CAST(doc_id % 10 AS VARCHAR), '-00', chr(10), 'FIG. ', CAST(1 + page_num // 2 % 9 AS VARCHAR), chr(10), 'PAGE ', CAST(page_num AS VARCHAR), chr(10), 'APR ', CAST(10 + page_num % 18 AS VARCHAR), '/21', chr(10), 'RF 21-1', CAST(doc_id % 8 AS VARCHAR), '-00') AS meta_text
+FROM (SELECT doc_id, CAST(unnest(range(1, greatest(1, (coalesce(len(string_split(text, ' ')), 0) + {PAGE_WORDS - 1}) // {PAGE_WORDS}) + 1)) AS INTEGER) AS page_num FROM documents)
 """
 
 
 def words(documents: DataFrame) -> DataFrame:
-    tokens = documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "tok")).where("pos < 200")
-    rows = tokens.withColumn("col", F.col("pos") % 5).withColumn("r", F.expr("pos div 5"))
+    tokens = documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "tok"))
+    rows = tokens.withColumn("pos", F.col("at") % PAGE_WORDS).withColumn("page_num", F.expr(f"cast(1 + at div {PAGE_WORDS} as int)")).withColumn("col", F.col("pos") % 5).withColumn("r", F.expr("pos div 5"))
     left = F.element_at(F.array(*map(F.lit, (65.2, 107.7, 223.9, 462.0, 521.6))), (F.col("col") + 1).cast("int")) + 3
     word = (
         F.when(F.col("col") == 0, F.when(F.col("r") % 2 == 0, (F.col("r") + 1).cast("string")))
@@ -125,13 +124,16 @@ def words(documents: DataFrame) -> DataFrame:
         .otherwise((1 + F.col("pos") % 9).cast("string"))
     )
     top = F.expr("cast(110 + 12 * r + 0.7 * (pos % 3) as double)")
-    rows = rows.select(F.expr("cast(doc_id div 4 as int)").alias("doc"), F.expr("cast(1 + doc_id % 4 as int)").alias("page_num"), left.alias("x0"), top.alias("y0"), word.alias("word"))
-    return rows.where("word is not null").select(F.col("doc").alias("doc_id"), "page_num", "x0", (F.col("x0") + 20).alias("x1"), "y0", (F.col("y0") + 9).alias("y1"), "word")
+    rows = rows.select(F.col("doc_id").cast("int").alias("doc_id"), "page_num", left.alias("x0"), top.alias("y0"), word.alias("word"))
+    return rows.where("word is not null").select("doc_id", "page_num", "x0", (F.col("x0") + 20).alias("x1"), "y0", (F.col("y0") + 9).alias("y1"), "word")
 
 
 def word_pages(documents: DataFrame) -> DataFrame:
-    meta = "concat('21-1', (doc_id div 4) % 10, '-00', chr(10), 'FIG. ', 1 + (1 + doc_id % 4) div 2, chr(10), 'PAGE ', 1 + doc_id % 4, chr(10), 'APR 15/21', chr(10), 'RF 21-10-00')"
-    return documents.selectExpr("cast(doc_id div 4 as int) as doc_id", "cast(1 + doc_id % 4 as int) as page_num", "doc_id % 7 <> 0 as is_table", f"{meta} as meta_text")
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", " ")))
+    last = F.greatest(F.lit(1), F.floor((n + PAGE_WORDS - 1) / PAGE_WORDS)).cast("int")
+    rows = documents.select(F.col("doc_id").cast("int").alias("doc_id"), F.explode(F.sequence(F.lit(1), last)).alias("page_num"))
+    meta = "concat('21-1', doc_id % 10, '-00', chr(10), 'FIG. ', 1 + page_num div 2 % 9, chr(10), 'PAGE ', page_num, chr(10), 'APR ', 10 + page_num % 18, '/21', chr(10), 'RF 21-1', doc_id % 8, '-00')"
+    return rows.selectExpr("doc_id", "page_num", "(doc_id + page_num) % 7 <> 0 as is_table", f"{meta} as meta_text")
 
 
 class Catalogue:
