@@ -11,8 +11,8 @@ own, so that no group outgrows a task and no pair is lost. A group yields a numb
 vector and the edges of a spanning forest, never its pairs.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing,
-nor do vectors without an id; vectors of different lengths are never compared; rows of one id are one
-vector's (their links add up); an empty table gives an empty result.
+nor do vectors without an id; keys are whole numbers, others raise; vectors of different lengths are never compared; rows of one id are one
+vector's (their links add up); other columns of the input, whatever their names, are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import column, integer_key, materialize
 from .graph import connected_components
 
 THRESHOLD, RECALL, CHUNK, SEED, MAX_BITS = 0.95, 0.9995, 1024, 11, 40
@@ -49,7 +49,6 @@ def signatures(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
     kind = vectors.schema["v"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
             v = batch.column(2)
             sizes = np.diff(v.offsets.to_numpy())
@@ -58,14 +57,19 @@ def signatures(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
             for dim in np.unique(sizes):
                 at = np.nonzero(sizes == dim)[0]
                 x = flat[(start[at][:, None] + np.arange(dim)).ravel()].reshape(len(at), dim)
-                out[at] = ((x @ hyperplanes(int(dim), bits, tables)).reshape(-1, tables, bits) >= 0) @ weights
+                out[at] = buckets(x, bits, tables)
             s = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, tables), pa.int32()), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), v, s], ["node", "m", "v", "s"])
 
     return vectors.select("node", "m", "v").mapInArrow(run, f"node bigint, m bigint, v {kind}, s array<bigint>")
 
 
-def group_links(nodes, m, x, s, chunk, t: int, i: int, j: int, threshold: float) -> list[tuple[int, int, int]]:
+def buckets(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The bucket of each vector in each table."""
+    return ((x @ hyperplanes(x.shape[1], bits, tables)).reshape(-1, tables, bits) >= 0) @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def group_links(nodes, m, x, chunk, t: int, i: int, j: int, threshold: float, bits: int, tables: int) -> list[tuple[int, int, int]]:
     """(node, links that this group adds, smallest node of its tree) for the linked vectors of one group."""
     norm = np.sqrt((x * x).sum(1))
     near = (x @ x.T) / np.outer(norm, norm) >= threshold
@@ -73,8 +77,10 @@ def group_links(nodes, m, x, s, chunk, t: int, i: int, j: int, threshold: float)
     if i != j:
         cross = chunk[a] != chunk[b]
         a, b = a[cross], b[cross]
-    if len(a):
-        first = ~(s[a, :t] == s[b, :t]).any(1)
+    if len(a):  # a pair that meets in several tables counts in the first only
+        linked = np.unique([a, b])
+        s = buckets(x[linked], bits, tables)
+        first = ~(s[np.searchsorted(linked, a), :t] == s[np.searchsorted(linked, b), :t]).any(1)
         a, b = a[first], b[first]
     parent: dict[int, int] = {}
 
@@ -94,8 +100,8 @@ def group_links(nodes, m, x, s, chunk, t: int, i: int, j: int, threshold: float)
     return [(int(nodes[k]), int(links[k]), int(nodes[find(k)])) for k in parent]
 
 
-def compare(members: DataFrame, threshold: float) -> DataFrame:
-    """(node, links, root) from rows (t, bucket, dim, i, j, chunk, node, m, v, s) sorted by group in each partition."""
+def compare(members: DataFrame, threshold: float, bits: int, tables: int) -> DataFrame:
+    """(node, links, root) from rows (t, bucket, dim, i, j, chunk, node, m, v) sorted by group in each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -115,16 +121,15 @@ def compare(members: DataFrame, threshold: float) -> DataFrame:
         out: list[tuple[int, int, int]] = []
         if len(keys):
             chunk, nodes, m = (table.column(k).to_numpy() for k in (5, 6, 7))
-            v, s = (table.column(k).combine_chunks() for k in (8, 9))
-            v, s = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (v, s))
+            v = table.column(8).combine_chunks()
+            v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
             ends = np.concatenate([[0], np.nonzero((keys[1:] != keys[:-1]).any(1))[0] + 1, [len(keys)]])
             flat, at = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate([[0], np.cumsum(np.diff(v.offsets.to_numpy()))])
-            sigs = s.flatten().to_numpy().reshape(len(keys), -1)
             for lo, hi in zip(ends[:-1], ends[1:], strict=True):
                 if hi - lo > 1:
                     x = flat[at[lo] : at[hi]].reshape(hi - lo, -1)
                     t, i, j = int(keys[lo, 0]), keys[lo, 3], keys[lo, 4]
-                    out += group_links(nodes[lo:hi], m[lo:hi], x, sigs[lo:hi], chunk[lo:hi], t, i, j, threshold)
+                    out += group_links(nodes[lo:hi], m[lo:hi], x, chunk[lo:hi], t, i, j, threshold, bits, tables)
         a, b, c = zip(*out, strict=True) if out else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()) for k in (a, b, c)], ["node", "links", "root"])
 
@@ -133,27 +138,27 @@ def compare(members: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Per row: key, n_links (other vectors linked directly), component_id (smallest key reachable), kept."""
-    v = F.col(vector)
-    good = v.isNotNull() & F.col(key).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.when(good, v).alias("v"))
+    v = column(vector)
+    good = v.isNotNull() & column(key).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    rows = vectors.select(integer_key(vectors, key).alias("id"), F.when(good, v).alias("v"))
     valid = rows.where("v is not null")
     groups = valid.groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("m"))
     groups = materialize(groups, "embedding-groups")
     bits, tables = plan(groups.count(), threshold, recall)
-    signed = materialize(signatures(groups, bits, tables), "embedding-signatures")
-    dealt = signed.select("node", "m", "v", "s", F.size("v").alias("dim"), F.posexplode("s").alias("t", "bucket"))
+    signed = signatures(groups, bits, tables)
+    dealt = materialize(signed.select("node", F.size("v").cast("bigint").alias("dim"), F.posexplode("s").alias("t", "bucket")), "embedding-signatures")
     sizes = dealt.groupBy("t", "bucket", "dim").agg(F.count("*").alias("n")).where("n > 1")
     met = dealt.join(materialize(sizes, "embedding-buckets"), ["t", "bucket", "dim"])
     met = met.withColumn("g", F.ceil(F.col("n") / CHUNK)).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("g")))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1))
     met = met.withColumn("other", other).select(
-        F.col("t").cast("bigint").alias("t"), "bucket", F.col("dim").cast("bigint").alias("dim"),
-        F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "m", "v", "s",
+        F.col("t").cast("bigint").alias("t"), "bucket", "dim", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node",
     )
+    met = met.join(groups, "node").select("t", "bucket", "dim", "i", "j", "chunk", "node", "m", "v")  # only vectors that share a bucket travel
     group = ["t", "bucket", "dim", "i", "j"]
-    found = materialize(compare(met.repartition(*group).sortWithinPartitions(*group), threshold), "embedding-links")
+    found = materialize(compare(met.repartition(*group).sortWithinPartitions(*group), threshold, bits, tables), "embedding-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))) 
+    parts = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = materialize(
         groups.where("m > 1").select("node", "m").join(links, "node", "full").join(parts, "node", "full").select(
             "node", F.coalesce("m", F.lit(1)).alias("m"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component")
@@ -167,7 +172,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         (F.coalesce("links", F.lit(0)) + F.coalesce("m", F.lit(1)) - 1).alias("n_links"),
         F.coalesce("component", "id").alias("component_id"),
     )
-    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    return out.withColumn("kept", column(key).eqNullSafe(F.col("component_id")))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

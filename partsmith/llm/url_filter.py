@@ -53,6 +53,11 @@ def keys(host: F.Column, path: F.Column, kinds: list[tuple[int, int]]) -> F.Colu
     return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
+def table_of(spark: SparkSession, keys: list[str]) -> DataFrame:
+    """A list as rows of ``key``, made by the JVM."""
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, keys)) if keys else F.array().cast("array<string>")).alias("key"))
+
+
 class Bloom:
     """A Bloom filter held as an array of 64-bit words that the optimizer folds into a constant."""
 
@@ -111,9 +116,9 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], default: s
     host, path = host_and_path(F.col(url))
     rows = pages.select(key, host.alias("host"), path.alias("path"))
     rows = rows.withColumn("_keys", keys(F.col("host"), F.col("path"), shapes(rules)))
-    listed = {a: spark.createDataFrame([(k,) for k in sorted({h + p for x, h, p in rules if x == a})], "key string") for a in ("block", "allow")}
     if len(rules) > max_listed:
         return _by_join(rows, rules, default, key)
+    listed = {a: table_of(spark, sorted({h + p for x, h, p in rules if x == a})) for a in ("block", "allow")}
     universe = rows.select(F.explode("_keys").alias("key"))
     levels = {a: cascade(x, universe) for a, x in listed.items()}
     fits = F.filter("_keys", lambda k: member(levels["block"], k) | member(levels["allow"], k))

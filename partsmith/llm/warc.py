@@ -8,11 +8,12 @@ headers, finds the members in place, and then reads each record by its range; no
 Archives lie in the folder that driver and executors share, and are opened through
 ``pyarrow.fs`` by their URI (file, hdfs, s3, gs). Each task attempt writes files of its own new
 name, and only names that a finished attempt reports are ever read, so lost tasks leave no trace
-in the result.
+in the result. A task holds one record and its archive's index while it writes, and one range while it reads.
 
 Defined cases: a null payload is the empty one; null urls are written as empty; null ids are kept and
 never referred to while their group has another id; rows that repeat the id of a response are
-responses too; an empty table writes no archive and reads back empty.
+responses too; keys are whole numbers, others raise;
+an empty table writes no archive and reads back empty; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -30,12 +31,12 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import column, integer_key, materialize, new_path
 
-DATE, RECORDS, BYTES, LEVEL, RANGE, SPREAD = "2024-01-01T00:00:00Z", 4096, 256 << 20, 1, 4 << 20, 256
+DATE, RECORDS, BYTES, LEVEL, RANGE, SPREAD, TASK = "2024-01-01T00:00:00Z", 4096, 256 << 20, 1, 4 << 20, 256, 32 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 
 
@@ -81,7 +82,7 @@ def parse(data: bytes) -> dict:
 
 def roles(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
     """(key, url, payload, refers_to): of equal payloads of at least ``least`` bytes the largest key is the response."""
-    rows = pages.select(F.col(key).cast("bigint").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
+    rows = pages.select(integer_key(pages, key).alias("page_id"), column(url).alias("url"), F.coalesce(column(payload).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("same", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
     groups = rows.where("same is not null").groupBy("same").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1 and keep is not null")
     joined = rows.join(materialize(groups, "warc-groups"), "same", "left")
@@ -94,31 +95,22 @@ def write_archives(rows: DataFrame, folder: str, per_archive: int = RECORDS) ->
     The result is made once and kept as a table: reading it again writes nothing.
     """
 
-    def write(fs, path: str, records: list[bytes]) -> tuple[str, int, int]:
-        name, at, index = f"{path}/{uuid.uuid4().hex}.zip", 0, io.BytesIO()
-        with fs.open_output_stream(name) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
-            with archive.open(DATA, "w", force_zip64=True) as member:
-                for data in records:
-                    member.write(data)
-                    index.write(b"%d %d\n" % (at, len(data)))
-                    at += len(data)
-            archive.writestr(INDEX, index.getvalue())
-        return name, len(records), at
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
         fs.create_dir(path, recursive=True)
-        held, size = [], 0
-        for batch in batches:
-            for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                pack = zlib.compressobj(LEVEL, wbits=31)
-                held.append(pack.compress(record(page_id, url, payload, refers_to)) + pack.flush())
-                size += len(held[-1])
-                if len(held) >= per_archive or size >= BYTES:
-                    yield row(write(fs, path, held))
-                    held, size = [], 0
-        if held:
-            yield row(write(fs, path, held))
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        more = next(rows, None)
+        while more is not None:
+            name, n, at, index = f"{path}/{uuid.uuid4().hex}.zip", 0, 0, io.BytesIO()
+            with fs.open_output_stream(name) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
+                with archive.open(DATA, "w", force_zip64=True) as member:  # records go straight into the open member
+                    while more is not None and n < per_archive and (n == 0 or at < BYTES):
+                        pack = zlib.compressobj(LEVEL, wbits=31)
+                        size = member.write(pack.compress(record(*more)) + pack.flush())
+                        index.write(b"%d %d\n" % (at, size))
+                        n, at, more = n + 1, at + size, next(rows, None)
+                archive.writestr(INDEX, index.getvalue())
+            yield row((name, n, at))
 
     def row(found: tuple[str, int, int]) -> pa.RecordBatch:
         name, n, size = found
@@ -238,16 +230,14 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """All records of the archives. Ranges of ``SPREAD`` neighbouring records are dealt over the cluster."""
-    index = list_records(archives)
-    near = F.floor(F.row_number().over(_in_archive()) / SPREAD)
-    return read_records(index.withColumn("near", near).repartition("archive", "near").sortWithinPartitions("archive", "at"), payloads)
-
-
-def _in_archive():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("archive").orderBy("at")
+    """All records of the archives (archive, records, bytes). Ranges of ``SPREAD`` neighbouring records are dealt over the
+    cluster, about ``TASK`` bytes of archives to a task: the index's own bytes, which adaptive execution goes by, tell nothing of that."""
+    spark = archives.sparkSession
+    size = archives.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("records"), F.lit(0)).alias("records")).first()
+    tasks = max(1, -(-size["bytes"] // TASK), min(spark.sparkContext.defaultParallelism, -(-size["records"] // SPREAD)))
+    near = F.floor(F.row_number().over(Window.partitionBy("archive").orderBy("at")) / SPREAD)
+    index = list_records(archives).withColumn("near", near)
+    return read_records(index.repartition(tasks, "archive", "near").sortWithinPartitions("archive", "at"), payloads)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,7 +107,7 @@ def test_chunks_lose_no_pair(spark, monkeypatch):
         monkeypatch.setattr(near_copies, "FEW", few)
         hot = near_copies.hot_shingles(texts, 5)
         met = near_copies.meetings(near_copies.sketches(texts, hot, 5, 0.8).withColumn("comp", F.col("id")), hot, near_copies.ALL)
-        got.append({tuple(x) for x in near_copies.pairs_of(met, hot, 0.8, False).collect()})
+        got.append({tuple(x) for x in near_copies.pairs_of(met, hot, 0.8, 0).collect()})
     sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
     true = {(a, b) for b in range(40) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert got[0] == got[1] == got[2] >= true and len(true) > 100

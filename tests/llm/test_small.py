@@ -139,6 +139,21 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_recall_at_the_threshold(spark):
+    r = np.random.default_rng(12)
+    n = 3000
+    base = r.standard_normal((n, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = r.standard_normal((n, 64))
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = r.uniform(0.9501, 0.97, n)
+    twin = cos[:, None] * base + np.sqrt(1 - cos**2)[:, None] * side
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate([*base, *twin])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).where(f"vec_id >= {n} and component_id = vec_id - {n} and n_links = 1").count()
+    assert got >= 0.995 * n
+
+
 def test_embedding_chunks_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "CHUNK", 4)
     r = np.random.default_rng(6)
