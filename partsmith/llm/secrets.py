@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NOVELTY, AROUND, REACH, LEAST = 0.8, 512, 48, 20
+NOVELTY, AROUND, REACH, LEAST = 0.82, 512, 48, 20
 KINDS = ("assign", "access", "hex", "novel")
 
 # The base patterns.
@@ -37,7 +37,11 @@ IDENTIFIERS = (
     "configuration environment application connection database username hostname password secret_token access_key_id secret_access_key "
     "authorization bearer content-type application/json https://www.example.com/index.html localhost127.0.0.1 "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 aaaaaaaaaaaaaaaaaaaaaaaa xxxxxxxxxxxxxxxxxxxxxxxx 000000000000000000000000 "
-    "my-service-name-production some_long_identifier_name getElementById addEventListener requestAnimationFrame"
+    "my-service-name-production some_long_identifier_name getElementById addEventListener requestAnimationFrame "
+    "UserAccountServiceManager RequestHandlerFactory SessionControllerBuilder ClientConnectionConfig TableColumnIndexRecord EventQueueWorker PageWidgetLayoutButton "
+    "ImportExportReportSummary DailyBackupArchive TokenValueCache ProfileImageStoreResult "
+    "user_account_service_manager request_handler_factory session_controller_builder client_connection_config table_column_index_record event_queue_worker page_widget_layout_button "
+    "release-2023.01.02-beta1 version-1.0.0 build-2024-10-11T12:13:14Z 2025-12-31_08:30:00 v2/index_v3/2022/09/15"
 )
 RUN, LETTER, DIGIT = re.compile(r"[A-Za-z0-9+/_.=-]+"), re.compile("[A-Za-z]"), re.compile("[0-9]")
 NEAR = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)

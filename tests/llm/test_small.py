@@ -220,6 +220,75 @@ def test_brown_lm(spark, mixed_texts):
     assert brown_lm.lm_scores(docs(spark, mixed_texts).limit(0), common.bucket("doc_id", 7) == 2).count() == 0
 
 
+def test_brown_score_by_brute_force(spark, mixed_texts, monkeypatch):
+    for name, value in (("TYPES", 40), ("SLOTS", 16), ("END", 56), ("ALL", 57), ("CLASSES", 6)):
+        monkeypatch.setattr(brown_lm, name, value)
+    seen = []
+    real = brown_lm.model_of
+    monkeypatch.setattr(brown_lm, "model_of", lambda around, classes, sizes: seen.append(classes) or real(around, classes, sizes))
+    got = brown_lm.lm_scores(docs(spark, mixed_texts), common.bucket("doc_id", 7) == 2).collect()
+    classes = seen[-1]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    words = lambda t: (t or "").encode().lower().split()
+    training = [words(t) for i, t, _ in mixed_texts if not held(i)]
+    n = Counter(w for ws in training for w in ws)
+    own = {w: k for k, w in enumerate(sorted(n, key=lambda w: (-n[w], w))[:40])}
+    type_of = lambda w: own.get(w, 40 + zlib.crc32(w) % 16)
+    size, moves, slot_n, slot_v = Counter(), Counter(), Counter(), Counter()
+    for ws in training:
+        path = [56, *map(type_of, ws), 56]
+        size.update(path[1:])
+        moves.update(zip(classes[path[:-1]].tolist(), classes[path[1:]].tolist()))
+    for w in n:
+        if w not in own:
+            slot_n[type_of(w)] += n[w]
+            slot_v[type_of(w)] += 1
+    a, b = brown_lm.ALPHA, brown_lm.BETA
+
+    def score(ws):
+        out, before = 0.0, classes[56]
+        for w in [*ws, None]:
+            t = 56 if w is None else type_of(w)
+            c = classes[t]
+            out += np.log10((moves[before, c] + b) / (sum(moves[before, k] for k in range(6)) + b * 6))
+            out += np.log10((size[t] + a) / (sum(size[k] for k in range(57) if classes[k] == c) + a * sum(classes == c)))
+            out += 0 if w is None or w in own else np.log10((n[w] + a) / (slot_n[t] + a * (slot_v[t] + 1)))
+            before = c
+        return out
+
+    want = Counter((i, round(score(words(t)), 6)) for i, t, _ in mixed_texts if len(t or "") < 50_000)
+    assert Counter((x["doc_id"], round(x["score"], 6)) for x in got if len(dict((i, t or "") for i, t, _ in mixed_texts)[x["doc_id"]]) < 50_000) == want
+
+
+def test_exchange_finds_the_classes(monkeypatch):
+    for name, value in (("TYPES", 30), ("SLOTS", 0), ("END", 30), ("ALL", 31), ("CLASSES", 4)):
+        monkeypatch.setattr(brown_lm, name, value)
+    r = random.Random(3)
+    seq = [30]
+    for _ in range(4000):  # words 0 to 9, then 10 to 19, then 20 to 29, then an end
+        seq += [r.randrange(10), 10 + r.randrange(10), 20 + r.randrange(10), 30]
+    sizes = np.bincount(seq[1:], minlength=31).astype(float)
+    classes = np.array([r.randrange(3) for _ in range(30)] + [3])
+
+    def around(classes):
+        out = np.zeros((31, 2, 4))
+        for x, y in zip(seq, seq[1:]):
+            out[x, 0, classes[y]] += 1
+            out[y, 1, classes[x]] += 1
+        return out
+
+    def likelihood(classes):
+        moves, emits = brown_lm.model_of(around(classes), classes, sizes)
+        return sum(moves[classes[x], classes[y]] + emits[y] for x, y in zip(seq, seq[1:]))
+
+    before = likelihood(classes)
+    for _ in range(6):
+        now = brown_lm.exchange(around(classes), classes, sizes)
+        assert likelihood(now) >= likelihood(classes) - 1e-6
+        classes = now
+    assert likelihood(classes) > before and [len(set(classes[k : k + 10])) for k in (0, 10, 20)] == [1, 1, 1] and len(set(classes)) == 4
+
+
 def test_class_model_is_a_distribution():
     r = np.random.default_rng(1)
     classes = r.integers(0, brown_lm.CLASSES, brown_lm.ALL)
@@ -237,6 +306,40 @@ def test_secrets(spark):
     assert got[8] == [("assign", 0, 17), ("assign", 20, 33)]
 
 
+def test_secrets_by_brute_force(spark):
+    r = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    words = "invoice shipment garden weather bicycle journal tractor pebble harbor lantern mosaic orchard".split()
+    prose = "the connection is opened by the client and the value is read from the configuration before the request is sent "
+    rows, planted = [], {}
+    for i in range(240):
+        key = "".join(r.choices(letters, k=r.randint(20, 40))) if i % 2 else "_".join(r.sample(words, 4)) + str(r.randint(1, 9))
+        text = prose[r.randrange(40) :] + r.choice(["private key id ", "字 credential for it = ", "bearer ", "passphrase, session "]) + key + ", " + prose
+        rows.append((i, text, "a"))
+        planted[i] = (text.index(key), text.index(key) + len(key))
+    rows += [(900, "token " * 3 + "q7RkZ2mX9vB4nL8sT1wY6cJ3hF5dG0pA" * 400, "a"), (901, "", "a"), (902, None, "a"), (0, rows[0][1], "a"), (903, "secret " + "A" * 300_000, "a")]
+
+    def brute(text):
+        """Every run near every sensitive word, straight from the definition."""
+        text, found = text or "", set()
+        base = secrets.patterns(text)
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", text):
+            a, b = m.span()
+            near = any(max(0, a - 100) + w.end() >= a - secrets.REACH for w in secrets.NEAR.finditer(text[max(0, a - 100) : a]))
+            if near and b - a >= secrets.LEAST and re.search("[A-Za-z]", m[0]) and re.search("[0-9]", m[0]) and not any(x < b and a < y for _, x, y in base) and secrets.novelty(text, a, b) >= secrets.NOVELTY:
+                found.add((a, b))
+        return found
+
+    got = secrets.secret_spans(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    spans = {x["doc_id"]: {(q["start"], q["end"]) for q in x["spans"] if q["kind"] == "novel"} for x in got}
+    assert spans == {i: brute(t) for i, t, _ in rows}
+    caught = sum(planted[i] in spans[i] for i in range(1, 240, 2))
+    false = sum(bool(spans[i]) for i in range(0, 240, 2))
+    assert caught >= 114 and false <= 6, (caught, false)
+    assert secrets.secret_spans(docs(spark, rows).limit(0)).count() == 0
+
+
 def test_urls(spark):
     urls = ["http://a.net/x", "https://Example.NET/en/1?x", "https://b.example.net/en/", "http://example.com/de/", "http://xexample.com/de/", "http://m.example.com/fr/", "http://x.org/fr/#", "http://x.org?/fr/", None, "", "nothing", "http://net", "http://net/", "x://a..net/\n?", "http://.net/"]
     rows = [(i, u) for i, u in enumerate(urls)] + [(0, urls[0])]
