@@ -183,7 +183,7 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def canonicalize(cells: DataFrame, found: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """(doc_id, page_num, raw, canonical, method, similarity, needs_review) of distinct cells against their page's candidates.
+    """(doc_id, page_num, raw, canonical, corrected, method, similarity, needs_review, note) of distinct cells against their page's candidates.
 
     Equal tokens and equal loose forms are equi-joins. Only what is left is compared with the page's
     candidates, and of these only those whose length lets them reach the threshold.
@@ -198,7 +198,7 @@ def canonicalize(cells: DataFrame, found: DataFrame, fuzzy: bool = True) -> Data
         near = rest.join(found.select(*PAGE, "token", T.pn_loose_form("token").alias("form")), list(PAGE))
         a, b = F.length("form"), F.length("loose")
         near = near.where(2 * F.least(a, b) >= FUZZY_LOW * (a + b)).withColumn("ratio", seq_ratio("form", "loose")).where(F.col("ratio") >= FUZZY_LOW)
-        best = near.groupBy(*PAGE, "raw").agg(F.max_by(F.struct("token", "ratio"), F.struct("ratio", (-F.hash("token")).alias("h"))).alias("_f"), F.max("ratio").alias("_r"))
+        best = near.groupBy(*PAGE, "raw").agg(F.max("ratio").alias("_r"))
         first = near.join(best.select(*PAGE, "raw", "_r"), [*PAGE, "raw"]).where("ratio = _r").groupBy(*PAGE, "raw").agg(F.min("token").alias("_fuzzy"), F.max("ratio").alias("_ratio"))
         rows = rows.join(first, [*PAGE, "raw"], "left")
     else:
@@ -207,9 +207,11 @@ def canonicalize(cells: DataFrame, found: DataFrame, fuzzy: bool = True) -> Data
         F.when(F.col("raw") == "", "empty").when(F.col("_exact").isNotNull(), "exact").when(F.col("_loose").isNotNull(), "loose")
         .when(F.col("_ratio") >= FUZZY, "fuzzy").when(F.col("_ratio") >= FUZZY_LOW, "fuzzy_low").otherwise("unverified")
     )
+    near = F.concat("up", F.lit(" -> "), "_fuzzy", F.lit(" (sim "), F.format_string("%.3f", "_ratio"))
+    note = F.when(method == "fuzzy", F.concat(near, F.lit(")"))).when(method == "fuzzy_low", F.concat(near, F.lit(", low confidence)")))
     return rows.select(
-        *PAGE, "raw", F.coalesce("_exact", "_loose", "_fuzzy", "up").alias("canonical"), method.alias("method"),
-        F.when(method.startswith("fuzzy"), F.col("_ratio")).alias("similarity"), method.isin("fuzzy_low", "unverified").alias("needs_review"),
+        *PAGE, "raw", F.coalesce("_exact", "_loose", "_fuzzy", "up").alias("canonical"), method.startswith("fuzzy").alias("corrected"), method.alias("method"),
+        F.when(method.startswith("fuzzy"), F.col("_ratio")).alias("similarity"), method.isin("fuzzy_low", "unverified").alias("needs_review"), note.alias("note"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import build as B
 from ..operators import extract as E
 from ..sources.fixtures import Catalogue, ctes
 
@@ -109,6 +110,26 @@ def _totals(c):
     return E.records(c.words, c.word_pages).agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("parts"), F.countDistinct("doc_id", "page_num", "pn", "fig_item", "nomenclature").alias("parts_dedup"))
 
 
+_BUILT = f"""{_RECORDS}, p0 AS (SELECT *, {_FIGP} AS no, regexp_replace(regexp_replace(nomenclature, '(?i)^(?:[ \\t]*(?:of|date|out)[ \\t]*(?:\\n|$))+', ''), '\\s+$', '') AS n FROM records),
+p1 AS (SELECT row_number() OVER (ORDER BY p0.doc_id, p0.page_num, y, pn)::BIGINT AS id, p0.*, meta_text, '21-1' || (p0.doc_id % 10)::VARCHAR || '-00-0' || (1 + p0.page_num // 2 % 9)::VARCHAR AS figure_code, length(regexp_extract(n, '^\\s*(\\.*)', 1))::INTEGER AS nom_level FROM p0 JOIN f_word_pages USING (doc_id, page_num)),
+p2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, figure_code ORDER BY id) AS seq FROM p1),
+up AS (SELECT a.id, max_by(b.id, b.seq) AS pid, max_by(b.nom_level, b.seq) AS plevel, max(b.seq) AS pseq FROM p2 a JOIN p2 b ON a.doc_id = b.doc_id AND a.figure_code = b.figure_code AND b.seq < a.seq AND b.nom_level < a.nom_level GROUP BY a.id),
+built AS (SELECT id, doc_id::BIGINT AS document_id, page_num, page_end, 'pdf_coords' AS extractor, meta_text AS meta_data_raw, figure_code, nullif(CASE WHEN no IS NOT NULL THEN CASE WHEN starts_with(trim(fig_item), '-') THEN '-' ELSE '' END ELSE trim(fig_item) END, '') AS fig_item_raw, no AS fig_item_no,
+ CASE WHEN no IS NOT NULL THEN 'pdf_coords' END AS fig_item_no_source, CASE WHEN starts_with(trim(fig_item), '-') THEN 1 ELSE 0 END AS not_illustrated, pn AS part_number_cell, pn AS part_number_extracted, upper(pn) AS part_number_canonical, 0 AS pn_corrected, 'exact' AS pn_method, NULL::DOUBLE AS pn_best_similarity, 0 AS pn_needs_review, NULL::VARCHAR AS correction_note,
+ 'part' AS row_kind, nom_level, nullif(trim(regexp_replace(n, '^\\.+[ \\t]*', ''), chr(10) || ' '), '') AS nomenclature_clean, CASE WHEN nom_level <= 0 THEN NULL WHEN plevel = nom_level - 1 THEN pid WHEN seq = 1 OR pseq = seq - 1 THEN NULL ELSE 0 END::BIGINT AS parent_part_id, NULL::BIGINT AS attached_to_part_id, nullif(n, '') AS nomenclature, nullif(trim(effect), '') AS effectivity, nullif(trim(units), '') AS units_per_assy, NULL::VARCHAR AS miner_table_img_path FROM p2 LEFT JOIN up USING (id))"""
+
+
+@query("build_parts", f"{_BUILT} SELECT * FROM built")
+def _build(c):
+    return B.build(B.raw_parts(c.words, c.word_pages), c.words, c.word_pages)["parts"]
+
+
+@query("build_summary", f"{_BUILT} SELECT count(DISTINCT document_id) AS docs, count(*) AS parts, 0::BIGINT AS parts_dedup, 0::BIGINT AS pn_corrected FROM built")
+def _build_summary(c):
+    raw = B.raw_parts(c.words, c.word_pages)
+    return B.totals(raw, B.build(raw, c.words, c.word_pages)["parts"])
+
+
 _META = "'21-1' || ((doc_id % 10)::VARCHAR) || '-00-0' || (1 + page_num // 2 % 9)::VARCHAR AS figure_code, 'FIG. ' || (1 + page_num // 2 % 9)::VARCHAR AS figure_label, 'APR ' || (10 + page_num % 18)::VARCHAR || '/21' AS date_text, 'PAGE ' || page_num::VARCHAR AS page_token, 'RF 21-1' || (doc_id % 8)::VARCHAR || '-00' AS rf_text"
 
 
@@ -199,13 +220,13 @@ def _cells(c):
 
 _CANON = f"""{_TOKENS}, c0 AS (SELECT DISTINCT document_id AS doc_id, page_num, trim(CASE WHEN id % 5 = 0 THEN lower(part_number_cell) WHEN id % 5 = 1 THEN replace(part_number_cell, '0', 'O') ELSE coalesce(part_number_cell, '') END) AS raw FROM f_parts),
 c1 AS (SELECT *, {_CELL} AS cell FROM c0), c2 AS (SELECT *, {_LOOSE} AS loose FROM c1), t1 AS (SELECT doc_id, page_num, token, token AS raw FROM tokens), t2 AS (SELECT doc_id, page_num, token, {_CELL} AS cell FROM t1), t3 AS (SELECT doc_id, page_num, {_LOOSE} AS loose, min(token) AS l FROM t2 GROUP BY ALL)
-SELECT c.doc_id, c.page_num, c.raw, coalesce(e.token, l, upper(c.raw)) AS canonical, CASE WHEN c.raw = '' THEN 'empty' WHEN e.token IS NOT NULL THEN 'exact' WHEN l IS NOT NULL THEN 'loose' ELSE 'unverified' END AS method, c.raw <> '' AND e.token IS NULL AND l IS NULL AS needs_review
+SELECT c.doc_id, c.page_num, c.raw, coalesce(e.token, l, upper(c.raw)) AS canonical, CASE WHEN c.raw = '' THEN 'empty' WHEN e.token IS NOT NULL THEN 'exact' WHEN l IS NOT NULL THEN 'loose' ELSE 'unverified' END AS method, c.raw <> '' AND e.token IS NULL AND l IS NULL AS needs_review, false AS corrected
 FROM c2 c LEFT JOIN tokens e ON e.doc_id = c.doc_id AND e.page_num = c.page_num AND e.token = upper(c.raw) LEFT JOIN t3 ON t3.doc_id = c.doc_id AND t3.page_num = c.page_num AND t3.loose = c.loose WHERE c.raw IS NOT NULL"""
 
 
 @query("pn_canonicalize", _CANON)
 def _canonicalize(c):
-    return E.canonicalize(_cells(c).where("raw is not null"), E.candidates(page_texts(c), "text"), fuzzy=False).drop("similarity")
+    return E.canonicalize(_cells(c).where("raw is not null"), E.candidates(page_texts(c), "text"), fuzzy=False).drop("similarity", "note")
 
 
 @query("pn_canonicalize_fuzzy", None)
