@@ -72,7 +72,7 @@ FROM f_documents WHERE id % 10 <> 4
 """,
     "f_ext_rows": """
 SELECT p.id AS ext_id, d.relative_path AS source_pdf, p.page_num AS start_page,
-  concat(' ', lower(p.part_number_canonical)) AS part_number,
+  concat(' ', lower(p.part_number_canonical), CASE WHEN p.id % 27 = 0 THEN '-x9' ELSE '' END) AS part_number,
   CASE WHEN p.id % 21 = 0 THEN '999' ELSE coalesce(p.fig_item_no, '') END AS fig_item_text,
   p.nom_level + CASE WHEN p.id % 25 = 0 THEN 1 ELSE 0 END AS level
 FROM f_parts p JOIN f_documents d ON d.id = p.document_id
