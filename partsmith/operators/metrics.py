@@ -46,16 +46,17 @@ def rolling(log: DataFrame, n: int = HISTORY) -> DataFrame:
 
     Observations are cut into blocks of n. The last n of one are the end of the block before, from the
     place after its own, and the beginning of its own block, so each row needs one running value
-    from either side, and no task holds more than a slice of time or a block.
+    from either side, and no task holds more than a slice of time or a block. Sums are exact to nine
+    decimals, whatever the order of addition.
     """
     rows = numbered(log.select("event_id", "ts", "metric", "value")).withColumn("_block", F.expr(f"rn div {n}"))
     part = Window.partitionBy("metric", "_block")
     upto, since = part.orderBy("rn").rowsBetween(Window.unboundedPreceding, 0), part.orderBy(F.col("rn").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    kinds = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+    kinds = {"count": F.count, "sum": lambda c: F.sum(F.col(c).cast("decimal(28,9)")), "min": F.min, "max": F.max}
     both = rows.select("event_id", "metric", "rn", *(f("value").over(upto).alias(f"a_{k}") for k, f in kinds.items()), *(f("value").over(since).alias(f"z_{k}") for k, f in kinds.items()))
     tails = both.select("metric", (F.col("rn") + n - 1).alias("rn"), *(f"z_{k}" for k in kinds)).where(F.expr(f"rn % {n} <> {n - 1}"))  # else its own block is all
     out = both.drop(*(f"z_{k}" for k in kinds)).join(tails, ["metric", "rn"], "left")
-    count, total = F.col("a_count") + F.coalesce("z_count", F.lit(0)), F.when(F.coalesce("a_sum", "z_sum").isNotNull(), F.coalesce("a_sum", F.lit(0.0)) + F.coalesce("z_sum", F.lit(0.0)))
+    count, total = F.col("a_count") + F.coalesce("z_count", F.lit(0)), F.when(F.coalesce("a_sum", "z_sum").isNotNull(), (F.coalesce("a_sum", F.lit(0)) + F.coalesce("z_sum", F.lit(0))).cast("double"))
     return out.select("event_id", "metric", count.alias("count"), F.round(total, 4).alias("sum"), F.round(total / count, 9).alias("avg"), F.least("a_min", "z_min").alias("min"), F.greatest("a_max", "z_max").alias("max"))
 
 
