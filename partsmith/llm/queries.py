@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, brown_lm, embedding_dedup, exact_dedup, mixing, secrets, simhash, toxicity, url_filter, warc
+from . import bpe, brown_lm, chat, embedding_dedup, exact_dedup, mixing, secrets, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_chat": chat.op11_chat,
 }
 
 ORACLE_SQL = {
