@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, brown_lm, chat, embedding_dedup, exact_dedup, mixing, periodic, secrets, simhash, toxicity, url_filter, warc
+from . import bpe, brown_lm, chat, collocations, embedding_dedup, exact_dedup, mixing, periodic, secrets, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_chat": chat.op11_chat,
+    "op12_collocations": collocations.op12_collocations,
     "op13_periodic": periodic.op13_periodic,
 }
 
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
+    "op12_collocations": collocations.OP12_SQL,
 }
