@@ -156,11 +156,17 @@ def move_outcome(documents: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def relocate(documents: DataFrame, moves: DataFrame) -> DataFrame:
-    """Documents after moves (relative_path, new_path); conflicts are left where they are."""
+    """Documents after moves (relative_path, new_path), with moved: whether they were; conflicts are left where they are.
+
+    A moved document's file name and stored path follow; all other columns stay.
+    """
     good = move_outcome(documents, moves).where("outcome = 'moved'").select("relative_path", "new_path")
     rows = documents.join(good, "relative_path", "left")
-    path = F.coalesce("new_path", "relative_path")
-    return rows.select("id", F.element_at(F.split(path, "/"), -1).alias("pdf_name"), path.alias("relative_path"), F.col("new_path").isNotNull().alias("moved"))
+    changed = {"pdf_name": F.element_at(F.split("new_path", "/"), -1), "relative_path": F.col("new_path"), "pdf_path": F.col("new_path")}
+    for c, new in changed.items():
+        if c in documents.columns:
+            rows = rows.withColumn(c, F.when(F.col("new_path").isNotNull(), new).otherwise(F.col(c)))
+    return rows.select(*documents.columns, F.col("new_path").isNotNull().alias("moved"))
 
 
 def relocated_state(state: DataFrame, documents: DataFrame, moves: DataFrame) -> DataFrame:
@@ -174,22 +180,29 @@ def _renamed(c: str, old: str, new: str) -> Column:
     return F.when(F.col(c).startswith(old + "/"), F.concat(F.lit(new), F.substr(c, F.lit(len(old) + 1)))).otherwise(F.col(c))
 
 
+def rename_outcome(documents: DataFrame, old: str, new: str) -> DataFrame:
+    """One row (old_path, new_path, outcome, renamed_docs): renamed, same, missing (no document lies there) or conflict (the new folder holds documents)."""
+    inside = lambda folder: F.count_if(F.col("relative_path").startswith(folder + "/"))
+    outcome = F.when(F.lit(old == new), "same").when(F.col("theirs") > 0, "conflict").when(F.col("own") == 0, "missing").otherwise("renamed")
+    counted = documents.agg(inside(old).alias("own"), inside(new).alias("theirs"))
+    return counted.select(F.lit(old).alias("old_path"), F.lit(new).alias("new_path"), outcome.alias("outcome"), F.when(outcome == "renamed", F.col("own")).otherwise(0).alias("renamed_docs"))
+
+
 def rename_folder(documents: DataFrame, old: str, new: str) -> DataFrame:
-    """Documents with the folder renamed; unchanged where the new folder holds documents already (a conflict)."""
-    if old == new:
-        return documents
-    taken = documents.agg(F.coalesce(F.max(F.col("relative_path").startswith(new + "/")), F.lit(False)).alias("_taken"))  # one row
-    path = F.when(F.col("_taken"), F.col("relative_path")).otherwise(_renamed("relative_path", old, new))
-    return documents.crossJoin(F.broadcast(taken)).withColumn("relative_path", path).drop("_taken")
+    """Documents with the folder renamed, stored paths too; unchanged where rename_outcome() is not ``renamed``."""
+    done = F.broadcast(rename_outcome(documents, old, new).select((F.col("outcome") == "renamed").alias("_done")))  # one row
+    hit = F.col("_done") & F.col("relative_path").startswith(old + "/")
+    rows = documents.crossJoin(done)
+    if "pdf_path" in documents.columns:
+        rows = rows.withColumn("pdf_path", F.when(hit, _renamed("relative_path", old, new)).otherwise(F.col("pdf_path")))
+    return rows.withColumn("relative_path", F.when(hit, _renamed("relative_path", old, new)).otherwise(F.col("relative_path"))).drop("_done")
 
 
 def renamed_state(state: DataFrame, documents: DataFrame, old: str, new: str) -> DataFrame:
-    """The scan state after the folder is renamed: rows of the new folder are purged, those of the old one renamed; all stay in a conflict."""
-    if old == new:
-        return state
-    taken = documents.agg(F.coalesce(F.max(F.col("relative_path").startswith(new + "/")), F.lit(False)).alias("_taken"))  # one row
-    rows = state.crossJoin(F.broadcast(taken)).where(F.col("_taken") | ~F.col("relative_path").startswith(new + "/"))
-    return rows.withColumn("relative_path", F.when(F.col("_taken"), F.col("relative_path")).otherwise(_renamed("relative_path", old, new))).drop("_taken")
+    """The scan state after the folder is renamed: rows of the new folder are purged, those of the old one renamed; all stay if it is not renamed."""
+    done = F.broadcast(rename_outcome(documents, old, new).select((F.col("outcome") == "renamed").alias("_done")))  # one row
+    rows = state.crossJoin(done).where(~F.col("_done") | ~F.col("relative_path").startswith(new + "/"))
+    return rows.withColumn("relative_path", F.when(F.col("_done"), _renamed("relative_path", old, new)).otherwise(F.col("relative_path"))).drop("_done")
 
 
 def replace_documents(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.staging import staged
 
 MAX_DEPTH, MAX_SIBLINGS, MAX_CHILDREN = 12, 20, 40
 # The columns that tell rows apart.
@@ -22,64 +23,86 @@ def assign_parents(parts: DataFrame, order: str = "id", deepest: int | None = No
     Null for level 0 and where no row can be the parent; 0 where a level is skipped (a placeholder
     stands there). ``deepest`` is the greatest level; when not given it is read off the table.
     """
-    if deepest is None:
-        deepest = parts.agg(F.max("nom_level")).first()[0] or 0
+    deepest = deepest_level(parts) if deepest is None else deepest
+    level = F.coalesce("nom_level", F.lit(0))
     group = Window.partitionBy("document_id", figure_key()).orderBy(order)
     before = group.rowsBetween(Window.unboundedPreceding, -1)
     seq = F.row_number().over(group)
     rows = parts.withColumn("_seq", seq)
-    me = F.struct(F.col("id").alias("id"), F.col("nom_level").alias("level"), F.col("_seq").alias("seq"))
-    lower = [F.last(F.when(F.col("nom_level") < k, me), ignorenulls=True).over(before).alias(f"_below{k}") for k in range(1, deepest + 1)]
+    me = F.struct(F.col("id").alias("id"), level.alias("level"), F.col("_seq").alias("seq"))
+    lower = [F.last(F.when(level < k, me), ignorenulls=True).over(before).alias(f"_below{k}") for k in range(1, deepest + 1)]
     rows = rows.select("*", *lower)
     p = F.lit(None).cast("struct<id:bigint,level:int,seq:int>")
     for k in range(deepest, 0, -1):
-        p = F.when(F.col("nom_level") == k, F.col(f"_below{k}")).otherwise(p)
+        p = F.when(level == k, F.col(f"_below{k}")).otherwise(p)
     rows = rows.withColumn("_p", p)
     parent = (
-        F.when(F.col("nom_level") <= 0, None)
-        .when(F.col("_p.level") == F.col("nom_level") - 1, F.col("_p.id"))
+        F.when(level <= 0, None)
+        .when(F.col("_p.level") == level - 1, F.col("_p.id"))
         .when((F.col("_seq") == 1) | (F.col("_p.seq") == F.col("_seq") - 1), None)
         .otherwise(F.lit(0).cast("bigint"))
     )
     return rows.withColumn("parent_part_id", parent).drop("_seq", "_p", *(f"_below{k}" for k in range(1, deepest + 1)))
 
 
-def drop_duplicates(parts: DataFrame, deepest: int) -> DataFrame:
+def deepest_level(parts: DataFrame) -> int:
+    """The greatest level of the table; rows without one are of level 0."""
+    return parts.agg(F.max("nom_level")).first()[0] or 0
+
+
+def drop_duplicates(parts: DataFrame, deepest: int | None = None) -> DataFrame:
     """(id, survivor, parent): rows that agree in the row key and parent are one, the first; its id then acts as parent.
 
     Parents are one when they agree in turn, so rows are one when the keys of their whole chains agree:
-    one join with (id, key, parent) per level gathers the chain, and one window groups by it.
+    (id, key, parent) is staged once, one join with it per level gathers the chain, and a pre-aggregated minimum
+    names its first row. Rows whose chain has ended meet nothing and are spread over all tasks.
     """
+    deepest = deepest_level(parts) if deepest is None else deepest
     missing = [c for c in ROW_KEY if c not in parts.columns]
     rows = parts.select("*", *(F.lit(None).cast("string").alias(c) for c in missing))
     kind = dict(rows.dtypes)
     key = [F.coalesce(c, F.lit("")) if kind[c] == "string" else F.coalesce(c, F.lit(0)) for c in ROW_KEY]
-    rows = rows.where(F.col("nom_level").between(0, deepest)).select("id", F.col("parent_part_id").alias("parent"), F.sha2(F.to_json(F.struct(*key)), 256).alias("key"))
+    rows = staged(rows.select("id", F.col("parent_part_id").alias("parent"), F.sha2(F.to_json(F.struct(*key)), 256).alias("key")), "dedup-keys")
     known = rows.select(F.col("id").alias("_at"), F.col("key").alias("_key"), F.col("parent").alias("_next"))
-    chain = rows.select("id", "parent", F.array("key").alias("chain"), F.coalesce("parent", F.lit(0)).alias("_at"))
+    ended = -1 - F.abs("id")  # no row's id
+    chain = rows.select("id", "parent", F.array("key").alias("chain"), F.coalesce("parent", F.lit(0)).alias("leads"), F.when(F.col("parent") != 0, F.col("parent")).otherwise(ended).alias("_at"))
     for _ in range(deepest):
         chain = chain.join(known, "_at", "left").select(
             "id", "parent", F.when(F.col("_key").isNull(), F.col("chain")).otherwise(F.concat("chain", F.array("_key"))).alias("chain"),
-            F.when(F.col("_key").isNull(), F.col("_at")).otherwise(F.coalesce("_next", F.lit(0))).alias("_at"),
+            F.when(F.col("_key").isNull(), F.col("leads")).otherwise(F.coalesce("_next", F.lit(0))).alias("leads"), F.when(F.col("_next") != 0, F.col("_next")).otherwise(ended).alias("_at"),
         )
-    same = Window.partitionBy("chain", "_at")  # what is left of a chain is where it leads out of the table
-    found = chain.select("id", "parent", F.min("id").over(same).alias("survivor"))
-    of = found.where("id <> survivor").select(F.col("id").alias("parent"), F.col("survivor").alias("_of"))
-    return found.join(of, "parent", "left").select("id", "survivor", F.coalesce("_of", "parent").alias("parent"))
+    same = F.sha2(F.concat_ws(",", F.array_join("chain", ","), "leads"), 256)  # what is left of a chain is where it leads out of the table
+    chain = staged(chain.select("id", "parent", same.alias("same")), "dedup-chains")
+    first = chain.groupBy("same").agg(F.min("id").alias("survivor"), F.count("*").alias("n")).where("n > 1").drop("n")
+    found = chain.join(first, "same", "left").select("id", "parent", F.coalesce("survivor", "id").alias("survivor"))
+    of = chain.join(first, "same").where("id <> survivor").select(F.col("id").alias("_up"), F.col("survivor").alias("_of"))
+    up = F.when(F.col("parent") != 0, F.col("parent")).otherwise(ended)
+    return found.withColumn("_up", up).join(of, "_up", "left").select("id", "survivor", F.coalesce("_of", "parent").alias("parent"))
 
 
 def ancestors(parts: DataFrame, ids: DataFrame | None = None, depth: int = MAX_DEPTH) -> DataFrame:
-    """(id, ancestors): each part's chain of parents, root first, at most ``depth``; stops at a missing parent or a cycle."""
-    known = parts.select(F.col("id").alias("_up"), F.col("parent_part_id").alias("_next"))
-    start = parts if ids is None else parts.join(ids.select("id").distinct(), "id", "left_semi")
-    rows = start.select("id", F.array().cast("array<bigint>").alias("ancestors"), F.col("parent_part_id").alias("_at"))
-    for _ in range(depth):
-        rows = rows.join(known, F.col("_at") == F.col("_up"), "left")
-        good = F.col("_up").isNotNull() & ~F.array_contains("ancestors", F.coalesce("_up", F.lit(-1))) & (F.coalesce("_up", F.lit(-1)) != F.col("id"))
-        rows = rows.select(
-            "id", F.when(good, F.concat(F.array("_up"), "ancestors")).otherwise(F.col("ancestors")).alias("ancestors"), F.when(good, F.col("_next")).alias("_at")
-        )
-    return rows.select("id", "ancestors")
+    """(id, ancestors): each part's chain of parents, root first, at most ``depth``; stops at a missing parent or a cycle.
+
+    Chains grow by doubling: the way of four steps up is staged, and three of it make twelve. A way that has ended
+    meets nothing and is spread over all tasks. Ways of a cycle repeat, and are cut where they do.
+    """
+    ended = lambda c: F.when(F.col(c).isNotNull(), F.col(c)).otherwise(-1 - F.abs("id"))  # noqa: E731  no part's id
+    links = parts.select("id", F.col("parent_part_id").alias("up"))
+    links = staged(links.withColumn("up", ended("up")).join(parts.select(F.col("id").alias("up"), F.lit(True).alias("_known")), "up", "left").select("id", F.when(F.col("_known"), F.col("up")).alias("jump")), "part-links")
+    ways = links.select("id", F.array_compact(F.array("jump")).alias("path"), "jump")
+
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        further = b.select(F.col("id").alias("_at"), F.col("path").alias("_path"), F.col("jump").alias("_jump"))
+        met = a.withColumn("_at", ended("jump")).join(further, "_at", "left")
+        return met.select("id", F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("path", "_path")).alias("path"), F.col("_jump").alias("jump"))
+
+    two = joined(ways, ways)
+    four = staged(joined(two, two), "part-ways")
+    out = four if ids is None else four.join(ids.select("id").distinct(), "id", "left_semi")
+    for _ in range((depth + 3) // 4 - 1):
+        out = joined(out, four)
+    cut = F.slice(F.array_remove(F.array_distinct("path"), F.col("id")), 1, depth)
+    return out.select("id", F.reverse(cut).alias("ancestors"))
 
 
 def roots(parts: DataFrame) -> DataFrame:
@@ -102,25 +125,47 @@ def children(parts: DataFrame, of: DataFrame | None = None, most: int = MAX_CHIL
     return rows.where(F.col("n") <= most).join((parts if of is None else of).select("id"), "id", "left_semi").select("id", "child_id")
 
 
+# The columns of a part's detail, in order; those of its page are PAGE_COLUMNS.
+PAGE_COLUMNS = ("figure_label", "date_text", "page_token", "rf_text")
+DETAIL = (
+    "id", "pdf_name", "source_relative_path", "document_id", "page_num", "page_end", "extractor", "meta_data_raw", "figure_code", "figure_label", "date_text", "page_token", "rf_text", "row_kind",
+    "fig_item_raw", "fig_item_no", "fig_item_no_source", "not_illustrated", "part_number_cell", "part_number_extracted", "part_number_canonical", "pn_corrected", "pn_method", "pn_best_similarity",
+    "pn_needs_review", "correction_note", "nom_level", "nomenclature_clean", "parent_part_id", "attached_to_part_id", "nomenclature", "effectivity", "units_per_assy",
+)
+
+
 def detail(parts: DataFrame, documents: DataFrame, pages: DataFrame) -> DataFrame:
-    """Parts with their document and page; booleans and display text as the API gives them."""
-    docs = documents.select(F.col("id").alias("document_id"), "pdf_name", "relative_path")
-    rows = parts.join(docs, "document_id").join(pages.select("document_id", "page_num", "figure_label", "date_text", "page_token"), ["document_id", "page_num"], "left")
+    """Parts with their document and page: the columns of DETAIL as they are stored, and the figure item as it is shown."""
+    docs = documents.select(F.col("id").alias("document_id"), "pdf_name", F.col("relative_path").alias("source_relative_path"))
+    rows = parts.join(docs, "document_id").join(pages.select("document_id", "page_num", *PAGE_COLUMNS), ["document_id", "page_num"], "left")
+    return rows.select(*DETAIL, T.fig_item_display("fig_item_raw", "fig_item_no", "not_illustrated").alias("fig_item"))
+
+
+def api(rows: DataFrame) -> DataFrame:
+    """The fields of detail() that the service gives, with its types: flags are booleans, an empty path is the file name."""
+    flag = lambda c: (F.coalesce(c, F.lit(0)) != 0).alias(c)
     return rows.select(
-        "id", F.coalesce("relative_path", "pdf_name").alias("source"), "pdf_name", "page_num", "figure_code", "figure_label", "date_text", "page_token", "row_kind", "part_number_canonical",
-        "part_number_cell", (F.col("pn_corrected") != 0).alias("pn_corrected"), (F.col("pn_needs_review") != 0).alias("pn_needs_review"), "pn_best_similarity",
-        (F.col("not_illustrated") != 0).alias("not_illustrated"), T.fig_item_display("fig_item_raw", "fig_item_no", "not_illustrated").alias("fig_item"), "nom_level", "nomenclature_clean", "parent_part_id", "units_per_assy",
-    )
+        "id", "document_id", "page_num", "page_end", "extractor", "figure_code", "fig_item_no", flag("not_illustrated"), F.col("part_number_canonical").alias("part_number"), flag("pn_corrected"), "pn_method",
+        "nom_level", "nomenclature", "nomenclature_clean", "effectivity", "units_per_assy", *PAGE_COLUMNS, "pdf_name", "source_relative_path",
+    )
+
+
+def api_short(rows: DataFrame) -> DataFrame:
+    """The same under the short names of the service's lists."""
+    names = {"id": "id", "pn": "part_number_canonical", "pn_cell": "part_number_cell", "nom": "nomenclature", "nom_clean": "nomenclature_clean", "nom_level": "nom_level", "fig": "figure_code", "fig_item": "fig_item_no", "eff": "effectivity", "units": "units_per_assy", "page": "page_num", "pdf": "pdf_name"}
+    source = F.coalesce(T.null_if_empty("source_relative_path"), "pdf_name").alias("source_relative_path")
+    return rows.select(*(F.col(c).alias(n) for n, c in names.items()), (F.coalesce("pn_corrected", F.lit(0)) != 0).alias("pn_corrected"), *PAGE_COLUMNS, source)
 
 
 def nested_detail(parts: DataFrame, documents: DataFrame, pages: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row per id: its detail with arrays of ancestors, siblings, children and cross references."""
-    want = ids.select("id").distinct()
+    """One row per id: its detail with arrays of ancestors, siblings, children and cross references. Parts are staged: each step reads them once."""
+    parts = staged(parts, "detail-parts")
+    want = staged(ids.select("id").distinct(), "detail-ids")
     listed = lambda df, c, name: df.join(want, "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list(c)).alias(name))  # noqa: E731  at most MAX_* per id
     own = parts.join(want, "id", "left_semi")
     near = parts.join(own.where("parent_part_id <> 0").select("parent_part_id").union(own.select("id")).distinct(), "parent_part_id", "left_semi")  # rows of the parents asked for
-    xrefs = own.select("id", F.array_sort(T.cross_references("nomenclature_clean")).alias("xrefs"))
-    out = detail(own, documents, pages).join(ancestors(parts, want), "id", "left")
-    out = out.join(listed(siblings(near), "sibling_id", "siblings"), "id", "left").join(listed(children(near, want), "child_id", "children"), "id", "left").join(xrefs, "id")
+    out = detail(own, documents, pages).withColumn("xrefs", F.array_sort(T.cross_references("nomenclature_clean"))).join(ancestors(parts, want), "id", "left")
+    near = staged(near.select("id", "parent_part_id", "nom_level"), "detail-near")
+    out = out.join(listed(siblings(near), "sibling_id", "siblings"), "id", "left").join(listed(children(near, want), "child_id", "children"), "id", "left")
     empty = F.array().cast("array<bigint>")
     return out.withColumn("siblings", F.coalesce("siblings", empty)).withColumn("children", F.coalesce("children", empty))

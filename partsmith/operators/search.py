@@ -136,10 +136,10 @@ def search(parts: DataFrame, documents: DataFrame, pages: DataFrame, aliases: Da
     with_hits = r.match != "pn" and not r.dots
     rows = top.join(pages.select("document_id", "page_num", "figure_label", "date_text"), ["document_id", "page_num"], "left")
     return rows.select(
-        "id", F.col("pdf_name").alias("source_pdf"), F.col("relative_path").alias("source_relative_path"), "page_num", "figure_code", "figure_label", "date_text",
-        T.fig_item_display("fig_item_raw", "fig_item_no", "not_illustrated").alias("fig_item"), "part_number_canonical", "part_number_cell", "nom_level",
+        "id", F.col("pdf_name").alias("source_pdf"), F.col("relative_path").alias("source_relative_path"), "page_num", "page_end", "figure_code", "figure_label", "date_text",
+        T.fig_item_display("fig_item_raw", "fig_item_no", "not_illustrated").alias("fig_item"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("not_illustrated", "pn_corrected", "nom_level")), "part_number_canonical", "part_number_cell",
         T.preview(text).alias("nomenclature_preview"), (T.hit_snippet(text, F.lit(r.q)) if with_hits else T.preview(text)).alias("nomenclature_hit_snippet"),
-        "units_per_assy", "pn_needs_review", "rank",
+        "effectivity", "units_per_assy", "pn_needs_review", "rank",
     )
 
 
@@ -162,15 +162,20 @@ def envelope(parts: DataFrame, documents: DataFrame, aliases: DataFrame, r: Requ
 
 
 def lookup(parts: DataFrame, documents: DataFrame, aliases: DataFrame, number: str) -> DataFrame:
-    """Parts that have exactly this number, under any of its names, by document, page and id; an alias repeats a row."""
+    """Parts that have exactly this number, under any of its names, by document, figure, page and item.
+
+    A row with the number among its own identifiers comes once for each of its aliases, one that only an alias
+    names once for each alias that does. The filters run before the joins, on each table by itself.
+    """
     q = (number or "").strip().upper()
-    rows = parts.join(aliases.select(F.col("part_id").alias("id"), "alias_value"), "id", "left")
-    hit = F.col("alias_value") == q
+    own = F.lit(False)
     for c in IDENTIFIERS:
-        hit = hit | (F.col(c) == q)
+        own = own | F.coalesce(F.col(c) == q, F.lit(False))
+    names = aliases.select(F.col("part_id").alias("id"), "alias_value")
+    rows = parts.where(own).join(names, "id", "left").unionByName(parts.where(~own).join(names.where(F.col("alias_value") == q), "id"))
     docs = documents.select(F.col("id").alias("document_id"), "pdf_name")
-    out = rows.where(hit).join(docs, "document_id").select("id", "pdf_name", "page_num", "figure_code", "fig_item_no", "part_number_canonical", T.shorten("nomenclature_clean").alias("title"))
-    return out.orderBy("pdf_name", "page_num", "id")
+    out = rows.join(docs, "document_id").select("id", "pdf_name", "page_num", "figure_code", "fig_item_no", "part_number_canonical", T.shorten("nomenclature_clean").alias("title"))
+    return out.orderBy("pdf_name", "figure_code", "page_num", "fig_item_no", "id")
 
 
 def xrefs_of(hits: DataFrame, parts: DataFrame) -> DataFrame:

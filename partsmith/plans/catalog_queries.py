@@ -26,9 +26,10 @@ def query(name: str, sql: str | None):
 
 # hierarchy
 
-_PARENTS = f"""{ctes("f_parts", "f_documents", "f_pages")}, hs AS (SELECT *, row_number() OVER (PARTITION BY document_id, figure_code ORDER BY id) AS seq FROM f_parts),
-hb AS (SELECT a.id, max_by(b.id, b.seq) AS pid, max_by(b.nom_level, b.seq) AS plevel, max(b.seq) AS pseq FROM hs a JOIN hs b ON a.document_id = b.document_id AND a.figure_code = b.figure_code AND b.seq < a.seq AND b.nom_level < a.nom_level GROUP BY a.id),
-hp AS (SELECT hs.* EXCLUDE (seq), CASE WHEN nom_level <= 0 THEN NULL WHEN plevel = nom_level - 1 THEN pid WHEN seq = 1 OR pseq = seq - 1 THEN NULL ELSE 0 END AS parent_part_id FROM hs LEFT JOIN hb USING (id))"""
+_BELOW = " ".join(f"WHEN {k} THEN last_value(CASE WHEN lev < {k} THEN {{'id': id, 'level': lev, 'seq': seq}} END IGNORE NULLS) OVER w" for k in range(1, DEEPEST + 1))
+_PARENTS = f"""{ctes("f_parts", "f_documents", "f_pages")}, hs AS (SELECT *, coalesce(nom_level, 0) AS lev, row_number() OVER (PARTITION BY document_id, figure_code ORDER BY id) AS seq FROM f_parts),
+hb AS (SELECT *, CASE lev {_BELOW} END AS p FROM hs WINDOW w AS (PARTITION BY document_id, figure_code ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+hp AS (SELECT * EXCLUDE (seq, p, lev), CASE WHEN lev <= 0 THEN NULL WHEN p.level = lev - 1 THEN p.id WHEN seq = 1 OR p.seq = seq - 1 THEN NULL ELSE 0 END AS parent_part_id FROM hb)"""
 
 
 def with_parents(c: Catalogue):
@@ -40,8 +41,8 @@ def _parents(c):
     return with_parents(c).select("id", "nom_level", "parent_part_id")
 
 
-_COPIES = "SELECT * FROM f_parts UNION ALL SELECT * REPLACE (id + 100000000 AS id) FROM f_parts WHERE id % 6 = 0"
-_KEY = "document_id, page_num, coalesce(figure_code, ''), coalesce(fig_item_raw, ''), coalesce(fig_item_no, ''), not_illustrated, coalesce(part_number_cell, ''), coalesce(nomenclature_clean, ''), coalesce(units_per_assy, '')"
+_COPIES = "SELECT * REPLACE (CASE WHEN id % 100000000 % 41 = 7 THEN NULL ELSE nom_level END AS nom_level) FROM (SELECT * FROM f_parts UNION ALL SELECT * REPLACE (id + 100000000 AS id) FROM f_parts WHERE id % 6 = 0)"
+_KEY = "document_id, page_num, coalesce(figure_code, ''), coalesce(fig_item_raw, ''), coalesce(fig_item_no, ''), not_illustrated, coalesce(part_number_cell, ''), coalesce(nomenclature_clean, ''), coalesce(effectivity, ''), coalesce(units_per_assy, '')"
 
 
 def _dedup_sql() -> str:
@@ -49,7 +50,7 @@ def _dedup_sql() -> str:
     for k in range(DEEPEST + 1):
         before = f"LEFT JOIN ({' UNION ALL '.join(f'SELECT * FROM d{i}' for i in range(k))}) s ON s.id = p.parent_part_id" if k else ""
         parent = "coalesce(s.survivor, p.parent_part_id)" if k else "p.parent_part_id"
-        sql += f", q{k} AS (SELECT p.*, {parent} AS par FROM hp p {before} WHERE nom_level = {k}), d{k} AS (SELECT id, min(id) OVER (PARTITION BY {_KEY}, coalesce(par, 0)) AS survivor, par AS parent FROM q{k})"
+        sql += f", q{k} AS (SELECT p.*, {parent} AS par FROM hp p {before} WHERE coalesce(nom_level, 0) = {k}), d{k} AS (SELECT id, min(id) OVER (PARTITION BY {_KEY}, coalesce(par, 0)) AS survivor, par AS parent FROM q{k})"
     return sql + " " + " UNION ALL ".join(f"SELECT id, survivor, parent FROM d{k}" for k in range(DEEPEST + 1))
 
 
@@ -57,7 +58,8 @@ def _dedup_sql() -> str:
 def _dedup(c):
     parts = c.f_parts
     rows = parts.unionByName(parts.where("id % 6 = 0").withColumn("id", F.col("id") + 100_000_000)).withColumn("reading", F.col("id") % 100_000_000 * 2 + (F.col("id") > 100_000_000).cast("int"))
-    return H.drop_duplicates(H.assign_parents(rows, "reading", DEEPEST), DEEPEST)
+    rows = rows.withColumn("nom_level", F.when(F.col("id") % 100_000_000 % 41 != 7, F.col("nom_level")))  # rows without a level are of level 0
+    return H.drop_duplicates(H.assign_parents(rows, "reading"))
 
 
 _CHAIN = f"{_PARENTS.replace('WITH ', 'WITH RECURSIVE ', 1)}, chain(id, up, ups, depth) AS (SELECT id, parent_part_id, []::BIGINT[], 0 FROM hp UNION ALL SELECT chain.id, hp.parent_part_id, list_prepend(hp.id, ups), depth + 1 FROM chain JOIN hp ON hp.id = chain.up WHERE depth < 12), longest AS (SELECT id, max_by(ups, depth) AS ups FROM chain GROUP BY id)"
@@ -87,8 +89,8 @@ def _children(c):
     return H.children(with_parents(c))
 
 
-_DETAIL = f"""SELECT p.id, relative_path AS source, pdf_name, page_num, figure_code, figure_label, date_text, page_token, row_kind, part_number_canonical, part_number_cell, pn_corrected <> 0 AS pn_corrected, pn_needs_review <> 0 AS pn_needs_review,
- pn_best_similarity, not_illustrated <> 0 AS not_illustrated, {FIG} AS fig_item, nom_level, nomenclature_clean, parent_part_id, units_per_assy FROM hp p JOIN f_documents d ON d.id = document_id LEFT JOIN f_pages USING (document_id, page_num)"""
+_DETAIL = f"""SELECT p.id, pdf_name, relative_path AS source_relative_path, p.* EXCLUDE (id, miner_table_img_path), figure_label, date_text, page_token, rf_text, {FIG} AS fig_item
+ FROM (SELECT *, NULL AS miner_table_img_path FROM hp) p JOIN f_documents d ON d.id = document_id LEFT JOIN f_pages USING (document_id, page_num)"""
 
 
 @query("part_detail", f"{_PARENTS} {_DETAIL}")
@@ -109,17 +111,29 @@ def _part_xrefs(c):
 
 
 @query("detail_nested", f"""{_CHAIN}, sib AS ({_SIBLINGS}), chi AS ({_CHILDREN}), det AS ({_DETAIL})
-SELECT id, source, fig_item, array_to_string((SELECT ups FROM longest WHERE longest.id = det.id), ',') AS ancestors, coalesce((SELECT string_agg(sibling_id::VARCHAR, ',' ORDER BY sibling_id) FROM sib WHERE sib.id = det.id), '') AS siblings,
+SELECT id, source_relative_path AS source, fig_item, array_to_string((SELECT ups FROM longest WHERE longest.id = det.id), ',') AS ancestors, coalesce((SELECT string_agg(sibling_id::VARCHAR, ',' ORDER BY sibling_id) FROM sib WHERE sib.id = det.id), '') AS siblings,
  coalesce((SELECT string_agg(child_id::VARCHAR, ',' ORDER BY child_id) FROM chi WHERE chi.id = det.id), '') AS children FROM det""")
 def _nested(c):
     parts = with_parents(c)
     out = H.nested_detail(parts, c.f_documents, c.f_pages, parts.select("id"))
-    return out.select("id", "source", "fig_item", *(F.array_join(n, ",").alias(n) for n in ("ancestors", "siblings", "children")))
+    return out.select("id", F.col("source_relative_path").alias("source"), "fig_item", *(F.array_join(n, ",").alias(n) for n in ("ancestors", "siblings", "children")))
 
 
-@query("part_api", f"{_PARENTS}, det AS ({_DETAIL}) SELECT id, source, pn_corrected, pn_needs_review, not_illustrated, fig_item FROM det")
+_API = """SELECT id, document_id, page_num, page_end, extractor, figure_code, fig_item_no, not_illustrated <> 0 AS not_illustrated, part_number_canonical AS part_number, pn_corrected <> 0 AS pn_corrected, pn_method, nom_level, nomenclature,
+ nomenclature_clean, effectivity, units_per_assy, figure_label, date_text, page_token, rf_text, pdf_name, source_relative_path FROM det"""
+_SHORT = """SELECT id, part_number_canonical AS pn, part_number_cell AS pn_cell, pn_corrected <> 0 AS pn_corrected, nomenclature AS nom, nomenclature_clean AS nom_clean, nom_level, figure_code AS fig, fig_item_no AS fig_item, effectivity AS eff,
+ units_per_assy AS units, page_num AS page, figure_label, date_text, page_token, rf_text, pdf_name AS pdf, CASE WHEN document_id % 5 = 0 THEN pdf_name ELSE source_relative_path END AS source_relative_path FROM det"""
+
+
+@query("part_api", f"{_PARENTS}, det AS ({_DETAIL}) {_API}")
 def _api(c):
-    return H.detail(with_parents(c), c.f_documents, c.f_pages).select("id", "source", "pn_corrected", "pn_needs_review", "not_illustrated", "fig_item")
+    return H.api(H.detail(with_parents(c), c.f_documents, c.f_pages))
+
+
+@query("part_api_short", f"{_PARENTS}, det AS ({_DETAIL}) {_SHORT}")
+def _api_short(c):
+    blank = F.when(F.col("document_id") % 5 == 0, "").otherwise(F.col("source_relative_path"))
+    return H.api_short(H.detail(with_parents(c), c.f_documents, c.f_pages).withColumn("source_relative_path", blank))
 
 
 # documents
@@ -242,7 +256,7 @@ def incoming(c):
     return d.where("id % 4 = 0").selectExpr("id + 100000 as id", "pdf_name", "relative_path").unionByName(more)
 
 
-@query("catalog_upsert", f"{_D}, n AS ({_NEW}) SELECT * FROM f_documents WHERE relative_path NOT IN (SELECT relative_path FROM n) UNION ALL SELECT * FROM n")
+@query("catalog_upsert", f"{_D}, n AS ({_NEW}) SELECT * FROM f_documents WHERE relative_path NOT IN (SELECT relative_path FROM n) UNION ALL BY NAME SELECT * FROM n")
 def _upsert(c):
     return C.upsert(c.f_documents, incoming(c))
 
@@ -286,9 +300,9 @@ def _dup_keys(c):
     return C.duplicate_keys(c.f_documents, "pdf_name")
 
 
-@query("duplicate_rows", f"{_D} SELECT * FROM f_documents WHERE pdf_name IN (SELECT pdf_name FROM f_documents WHERE id % 7 <> 0 GROUP BY pdf_name HAVING count(*) > 1) AND id % 7 <> 0")
+@query("duplicate_rows", f"{_D} SELECT * FROM f_documents WHERE pdf_name IN (SELECT pdf_name FROM f_documents GROUP BY pdf_name HAVING count(*) > 1)")
 def _dup_rows(c):
-    return C.duplicate_rows(c.f_documents.where("id % 7 <> 0"), "pdf_name")
+    return C.duplicate_rows(c.f_documents, "pdf_name")
 
 
 @query("backfill_paths", f"{_D} SELECT id, pdf_name, CASE WHEN id % 3 = 0 THEN pdf_name ELSE relative_path END AS relative_path FROM f_documents")
@@ -319,7 +333,7 @@ def moves(c):
     return c.f_documents.where("id % 6 < 4").selectExpr("relative_path", target)
 
 
-@query("relocate_documents", f"{_D}, {_MOVES} SELECT id, regexp_extract(coalesce(new_path, relative_path), '[^/]*$') AS pdf_name, coalesce(new_path, relative_path) AS relative_path, new_path IS NOT NULL AS moved FROM f_documents LEFT JOIN good USING (relative_path)")
+@query("relocate_documents", f"{_D}, {_MOVES} SELECT id, regexp_extract(coalesce(new_path, relative_path), '[^/]*$') AS pdf_name, coalesce(new_path, relative_path) AS relative_path, coalesce(new_path, pdf_path) AS pdf_path, miner_dir, new_path IS NOT NULL AS moved FROM f_documents LEFT JOIN good USING (relative_path)")
 def _relocate(c):
     return C.relocate(c.f_documents, moves(c))
 
@@ -334,12 +348,23 @@ def _move_state(c):
     return C.relocated_state(c.f_scan_prev, c.f_documents, moves(c))
 
 
-@query("rename_folder", f"{_D} SELECT id, pdf_name, CASE WHEN starts_with(relative_path, 'dir1/') THEN 'engine' || substr(relative_path, 5) ELSE relative_path END AS relative_path FROM f_documents")
+@query("rename_folder", f"{_D} SELECT * REPLACE (CASE WHEN starts_with(relative_path, 'dir1/') THEN 'engine' || substr(relative_path, 5) ELSE relative_path END AS relative_path, CASE WHEN starts_with(relative_path, 'dir1/') THEN 'engine' || substr(relative_path, 5) ELSE pdf_path END AS pdf_path) FROM f_documents")
 def _rename(c):
     return C.rename_folder(c.f_documents, "dir1", "engine")
 
 
-@query("rename_folder_conflict", f"{_D} SELECT id, pdf_name, relative_path FROM f_documents")
+_RENAMES = "VALUES ('dir1', 'engine'), ('dir1', 'dir2'), ('dir2', 'dir2'), ('nowhere', 'engine')"
+
+
+@query("rename_folder_outcome", f"{_D}, r AS (SELECT old_path, new_path, (SELECT count(*) FROM f_documents WHERE starts_with(relative_path, old_path || '/')) AS own, (SELECT count(*) FROM f_documents WHERE starts_with(relative_path, new_path || '/')) AS theirs FROM ({_RENAMES}) AS v(old_path, new_path)) SELECT old_path, new_path, CASE WHEN old_path = new_path THEN 'same' WHEN theirs > 0 THEN 'conflict' WHEN own = 0 THEN 'missing' ELSE 'renamed' END AS outcome, CASE WHEN old_path <> new_path AND theirs = 0 THEN own ELSE 0 END AS renamed_docs FROM r")
+def _rename_outcome(c):
+    a, *rest = (C.rename_outcome(c.f_documents, *r) for r in (("dir1", "engine"), ("dir1", "dir2"), ("dir2", "dir2"), ("nowhere", "engine")))
+    for r in rest:
+        a = a.unionByName(r)
+    return a
+
+
+@query("rename_folder_conflict", f"{_D} SELECT * FROM f_documents")
 def _rename_conflict(c):
     return C.rename_folder(c.f_documents, "dir1", "dir2")
 

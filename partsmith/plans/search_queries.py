@@ -58,7 +58,7 @@ def _rows(r: S.Request) -> str:
     if r.match != "pn" and not r.dots:
         snippet = f"CASE WHEN instr(upper({FLAT}), '{r.q}') <= 0 THEN {snippet} ELSE trim(substr({FLAT}, greatest(instr(upper({FLAT}), '{r.q}') - 80, 1), 260)) END"
     return f"""{_matched(r)}, top AS (SELECT * FROM m ORDER BY {by} LIMIT {r.limit} OFFSET {(r.page - 1) * r.limit})
-SELECT id, pdf_name AS source_pdf, relative_path AS source_relative_path, page_num, figure_code, figure_label, date_text, {FIG} AS fig_item, part_number_canonical, part_number_cell, nom_level,
+SELECT id, pdf_name AS source_pdf, relative_path AS source_relative_path, page_num, page_end, figure_code, figure_label, date_text, {FIG} AS fig_item, not_illustrated, pn_corrected, effectivity, part_number_canonical, part_number_cell, nom_level,
  substr({FLAT}, 1, 220) AS nomenclature_preview, {snippet} AS nomenclature_hit_snippet, units_per_assy, pn_needs_review, rank FROM top LEFT JOIN f_pages USING (document_id, page_num)"""
 
 
@@ -136,7 +136,7 @@ def _fig(c):
 _TITLE = "CASE WHEN length(t) <= 90 THEN t ELSE regexp_extract(substr(t, 1, 90), '^(.{0,89})\\s', 1) || '…' END"
 
 
-@query("pn_lookup", f"{ctes('f_parts', 'f_documents', 'f_aliases')}, x AS (SELECT p.*, pdf_name, trim(regexp_replace(coalesce(nomenclature_clean, ''), '\\s+', ' ', 'g')) AS t FROM f_parts p LEFT JOIN f_aliases a ON a.part_id = p.id JOIN f_documents d ON d.id = document_id WHERE '108A4001-1' IN (part_number_canonical, part_number_extracted, part_number_cell, alias_value)) SELECT id, pdf_name, page_num, figure_code, fig_item_no, part_number_canonical, {_TITLE} AS title FROM x")
+@query("pn_lookup", f"{ctes('f_parts', 'f_documents', 'f_aliases')}, x AS (SELECT p.*, pdf_name, trim(regexp_replace(coalesce(nomenclature_clean, ''), '\\s+', ' ', 'g')) AS t FROM (SELECT * FROM f_parts WHERE '108A4001-1' IN (part_number_canonical, part_number_extracted, part_number_cell) OR id IN (SELECT part_id FROM f_aliases WHERE alias_value = '108A4001-1')) p LEFT JOIN f_aliases a ON a.part_id = p.id JOIN f_documents d ON d.id = document_id WHERE '108A4001-1' IN (part_number_canonical, part_number_extracted, part_number_cell, alias_value)) SELECT id, pdf_name, page_num, figure_code, fig_item_no, part_number_canonical, {_TITLE} AS title FROM x")
 def _lookup(c):
     return S.lookup(c.f_parts, c.f_documents, c.f_aliases, "108a4001-1")
 

@@ -17,18 +17,25 @@ VIEWS = {
 SELECT s_suppkey + 1 AS id,
   concat('doc', lpad(CAST(CAST(floor(s_suppkey / 4) AS int) AS string), 4, '0'), '.pdf') AS pdf_name,
   concat(CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE concat('dir', CAST(s_suppkey % 4 AS string), '/') END,
-         'doc', lpad(CAST(CAST(floor(s_suppkey / 4) AS int) AS string), 4, '0'), '.pdf') AS relative_path
+         'doc', lpad(CAST(CAST(floor(s_suppkey / 4) AS int) AS string), 4, '0'), '.pdf') AS relative_path,
+  concat('corpus/', CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE concat('dir', CAST(s_suppkey % 4 AS string), '/') END,
+         'doc', lpad(CAST(CAST(floor(s_suppkey / 4) AS int) AS string), 4, '0'), '.pdf') AS pdf_path,
+  concat('run', CAST(s_suppkey % 3 AS string)) AS miner_dir
 FROM supplier
 """,
     "f_parts": """
 SELECT o_orderkey + 1 AS id,
   1 + o_custkey % (SELECT count(*) FROM supplier) AS document_id,
   1 + CAST(floor(o_orderkey / 1000) AS int) AS page_num,
+  1 + CAST(floor(o_orderkey / 1000) AS int) + CASE WHEN o_orderkey % 23 = 0 THEN 1 ELSE 0 END AS page_end,
+  'pdf_coords' AS extractor,
+  CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE concat('FIG. ', CAST(1 + o_orderkey % 7 AS string)) END AS meta_data_raw,
   concat('21-', lpad(CAST(o_custkey % 100 AS string), 2, '0'), '-00-',
          lpad(CAST(1 + CAST(floor(o_orderkey / 3000) AS int) AS string), 2, '0')) AS figure_code,
   CASE WHEN o_orderkey % 29 = 0 THEN 'note' ELSE 'part' END AS row_kind,
   CASE WHEN o_orderkey % 5 = 0 THEN '-' ELSE NULL END AS fig_item_raw,
   CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE CAST(1 + o_orderkey % 90 AS string) END AS fig_item_no,
+  CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE 'pdf_coords' END AS fig_item_no_source,
   CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS not_illustrated,
   CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE concat(CAST(100 + o_orderkey % 37 AS string), 'A',
        CAST(4000 + o_custkey % 500 AS string), '-', CAST(1 + o_orderkey % 9 AS string)) END AS part_number_cell,
@@ -38,6 +45,9 @@ SELECT o_orderkey + 1 AS id,
   CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE concat(CAST(100 + o_orderkey % 37 AS string), 'A',
        CAST(4000 + o_custkey % 500 AS string), '-', CAST(1 + o_orderkey % 9 AS string)) END AS part_number_extracted,
   CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS pn_corrected,
+  CASE WHEN o_orderkey % 29 = 0 THEN 'empty' WHEN o_orderkey % 11 = 0 THEN 'fuzzy' ELSE 'exact' END AS pn_method,
+  CASE WHEN o_orderkey % 11 = 0 THEN concat('read as ', CAST(o_orderkey AS string)) ELSE NULL END AS correction_note,
+  CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE concat('A', CAST(1 + o_orderkey % 12 AS string)) END AS effectivity,
   CASE WHEN o_orderkey % 11 = 0 THEN CAST(0.9375 AS double) ELSE NULL END AS pn_best_similarity,
   CASE WHEN o_orderkey % 33 = 0 THEN 1 ELSE 0 END AS pn_needs_review,
   CAST(substring(o_orderpriority, 1, 1) AS int) - 1 AS nom_level,
@@ -55,7 +65,8 @@ FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)
 """,
     "f_pages": """
 SELECT DISTINCT document_id, page_num, concat('PAGE ', CAST(page_num AS string)) AS page_token,
-  concat('FIG. ', CAST(1 + CAST(floor((page_num - 1) / 3) AS int) AS string)) AS figure_label, 'APR 15/21' AS date_text
+  concat('FIG. ', CAST(1 + CAST(floor((page_num - 1) / 3) AS int) AS string)) AS figure_label, 'APR 15/21' AS date_text,
+  CASE WHEN page_num % 3 = 0 THEN NULL ELSE concat('RF 21-', lpad(CAST(page_num % 100 AS string), 2, '0'), '-00') END AS rf_text
 FROM f_parts WHERE page_num % 4 <> 0
 """,
     "f_aliases": """

@@ -7,15 +7,21 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+OWN = "spark.partsmith.staging.dir"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, a temporary folder of a local session, else a folder under the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
+    """``spark.checkpoint.dir``; where it is unset, one temporary folder of a local session, else a folder under the warehouse."""
+    for key in ("spark.checkpoint.dir", OWN):
+        found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
+        if found:
+            return found.rstrip("/")
     if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-        return "file://" + tempfile.mkdtemp(prefix="spark-")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        own = "file://" + tempfile.mkdtemp(prefix="spark-")
+    else:
+        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    spark.conf.set(OWN, own)
+    return own
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
