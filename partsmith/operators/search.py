@@ -229,21 +229,30 @@ def grams(c: Column, n: Column) -> Column:
     return F.when(n == 0, F.array(F.lit(""))).when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(c, i, n)))).otherwise(F.array().cast("array<string>"))
 
 
+def longest_runs(needles: DataFrame) -> DataFrame:
+    """Needles with run, their longest run without wildcards, and n, the size of the pieces of it that are looked up: three characters at most."""
+    run = F.array_max(F.transform(F.split("needle", "[%_]+"), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    return needles.withColumn("run", run).withColumn("n", F.least(F.length("run"), F.lit(3)))
+
+
+def meeting(pieces: DataFrame, asked: DataFrame) -> DataFrame:
+    """(value, needle) of pieces (value, gram) and needles of longest_runs() for which value LIKE %needle%."""
+    own = asked.select("needle", F.explode(grams(F.col("run"), F.col("n"))).alias("gram"))
+    spread = pieces.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = own.join(spread, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
+    met = pieces.join(rarest, "gram")
+    return met.where(F.when(_literal("needle"), F.col("value").contains(F.col("needle"))).otherwise(_like_column("%", "%"))).select("value", "needle")
+
+
 def containing(values: DataFrame, needles: DataFrame) -> DataFrame:
     """(value, needle) of distinct values and needles for which value LIKE %needle%.
 
     A needle meets the values that have the rarest piece, of three characters at most, of its longest run
     without wildcards, and is then tested. Only a needle of nothing but wildcards meets all values, as it must.
     """
-    run = F.array_max(F.transform(F.split("needle", "[%_]+"), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    asked = needles.withColumn("run", run).withColumn("n", F.least(F.length("run"), F.lit(3)))
+    asked = longest_runs(needles)
     sizes = asked.select("n").distinct()  # 0 to 3
-    pieces = values.join(F.broadcast(sizes)).select("value", F.explode(grams(F.col("value"), F.col("n"))).alias("gram"))
-    own = asked.select("needle", F.explode(grams(F.col("run"), F.col("n"))).alias("gram"))
-    spread = pieces.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = own.join(spread, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
-    met = pieces.join(rarest, "gram")
-    return met.where(F.when(_literal("needle"), F.col("value").contains(F.col("needle"))).otherwise(_like_column("%", "%"))).select("value", "needle")
+    return meeting(values.join(F.broadcast(sizes)).select("value", F.explode(grams(F.col("value"), F.col("n"))).alias("gram")), asked)
 
 
 def contains_hits(keyed: DataFrame, needles: DataFrame) -> DataFrame:

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import search as S
+from ..operators import search_index
 from ..sources.fixtures import Catalogue, ctes
+from ..sources.staging import new_path
+from ..sources.store import Store
 
 QUERIES, ORACLE = {}, {}
 
@@ -202,6 +205,26 @@ def _batch_contains(c):
     return S.by_query(found, c.f_queries)
 
 
+def stored_index(c) -> Store:
+    """The side tables of this folder's catalogue, in the shared folder."""
+    store = Store(c.spark, new_path(c.spark, "search-index"))
+    search_index.build(store, c.f_parts, c.f_aliases)
+    return store
+
+
+@query("batch_contains_stored", ORACLE["batch_contains_search"])
+def _batch_contains_stored(c):
+    store, needles = stored_index(c), S._asked(c.f_queries).select("needle").distinct()
+    found = S.best(search_index.contains_hits(store, needles)).groupBy("needle").agg(F.count("*").alias("hits"), F.min("id").alias("first_id"), F.sum("rank").alias("ranks"))
+    return S.by_query(found, c.f_queries)
+
+
+@query("batch_stored", f"{_BATCH}, h AS (SELECT q, id, min(rank) AS rank FROM ({_BATCH_HITS} UNION ALL {_BATCH_IN}) GROUP BY ALL) SELECT qid, count(*) AS hits, min(id) AS first_id, sum(rank)::BIGINT AS ranks FROM u JOIN h USING (q) GROUP BY qid")
+def _batch_stored(c):
+    found = search_index.needle_hits(stored_index(c), c.f_queries).groupBy("needle").agg(F.count("*").alias("hits"), F.min("id").alias("first_id"), F.sum("rank").alias("ranks"))
+    return S.by_query(found, c.f_queries)
+
+
 @query("batch_topk", f"{_BATCH}, h AS (SELECT q, id, min(rank) AS rank FROM ({_BATCH_HITS} UNION ALL {_BATCH_IN}) GROUP BY ALL), k AS (SELECT q, id, rank, row_number() OVER (PARTITION BY q ORDER BY rank, id)::INTEGER AS position FROM h) SELECT qid, id, rank, position FROM u JOIN k USING (q) WHERE position <= 10")
 def _topk(c):
     return S.batch_top_k(c.f_parts, c.f_aliases, c.f_queries, 10)

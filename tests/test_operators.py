@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from partsmith.functions import text as T
 from partsmith.operators import catalog, extract, hierarchy, metrics, reconcile, search
 from partsmith.sources import catalog as sources
+from partsmith.sources.store import Store
 from partsmith.streaming import incremental
 
 
@@ -87,7 +88,7 @@ def test_merge_stream_is_idempotent(spark, tmp_path):
     sink(a, 0)
     sink(b, 1)
     sink(b, 1)
-    got = {x["relative_path"]: x["size"] for x in spark.read.parquet(str(tmp_path / "out/v=1")).collect()}
+    got = {x["relative_path"]: x["size"] for x in Store(spark, str(tmp_path / "out")).read("documents").collect()}
     assert got == {"a.pdf": 1, "b.pdf": 3, "c.pdf": 1}
 
 
