@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import column, materialize
 
-LEAST, LONGEST, TOP, BLOCK, RANGE = 100, 5, 2000, 1_000_000, 1 << 20
+LEAST, LONGEST, TOP, BLOCK, RANGE = 100, 5, 2000, 4_000_000, 1 << 20
 ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 STOP = b"\xff"  # no byte of UTF-8: stands for a mark that ends a piece
 PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", STOP * 10)
