@@ -64,6 +64,12 @@ def is_part_number_cell(c) -> Column:
     return t.rlike(PART) & t.rlike("[0-9]") & ~_whole_figure_code(t) & (~t.rlike("^[0-9]+$") | (F.length(t) >= 3))
 
 
+def is_part_number_truth(c) -> Column:
+    """The independent rule of the checks: legal characters and a digit; digits alone will do if there are three."""
+    t = F.upper(F.trim(text_or_empty(c)))
+    return F.when(t.rlike("^[0-9]+$"), F.length(t) >= 3).otherwise(t.rlike(PART) & t.rlike("[0-9]"))
+
+
 def candidate_tokens(page_text) -> Column:
     """Distinct part number candidates of a page's text, sorted."""
     up = F.upper(text_or_empty(page_text))
@@ -254,6 +260,17 @@ def highlight_segments(c, pattern: str = r"\b(?:optional|replace)\b") -> Column:
     return F.when(t == "", F.array(F.struct(F.lit("").alias("text"), F.lit(False).alias("hit")))).otherwise(cut)
 
 
+def query_segments(c, query) -> Column:
+    """array<struct<text,hit>>: the text cut at the query's words of two characters and more, case ignored; an earlier word goes before a later one."""
+    t = text_or_empty(c)
+    tokens = F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(text_or_empty(query), r"\s+", " ")), " "), lambda x: F.length(x) >= 2))
+    pattern = F.array_join(F.transform(tokens, lambda x: F.regexp_replace(x, r"([.*+?^${}()|\[\]\\])", r"\\$1")), "|")
+    marked = F.regexp_replace(t, F.concat(F.lit("(?iu)("), pattern, F.lit(")")), F.lit("\x01\x02$1\x01"))
+    parts = F.filter(F.split(marked, "\x01"), lambda x: x != "")
+    cut = F.transform(parts, lambda x: F.struct(F.ltrim(x, F.lit("\x02")).alias("text"), x.startswith("\x02").alias("hit")))
+    return F.when((t == "") | (F.size(tokens) == 0), F.array(F.struct(t.alias("text"), F.lit(False).alias("hit")))).otherwise(cut)
+
+
 def is_pn_query(c) -> Column:
     q = F.upper(F.trim(text_or_empty(c)))
     return q.rlike("^[A-Z0-9][A-Z0-9./-]*$") & q.rlike("[0-9]")

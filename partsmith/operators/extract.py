@@ -59,54 +59,45 @@ def with_columns(words: DataFrame) -> DataFrame:
     return words.withColumn("col", F.explode(F.array_compact(F.array(*hit))))
 
 
-def banded(boxes: Column, tolerance: float = LINE_TOLERANCE) -> Column:
-    """array<struct(b,x,y,w)> of boxes struct(y,x,w): band b ends where y leaves its first y by more than the tolerance."""
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(0).alias("b"), F.expr("cast(array() as array<struct<b:int,x:double,y:double,w:string>>)").alias("out"))
+def lines(words: DataFrame, by: tuple[str, ...] | list[str], separator: str = " ", tolerance: float = LINE_TOLERANCE) -> DataFrame:
+    """(by.., y, text) for every visual line: a line ends where y leaves its first y by more than the tolerance.
 
-    def step(s: Column, w: Column) -> Column:
-        opens = s["y"].isNull() | (F.abs(w["y"] - s["y"]) > tolerance)
-        b = F.when(opens, s["b"] + 1).otherwise(s["b"])
-        return F.struct(F.when(opens, w["y"]).otherwise(s["y"]).alias("y"), b.alias("b"), F.concat(s["out"], F.array(F.struct(b.alias("b"), w["x"].alias("x"), w["y"].alias("y"), w["w"].alias("w")))).alias("out"))
-
-    return F.aggregate(F.array_sort(boxes), start, step, lambda s: s["out"])
-
-
-def boxes() -> Column:
-    return F.collect_list(F.struct(F.col("y0").alias("y"), F.col("x0").alias("x"), F.trim("word").alias("w")))
-
-
-def lines_of(bands: Column, separator: str = " ") -> Column:
-    """array<struct(y,text)>: each band's words by x, joined, white space collapsed; y is the band's first."""
-    last = F.coalesce(F.array_max(F.transform(bands, lambda o: o["b"])), F.lit(0))
-
-    def line(b: Column) -> Column:
-        own = F.filter(bands, lambda o: o["b"] == b)
-        text = F.array_join(F.transform(F.filter(F.array_sort(own), lambda o: o["w"] != ""), lambda o: o["w"]), separator)
-        return F.struct(F.array_min(F.transform(own, lambda o: o["y"])).alias("y"), F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"))
-
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), line)).otherwise(F.expr("cast(array() as array<struct<y:double,text:string>>)"))
+    A gap wider than the tolerance always ends a line, so each group is cut at gaps first. A stretch that is no
+    higher than the tolerance is one line; only in a wider one a fold over its different heights finds where
+    lines begin. Words are joined by x, white space is collapsed. All steps follow one shuffle, by group.
+    """
+    by = list(by)
+    rows = words.select(*by, F.struct(F.col("x0").alias("x"), F.col("y0").alias("y"), F.trim("word").alias("w")).alias("w"))
+    order = Window.partitionBy(*by).orderBy("w.y")
+    rows = rows.withColumn("_gap", F.when(F.col("w.y") - F.lag("w.y").over(order) > tolerance, 1).otherwise(0))
+    rows = rows.withColumn("_stretch", F.sum("_gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    stretch = rows.groupBy(*by, "_stretch").agg(F.collect_list("w").alias("_words"), F.min("w.y").alias("_low"), F.max("w.y").alias("_high"))
+    heights = F.array_sort(F.array_distinct(F.transform("_words", lambda w: w["y"])))
+    begin = F.aggregate(heights, F.array("_low"), lambda s, y: F.when(y - F.element_at(s, -1) > tolerance, F.concat(s, F.array(y))).otherwise(s))
+    stretch = stretch.withColumn("_begin", F.when(F.col("_high") - F.col("_low") > tolerance, begin).otherwise(F.array("_low")))
+    each = stretch.select(*by, "_begin", F.explode("_words").alias("w"))
+    own = F.when(F.size("_begin") == 1, F.get("_begin", F.lit(0))).otherwise(F.array_max(F.filter("_begin", lambda y: y <= F.col("w.y"))))
+    found = each.groupBy(*by, own.alias("y")).agg(F.array_sort(F.collect_list("w")).alias("_words"))
+    text = F.array_join(F.filter(F.transform("_words", lambda w: w["w"]), lambda w: w != ""), separator)
+    return found.select(*by, "y", F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"))
 
 
 def line_bands(words: DataFrame, by: tuple[str, ...] = PAGE) -> DataFrame:
-    """(by.., band, y, text) for every visual line."""
-    rows = words.groupBy(*by).agg(boxes().alias("w")).select(*by, banded(F.col("w")).alias("b")).select(*by, lines_of(F.col("b")).alias("l"))
-    return rows.select(*by, F.posexplode("l").alias("band", "line")).select(*by, (F.col("band") + 1).alias("band"), "line.y", "line.text")
+    """(by.., band, y, text) for every visual line, numbered from the top."""
+    return lines(words, by).select(*by, F.row_number().over(Window.partitionBy(*by).orderBy("y")).alias("band"), "y", "text")
 
 
 def cell_texts(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by.., text): the lines of each group of words that are not empty, joined by newlines."""
-    bands = rows.groupBy(*by).agg(boxes().alias("w")).select(*by, banded(F.col("w")).alias("b"))  # a step of its own: each line looks at the bands
-    lines = bands.select(*by, lines_of(F.col("b")).alias("l"))
-    return lines.select(*by, F.array_join(F.filter(F.transform("l", lambda x: x["text"]), lambda t: t != ""), "\n").alias("text"))
+    kept = lines(rows, by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("y", "text"))).alias("l"))
+    return kept.select(*by, F.array_join(F.filter(F.transform("l", lambda x: x["text"]), lambda t: t != ""), "\n").alias("text"))
 
 
-def anchors(words: DataFrame, upper: bool = False) -> DataFrame:
-    """(doc_id, page_num, y, pn): lines of the part number column that are part numbers, without close repeats."""
+def anchors(words: DataFrame, rule=T.is_part_number_cell) -> DataFrame:
+    """(doc_id, page_num, y, pn): lines of the part number column that are part numbers by the rule, without close repeats."""
     a, b = COLUMNS["part_number"]
     kept = words.where(cx().between(a * PT, b * PT) & cy().between(SCAN_FROM, SCAN_TO))
-    rows = kept.groupBy(*PAGE).agg(boxes().alias("w")).select(*PAGE, banded(F.col("w")).alias("b")).select(*PAGE, lines_of(F.col("b"), "").alias("l"))
-    squeezed = F.transform("l", lambda x: F.struct(x["y"].alias("y"), F.replace(F.upper(x["text"]) if upper else x["text"], F.lit(" "), F.lit("")).alias("pn")))
-    good = F.filter(squeezed, lambda x: T.is_part_number(x["pn"]) if upper else T.is_part_number_cell(x["pn"]))
+    rows = lines(kept, PAGE, "").select(*PAGE, "y", F.replace("text", F.lit(" "), F.lit("")).alias("pn")).where(rule(F.col("pn")))
     none = F.expr("cast(array() as array<struct<y:double,pn:string>>)")
 
     def step(s: Column, x: Column) -> Column:
@@ -114,7 +105,8 @@ def anchors(words: DataFrame, upper: bool = False) -> DataFrame:
         repeat = (last["pn"] == x["pn"]) & (F.abs(x["y"] - last["y"]) <= REPEAT_TOLERANCE)
         return F.when(F.coalesce(repeat, F.lit(False)), s).otherwise(F.concat(s, F.array(x)))
 
-    return rows.select(*PAGE, F.inline(F.aggregate(good, none, step)))
+    page = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y", "pn"))).alias("l"))
+    return page.select(*PAGE, F.inline(F.aggregate("l", none, step)))
 
 
 def runs(pages: DataFrame) -> DataFrame:

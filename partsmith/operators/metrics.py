@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,12 +45,13 @@ def numbered(log: DataFrame, slices: int = 256) -> DataFrame:
 
 
 def rolling(log: DataFrame, n: int = HISTORY) -> DataFrame:
-    """The same numbers after every observation, but for p99.
+    """The same numbers after every observation.
 
     Observations are cut into blocks of n. The last n of one are the end of the block before, from the
     place after its own, and the beginning of its own block, so each row needs one running value
-    from either side, and no task holds more than a slice of time or a block. Sums are exact to nine
-    decimals, whatever the order of addition.
+    from either side, and no task holds more than a slice of time or two blocks. Sums are exact to nine
+    decimals, whatever the order of addition. p99 is the order statistic of a sorted window that slides
+    through a block after the end of the one before.
     """
     rows = numbered(log.select("event_id", "ts", "metric", "value")).withColumn("_block", F.expr(f"rn div {n}"))
     part = Window.partitionBy("metric", "_block")
@@ -55,9 +59,32 @@ def rolling(log: DataFrame, n: int = HISTORY) -> DataFrame:
     kinds = {"count": F.count, "sum": lambda c: F.sum(F.col(c).cast("decimal(28,9)")), "min": F.min, "max": F.max}
     both = rows.select("event_id", "metric", "rn", *(f("value").over(upto).alias(f"a_{k}") for k, f in kinds.items()), *(f("value").over(since).alias(f"z_{k}") for k, f in kinds.items()))
     tails = both.select("metric", (F.col("rn") + n - 1).alias("rn"), *(f"z_{k}" for k in kinds)).where(F.expr(f"rn % {n} <> {n - 1}"))  # else its own block is all
-    out = both.drop(*(f"z_{k}" for k in kinds)).join(tails, ["metric", "rn"], "left")
+    out = both.drop(*(f"z_{k}" for k in kinds)).join(tails, ["metric", "rn"], "left").join(sliding_p99(rows, n), ["metric", "rn"])
     count, total = F.col("a_count") + F.coalesce("z_count", F.lit(0)), F.when(F.coalesce("a_sum", "z_sum").isNotNull(), (F.coalesce("a_sum", F.lit(0)) + F.coalesce("z_sum", F.lit(0))).cast("double"))
-    return out.select("event_id", "metric", count.alias("count"), F.round(total, 4).alias("sum"), F.round(total / count, 9).alias("avg"), F.least("a_min", "z_min").alias("min"), F.greatest("a_max", "z_max").alias("max"))
+    return out.select("event_id", "metric", count.alias("count"), F.round(total, 4).alias("sum"), F.round(total / count, 9).alias("avg"), F.least("a_min", "z_min").alias("min"), F.greatest("a_max", "z_max").alias("max"), "p99")
+
+
+def sliding_p99(rows: DataFrame, n: int = HISTORY) -> DataFrame:
+    """(metric, rn, p99) of the last n observations up to each. rows: metric, rn, _block (rn div n) and value; a group holds two blocks at most."""
+    both = rows.select("metric", "rn", "value", "_block", F.lit(True).alias("own")).unionByName(rows.select("metric", "rn", "value", (F.col("_block") + 1).alias("_block"), F.lit(False).alias("own")))
+
+    def slide(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("rn")
+        own, values = block["own"].to_numpy(), block["value"].to_numpy(dtype=float)
+        first = int((~own).sum())
+        out, window = [], []
+        for i in range(len(block)):
+            if values[i] == values[i]:
+                insort(window, values[i])
+            if i >= n:  # places are consecutive, so the window begins n rows back
+                if values[i - n] == values[i - n]:
+                    del window[bisect_left(window, values[i - n])]
+            if i >= first:
+                out.append(window[min(int(0.99 * len(window)), len(window) - 1)] if window else None)
+        rows = block.iloc[first:]
+        return pd.DataFrame({"metric": rows["metric"], "rn": rows["rn"], "p99": pd.array(out, "Float64")})
+
+    return both.groupBy("metric", "_block").applyInPandas(slide, "metric string, rn bigint, p99 double")
 
 
 def gauges(log: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import extract as E
 
+SLICE = 24.0  # points; about two rows of a page
 KEY3, KEY4 = ["source", "page", "pn"], ["source", "page", "pn", "fig"]
 
 
@@ -115,18 +117,44 @@ def qa_check(samples: DataFrame, rows: DataFrame) -> DataFrame:
     return g.select("name", F.when(F.col("n") == 0, "missing").when(F.col("at").isNull(), "fig_item").otherwise(F.array_join(failed, ",")).alias("failures"))
 
 
-def truth_rows(records: DataFrame) -> DataFrame:
-    """(doc_id, page_num, y, pn, fig_item, first_line, level) of extracted records."""
+def truth_rows(words: DataFrame) -> DataFrame:
+    """(doc_id, page_num, y, pn, fig_item, first_line, level): rows read page by page, with a number rule of their own and no runs of pages.
+
+    A row holds the words of its page from its anchor to the next one or the table's end: an interval join, whose
+    equi-keys are the page and slices of ``SLICE`` points that an interval covers.
+    """
+    words = E.clip(words, E.TABLE)
+    found = E.anchors(words, T.is_part_number_truth).withColumn("pn", F.upper("pn"))
+    until = F.coalesce(F.lead("y").over(Window.partitionBy(*E.PAGE).orderBy("y")), F.lit(E.SCAN_TO))
+    spans = found.withColumn("_end", until).withColumn("_slice", F.explode(F.sequence(F.floor(F.col("y") / SLICE), F.floor(F.col("_end") / SLICE))))
+    cells = E.with_columns(words).where(F.col("col").isin("fig_item", "nomenclature")).withColumn("_at", E.cy()).withColumn("_slice", F.floor(E.cy() / SLICE))
+    met = cells.join(spans, [*E.PAGE, "_slice"]).where((F.col("_at") >= F.col("y")) & (F.col("_at") < F.col("_end")))
+    first = E.lines(met.select(*E.PAGE, F.col("y").alias("row_y"), "col", "x0", "y0", "word"), [*E.PAGE, "row_y", "col"]).where("text <> ''")
+    text = lambda c: F.min_by(F.when(F.col("col") == c, F.col("text")), F.when(F.col("col") == c, F.col("y")))
+    heads = first.groupBy(*E.PAGE, F.col("row_y").alias("y")).agg(text("fig_item").alias("fig_item"), text("nomenclature").alias("first_line"))
+    rows = found.join(heads, [*E.PAGE, "y"], "left")
+    none = lambda c: F.trim(F.coalesce(c, F.lit(""))).alias(c)
+    return rows.select(*E.PAGE, "y", "pn", none("fig_item"), none("first_line"), T.nomenclature_level(F.coalesce("first_line", F.lit(""))).alias("level"))
+
+
+def truth_against_records(truth: DataFrame, records: DataFrame) -> DataFrame:
+    """One row of counts: rows that both have, one alone has, and those of both with another figure item or first line."""
     first = F.trim(F.substring_index("nomenclature", "\n", 1))
-    return records.select("doc_id", "page_num", "y", F.upper("pn").alias("pn"), F.trim("fig_item").alias("fig_item"), first.alias("first_line"), T.nomenclature_level(first).alias("level"))
+    own = records.select(*E.PAGE, "y", F.upper("pn").alias("pn"), F.trim("fig_item").alias("_fig"), first.alias("_line"), F.lit(True).alias("_own"))
+    both = truth.withColumn("_truth", F.lit(True)).join(own, [*E.PAGE, "y", "pn"], "full")
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    t, r = F.coalesce("_truth", F.lit(False)), F.coalesce("_own", F.lit(False))
+    return both.agg(count(t & r).alias("both"), count(t & ~r).alias("truth_only"), count(r & ~t).alias("records_only"), count(F.col("fig_item") != F.col("_fig")).alias("other_item"), count(F.col("first_line") != F.col("_line")).alias("other_line"))
 
 
-def truth_parents(rows: DataFrame, figures: DataFrame, deepest: int) -> DataFrame:
+def truth_parents(rows: DataFrame, figures: DataFrame) -> DataFrame:
     """Adds parent and root part numbers by the level stack of all earlier rows of the same figure; '' where there is none.
 
-    The stack's entry of a level is the last row of that level since the last row of a lower one.
+    The stack's entry of a level is the last row of that level since the last row of a lower one. Levels may be
+    of any depth: the deepest is read off the rows. Rows of pages without a figure are left out.
     """
-    located = rows.join(figures.select("doc_id", "page_num", "figure_code"), ["doc_id", "page_num"])
+    deepest = rows.agg(F.max("level")).first()[0] or 0
+    located = rows.join(figures.where("figure_code is not null").select(*E.PAGE, "figure_code"), list(E.PAGE))
     order = Window.partitionBy("doc_id", "figure_code").orderBy("page_num", "y")
     located = located.withColumn("_seq", F.row_number().over(order))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -138,19 +166,63 @@ def truth_parents(rows: DataFrame, figures: DataFrame, deepest: int) -> DataFram
         at = F.col(f"_l{k - 1}")
         parent = F.when(F.col("level") == k, F.when(at["level"] == k - 1, at["pn"]).otherwise("")).otherwise(parent)
     root = F.when(F.col("level") == 0, F.col("pn")).otherwise(F.coalesce(F.col("_l0.pn"), F.lit("")))
-    return out.select("doc_id", "page_num", "y", "pn", "fig_item", "level", "figure_code", F.coalesce(parent, F.lit("")).alias("parent"), root.alias("root"))
+    return out.select(*E.PAGE, "y", "pn", "fig_item", "level", "figure_code", F.coalesce(parent, F.lit("")).alias("parent"), root.alias("root"))
+
+
+def truth_of(asks: DataFrame, truth: DataFrame) -> DataFrame:
+    """Asks (doc_id, page_num, pn, fig_item, ..) with parent and root of truth_parents().
+
+    Of rows with the same page, number and figure item the last counts. An item that no row shows, or none,
+    takes the number's first row; a number without a row has no parent ('').
+    """
+    key = truth.groupBy(*E.PAGE, "pn", "fig_item").agg(F.max_by(F.struct("parent", "root"), "y").alias("_hit"), F.min("y").alias("_y"))
+    first = key.groupBy(*E.PAGE, "pn").agg(F.min_by("_hit", "_y").alias("_first"))
+    rows = asks.join(key.drop("_y"), [*E.PAGE, "pn", "fig_item"], "left").join(first, [*E.PAGE, "pn"], "left")
+    at = F.coalesce("_hit", "_first")
+    return rows.select(*asks.columns, F.coalesce(at["parent"], F.lit("")).alias("parent"), F.coalesce(at["root"], F.lit("")).alias("root"))
+
+
+def parent_against_truth(parts: DataFrame, truth: DataFrame) -> DataFrame:
+    """(id, pn, fig_item, want, got) of stored parts whose parent's number is not the one that the truth names."""
+    number = F.upper(F.trim(F.coalesce("part_number_cell", "part_number_canonical", "part_number_extracted", F.lit(""))))
+    fig = F.trim(T.fig_item_display("fig_item_raw", "fig_item_no", "not_illustrated"))
+    asks = parts.select(F.col("document_id").cast("int").alias("doc_id"), "page_num", number.alias("pn"), fig.alias("fig_item"), "id", "parent_part_id")
+    ups = parts.select(F.col("id").alias("parent_part_id"), number.alias("_got"))
+    rows = truth_of(asks, truth).withColumn("parent_part_id", F.when(F.col("parent_part_id") > 0, F.col("parent_part_id")).otherwise(-F.col("id"))).join(ups, "parent_part_id", "left")
+    got = F.coalesce("_got", F.lit(""))
+    return rows.where((F.col("parent") != "") & (F.col("parent") != got)).select("id", "pn", "fig_item", F.col("parent").alias("want"), got.alias("got"))
+
+
+def page_tokens(words: DataFrame, most: int) -> DataFrame:
+    """(doc_id, page_num, pn): of each page the first words by name that may be numbers: five characters or more, a digit, nothing but letters, digits and -./"""
+    t = F.upper("word")
+    rows = words.select(*E.PAGE, t.alias("pn")).where((F.length("pn") >= 5) & F.col("pn").rlike("[0-9]") & F.col("pn").rlike(r"^[\p{L}\p{N}./-]+$")).distinct()
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*E.PAGE).orderBy("pn"))).where(F.col("_n") <= most).drop("_n")
+
+
+def _first_of_each(rows: DataFrame, most: int) -> DataFrame:
+    """The first so many rows by page of each document."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_num"))).where(F.col("_n") <= most).drop("_n")
 
 
-def mine_deep_levels(rows: DataFrame, least: int) -> DataFrame:
-    """The first part number by name of each page that has a row at least so deep."""
-    return rows.where(F.col("level") >= least).groupBy("doc_id", "page_num").agg(F.min("pn").alias("pn"))
+def mine_deep_levels(words: DataFrame, least: int, most: int, tokens: int = 200) -> DataFrame:
+    """(doc_id, page_num, pn): of pages with a line of so many leading dots, the first number by name with a row so deep; the first ``most`` pages of a document."""
+    near = E.rows_near(words, E.anchors(words, T.is_part_number_truth).withColumn("pn", F.upper("pn"))).withColumn("level", T.nomenclature_level("nomenclature"))
+    dotted = words.where(F.ltrim("word").startswith("." * least)).select(*E.PAGE).distinct()
+    deep = near.where(F.col("level") >= least).join(page_tokens(words, tokens), [*E.PAGE, "pn"], "left_semi").join(dotted, list(E.PAGE), "left_semi")
+    return _first_of_each(deep.groupBy(*E.PAGE).agg(F.min("pn").alias("pn")), most)
 
 
-def mine_cross_page(pages: DataFrame) -> DataFrame:
-    """Pages that follow a page of the same figure."""
+def mine_cross_page(words: DataFrame, footers: DataFrame, most: int, tokens: int = 250) -> DataFrame:
+    """(doc_id, page_num, figure_code, pn, fig_item) of second pages of a figure that follow its first, with their first number by name that has a row; ``most`` a document."""
     order = Window.partitionBy("doc_id").orderBy("page_num")
-    rows = pages.withColumn("_f", F.lag("figure_code").over(order)).withColumn("_p", F.lag("page_num").over(order))
-    return rows.where((F.col("_f") == F.col("figure_code")) & (F.col("_p") == F.col("page_num") - 1)).select("doc_id", "page_num", "figure_code")
+    rows = footers.select(*E.PAGE, "figure_code", F.upper("page_token").alias("t"), *(F.lag(c).over(order).alias(f"_{c}") for c in ("figure_code", "page_num", "page_token")))
+    follows = (F.col("_figure_code") == F.col("figure_code")) & (F.col("_page_num") == F.col("page_num") - 1)
+    pages = rows.where(follows & F.upper("_page_token").contains("PAGE 1") & F.col("t").contains("PAGE 2")).select(*E.PAGE, "figure_code")
+    own = words.join(pages.select(*E.PAGE), list(E.PAGE), "left_semi")
+    near = E.rows_near(own, E.anchors(own, T.is_part_number_truth).withColumn("pn", F.upper("pn"))).join(page_tokens(own, tokens), [*E.PAGE, "pn"], "left_semi")
+    first = near.groupBy(*E.PAGE).agg(F.min_by(F.struct("pn", "fig_item"), F.struct("pn", "y")).alias("r"))
+    return _first_of_each(pages.join(first, list(E.PAGE)).select(*E.PAGE, "figure_code", "r.pn", "r.fig_item"), most)
 
 
 def mine_duplicate_items(rows: DataFrame, least: int = 3, most: int = 2) -> DataFrame:

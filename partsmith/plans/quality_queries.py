@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import build as B
 from ..operators import extract as E
 from ..operators import metrics as M
 from ..operators import reconcile as R
 from ..sources import catalog as S
 from ..sources.fixtures import Catalogue, ctes
+from ..sources.staging import staged
 from .catalog_queries import _PARENTS, with_parents
-from .extract_queries import _RECORDS
+from .extract_queries import _BUILT, _IN_TABLE, _RECORDS
 from .search_queries import FIG
 
 QUERIES, ORACLE = {}, {}
@@ -122,7 +124,12 @@ def _subset(c):
     return R.qa_check(qa_asks(rows), rows).where(F.array_contains(F.split("failures", ","), "fig_items")).select("name")
 
 
-_TRUTH = f"{_RECORDS}, t0 AS (SELECT doc_id, page_num, y, upper(pn) AS pn, trim(fig_item) AS fig_item, trim(string_split(nomenclature, chr(10))[1]) AS first_line FROM records), truth AS (SELECT *, length(regexp_extract(first_line, '^(\\.*)', 1))::INTEGER AS level FROM t0)"
+_RULE = "CASE WHEN regexp_full_match(pn, '[0-9]+') THEN length(pn) >= 3 ELSE regexp_full_match(pn, '[A-Z0-9][A-Z0-9./-]*') AND regexp_matches(pn, '[0-9]') END"
+# Heads of the rows of a page: in these tables each line of a column is one word.
+_TRUTH = f"""{_RECORDS}, ta AS (SELECT * FROM (SELECT doc_id, page_num, y0 AS y, upper(trim(word)) AS pn FROM cw WHERE col = 'part_number' AND cy BETWEEN {E.SCAN_FROM!r} AND {E.SCAN_TO!r} AND {_IN_TABLE}) WHERE {_RULE}),
+te AS (SELECT *, coalesce(lead(y) OVER (PARTITION BY doc_id, page_num ORDER BY y), {E.SCAN_TO!r}) AS e FROM ta),
+th AS (SELECT te.doc_id, te.page_num, y, min_by(trim(word), y0) FILTER (col = 'fig_item') AS fig_item, min_by(trim(word), y0) FILTER (col = 'nomenclature') AS first_line FROM te JOIN cw ON cw.doc_id = te.doc_id AND cw.page_num = te.page_num AND cy >= y AND cy < e AND trim(word) <> '' AND {_IN_TABLE} GROUP BY ALL),
+truth AS (SELECT ta.doc_id, ta.page_num, ta.y, pn, coalesce(fig_item, '') AS fig_item, trim(regexp_replace(coalesce(first_line, ''), '\\s+', ' ', 'g')) AS first_line, length(regexp_extract(coalesce(first_line, ''), '^(\\.*)', 1))::INTEGER AS level FROM ta LEFT JOIN th USING (doc_id, page_num, y))"""
 _FIGURES = "figures AS (SELECT doc_id, page_num, '21-1' || ((doc_id % 10)::VARCHAR) || '-00-0' || (1 + page_num // 2 % 9)::VARCHAR AS figure_code FROM f_word_pages)"
 _STACK = f"""{_TRUTH}, {_FIGURES}, l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, figure_code ORDER BY page_num, y) AS seq FROM truth JOIN figures USING (doc_id, page_num)),
 up AS (SELECT a.doc_id, a.figure_code, a.seq, max_by(b.pn, b.seq) AS ppn, max_by(b.level, b.seq) AS plevel FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.figure_code = b.figure_code AND b.seq < a.seq AND b.level < a.level GROUP BY ALL),
@@ -130,44 +137,63 @@ top AS (SELECT a.doc_id, a.figure_code, a.seq, max_by(b.pn, b.seq) AS root FROM
 st AS (SELECT l.doc_id, page_num, y, pn, fig_item, level, l.figure_code, CASE WHEN plevel = level - 1 THEN ppn ELSE '' END AS parent, coalesce(root, '') AS root FROM l LEFT JOIN up USING (doc_id, figure_code, seq) LEFT JOIN top USING (doc_id, figure_code, seq))"""
 
 
-def truth(c):
-    return R.truth_rows(E.records(c.words, c.word_pages))
-
-
 def figures(c):
     return c.word_pages.select("doc_id", "page_num", T.footer_meta("meta_text")["figure_code"].alias("figure_code"))
 
 
 @query("truth_rows", f"{_TRUTH} SELECT * FROM truth")
 def _truth(c):
-    return truth(c)
+    return R.truth_rows(c.words)
+
+
+@query("truth_against_records", f"{_TRUTH}, j AS (SELECT t.pn IS NOT NULL AS has_t, r.pn IS NOT NULL AS has_r, t.fig_item, t.first_line, trim(r.fig_item) AS rf, trim(string_split(r.nomenclature, chr(10))[1]) AS rl FROM truth t FULL JOIN (SELECT * REPLACE (upper(pn) AS pn) FROM records) r ON t.doc_id = r.doc_id AND t.page_num = r.page_num AND t.y = r.y AND t.pn = r.pn) SELECT count(*) FILTER (has_t AND has_r) AS both, count(*) FILTER (has_t AND NOT has_r) AS truth_only, count(*) FILTER (has_r AND NOT has_t) AS records_only, count(*) FILTER (fig_item <> rf) AS other_item, count(*) FILTER (first_line <> rl) AS other_line FROM j")
+def _truth_records(c):
+    return R.truth_against_records(R.truth_rows(c.words), E.records(c.words, c.word_pages))
 
 
 @query("truth_parent", f"{_STACK} SELECT * FROM st")
 def _truth_parent(c):
-    return R.truth_parents(truth(c), figures(c), 3)
+    return R.truth_parents(R.truth_rows(c.words), figures(c))
+
+
+_ASKS = f"{_STACK}, byitem AS (SELECT doc_id, page_num, pn, fig_item, max_by({{'parent': parent, 'root': root}}, y) AS hit, min(y) AS y FROM st GROUP BY ALL), bypn AS (SELECT doc_id, page_num, pn, min_by(hit, y) AS hit FROM byitem GROUP BY ALL)"
 
 
-@query("qa_truth_parent", f"{_STACK} SELECT doc_id, figure_code, count(*) AS n, count(*) FILTER (level > 0 AND parent = '') AS orphans FROM st GROUP BY doc_id, figure_code")
+@query("truth_of_asks", f"{_ASKS}, asks AS (SELECT doc_id, page_num, CASE WHEN page_num % 4 = 3 THEN 'X' || pn ELSE pn END AS pn, CASE WHEN page_num % 3 = 1 THEN '' WHEN page_num % 3 = 2 THEN '9999' ELSE fig_item END AS fig_item FROM st) SELECT asks.*, coalesce(byitem.hit.parent, bypn.hit.parent, '') AS parent, coalesce(byitem.hit.root, bypn.hit.root, '') AS root FROM asks LEFT JOIN byitem USING (doc_id, page_num, pn, fig_item) LEFT JOIN bypn USING (doc_id, page_num, pn)")
+def _truth_of(c):
+    truth, p = staged(R.truth_parents(R.truth_rows(c.words), figures(c)), "truth-parents"), F.col("page_num")
+    asks = truth.select("doc_id", "page_num", F.when(p % 4 == 3, F.concat(F.lit("X"), "pn")).otherwise(F.col("pn")).alias("pn"), F.when(p % 3 == 1, "").when(p % 3 == 2, "9999").otherwise(F.col("fig_item")).alias("fig_item"))
+    return R.truth_of(asks, truth)
+
+
+_STORED = _ASKS + _BUILT.removeprefix(_RECORDS).replace("\nup AS", "\nbup AS", 1).replace("LEFT JOIN up USING (id)", "LEFT JOIN bup USING (id)", 1)
+
+
+@query("qa_truth_parent", f"{_STORED}, b AS (SELECT id, document_id::INTEGER AS doc_id, page_num, upper(part_number_cell) AS pn, trim({FIG}) AS fig_item, parent_part_id FROM built), m AS (SELECT b.id, b.pn, b.fig_item, coalesce(byitem.hit.parent, bypn.hit.parent, '') AS want, coalesce(u.pn, '') AS got FROM b LEFT JOIN byitem USING (doc_id, page_num, pn, fig_item) LEFT JOIN bypn USING (doc_id, page_num, pn) LEFT JOIN b u ON u.id = b.parent_part_id) SELECT * FROM m WHERE want <> '' AND want <> got")
 def _qa_truth(c):
-    rows = R.truth_parents(truth(c), figures(c), 3)
-    return rows.groupBy("doc_id", "figure_code").agg(F.count("*").alias("n"), F.sum(F.when((F.col("level") > 0) & (F.col("parent") == ""), 1).otherwise(0)).alias("orphans"))
+    truth = staged(R.truth_parents(R.truth_rows(c.words), figures(c)), "truth-parents")
+    return R.parent_against_truth(B.build(c.words, c.build_pages)["parts"], truth)
+
+
+_PAGE_TOKENS = "tk AS (SELECT * FROM (SELECT DISTINCT doc_id, page_num, upper(word) AS pn FROM f_words WHERE length(word) >= 5 AND regexp_matches(word, '[0-9]') AND regexp_full_match(upper(word), '[\\p{{L}}\\p{{N}}./-]+')) QUALIFY row_number() OVER (PARTITION BY doc_id, page_num ORDER BY pn) <= {0})"
+_NEAR = f"nr AS (SELECT a.doc_id, a.page_num, a.y, a.pn, coalesce(string_agg(trim(word), ' ' ORDER BY x0, y0, word) FILTER (col = 'fig_item' AND abs(cy - y) <= 6), '') AS fig_item, coalesce(string_agg(trim(word), ' ' ORDER BY x0, y0, word) FILTER (col = 'nomenclature' AND abs(cy - y) <= 9), '') AS nomenclature FROM ta a JOIN cw ON cw.doc_id = a.doc_id AND cw.page_num = a.page_num AND col IN ('fig_item', 'nomenclature') AND cy BETWEEN {E.SCAN_FROM!r} AND {E.SCAN_TO!r} AND abs(cy - y) <= CASE col WHEN 'fig_item' THEN 6 ELSE 9 END GROUP BY ALL)"
 
 
-@query("mine_deep_levels", f"{_TRUTH} SELECT doc_id, page_num, min(pn) AS pn FROM truth WHERE level >= 2 GROUP BY doc_id, page_num")
+@query("mine_deep_levels", f"{_TRUTH}, {_PAGE_TOKENS.format(200)}, {_NEAR}, dp AS (SELECT doc_id, page_num, min(pn) AS pn FROM nr SEMI JOIN tk USING (doc_id, page_num, pn) WHERE length(regexp_extract(nomenclature, '^(\\.*)', 1)) >= 2 GROUP BY ALL) SELECT * FROM dp QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page_num) <= 5")
 def _deep(c):
-    return R.mine_deep_levels(truth(c), 2)
+    return R.mine_deep_levels(c.words, 2, 5)
 
 
-@query("mine_cross_page", f"{ctes('f_word_pages')}, {_FIGURES}, x AS (SELECT *, lag(figure_code) OVER (PARTITION BY doc_id ORDER BY page_num) AS f, lag(page_num) OVER (PARTITION BY doc_id ORDER BY page_num) AS p FROM figures) SELECT doc_id, page_num, figure_code FROM x WHERE f = figure_code AND p = page_num - 1")
+@query("mine_cross_page", f"{_TRUTH}, {_FIGURES}, {_PAGE_TOKENS.format(250)}, {_NEAR}, x AS (SELECT *, lag(figure_code) OVER w AS f, lag(page_num) OVER w AS p FROM figures WINDOW w AS (PARTITION BY doc_id ORDER BY page_num)), pg AS (SELECT doc_id, page_num, figure_code FROM x WHERE f = figure_code AND p = page_num - 1 AND contains('PAGE ' || p::VARCHAR, 'PAGE 1') AND contains('PAGE ' || page_num::VARCHAR, 'PAGE 2')), hd AS (SELECT doc_id, page_num, min_by({{'pn': pn, 'fig_item': fig_item}}, {{'pn': pn, 'y': y}}) AS r FROM nr SEMI JOIN tk USING (doc_id, page_num, pn) GROUP BY ALL) SELECT doc_id, page_num, figure_code, r.pn AS pn, r.fig_item AS fig_item FROM pg JOIN hd USING (doc_id, page_num) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page_num) <= 5")
 def _cross(c):
-    return R.mine_cross_page(figures(c))
+    footers = c.word_pages.withColumn("m", T.footer_meta("meta_text")).select("doc_id", "page_num", "m.figure_code", "m.page_token")
+    return R.mine_cross_page(c.words, footers, 5)
 
 
-@query("mine_duplicate_items", f"{_SIDES}, i AS (SELECT source, pn[1:4] AS pn, 1 AS page, count(DISTINCT fig) AS n FROM own WHERE fig <> '' GROUP BY ALL HAVING count(DISTINCT fig) >= 3) SELECT source, page, pn, n FROM i QUALIFY row_number() OVER (PARTITION BY source, page ORDER BY n DESC, pn DESC) <= 2")
+@query("mine_duplicate_items", f"{_SIDES}, i AS (SELECT source, page, 'P' || (id % 3)::VARCHAR AS pn, count(DISTINCT fig) AS n FROM own WHERE fig <> '' GROUP BY ALL HAVING count(DISTINCT fig) >= 3) SELECT source, page, pn, n FROM i QUALIFY row_number() OVER (PARTITION BY source, page ORDER BY n DESC, pn DESC) <= 2")
 def _dup_items(c):
     own, _ = sides(c)
-    return R.mine_duplicate_items(own.select("source", F.lit(1).alias("page"), F.substring("pn", 1, 4).alias("pn"), "fig"))
+    return R.mine_duplicate_items(own.withColumn("pn", F.concat(F.lit("P"), (F.col("id") % 3).cast("string"))))
 
 
 # inputs
@@ -203,7 +229,7 @@ def _histogram(c):
     return M.histogram(c.f_requests)
 
 
-@query("rolling_metrics", f"{_M} SELECT event_id, metric, count(value) OVER w AS count, round(sum(value) OVER w, 4) AS sum, round(avg(value) OVER w, 9) AS avg, min(value) OVER w AS min, max(value) OVER w AS max FROM f_requests WINDOW w AS (PARTITION BY metric ORDER BY ts, event_id ROWS BETWEEN 4999 PRECEDING AND CURRENT ROW)")
+@query("rolling_metrics", f"{_M} SELECT event_id, metric, count(value) OVER w AS count, round(sum(value) OVER w, 4) AS sum, round(avg(value) OVER w, 9) AS avg, min(value) OVER w AS min, max(value) OVER w AS max, list_sort(list(value) FILTER (value IS NOT NULL) OVER w)[least(floor(0.99::DOUBLE * count(value) OVER w)::BIGINT, count(value) OVER w - 1) + 1] AS p99 FROM f_requests WINDOW w AS (PARTITION BY metric ORDER BY ts, event_id ROWS BETWEEN 4999 PRECEDING AND CURRENT ROW)")
 def _rolling(c):
     return M.rolling(c.f_requests)
 

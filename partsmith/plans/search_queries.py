@@ -179,6 +179,20 @@ def _segments(c):
     return c.f_parts.select("id", F.posexplode(T.highlight_segments("nomenclature_clean")).alias("pos", "s")).select("id", "pos", "s.text", "s.hit")
 
 
+_ASKED = "asked AS (SELECT qid, id, nomenclature_clean AS t, CASE WHEN qid % 5 = 0 THEN ' a ' ELSE q || '  ' || lower(split_part(nomenclature_clean, ' ', 1)) || ' x ' || q || ' ' || substr(nomenclature_clean, 2, 3) END AS q FROM f_queries JOIN f_parts ON id % 1000 = qid)"
+_ESCAPED = "list_transform(list_filter(list_distinct(regexp_split_to_array(trim(q), '\\s+')), lambda w: length(w) >= 2), lambda w: {'at': instr(' ' || regexp_replace(trim(q), '\\s+', ' ', 'g') || ' ', ' ' || w || ' '), 'w': regexp_escape(w)})"
+
+
+@query("query_segments", f"""{ctes('f_parts', 'f_queries')}, {_ASKED}, e AS (SELECT *, list_transform(list_sort({_ESCAPED}), lambda w: w.w) AS ws FROM asked),
+s AS (SELECT qid, id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS text FROM (SELECT qid, id, list_filter(string_split(CASE WHEN len(ws) = 0 THEN t ELSE regexp_replace(t, '(?i)(' || array_to_string(ws, '|') || ')', chr(1) || chr(2) || '\\1' || chr(1), 'g') END, chr(1)), lambda x: x <> '') AS l FROM e))
+SELECT qid, id, i::INTEGER AS pos, replace(text, chr(2), '') AS text, starts_with(text, chr(2)) AS hit FROM s""")
+def _query_segments(c):
+    t = F.col("nomenclature_clean")
+    q = F.when(F.col("qid") % 5 == 0, " a ").otherwise(F.concat("q", F.lit("  "), F.lower(F.substring_index(t, " ", 1)), F.lit(" x "), "q", F.lit(" "), F.substring(t, 2, 3)))
+    rows = c.f_queries.join(c.f_parts.select("id", "nomenclature_clean", (F.col("id") % 1000).cast("int").alias("qid")), "qid")
+    return rows.select("qid", "id", F.posexplode(T.query_segments(t, q)).alias("pos", "s")).select("qid", "id", "pos", "s.text", "s.hit")
+
+
 @query("page_window", """SELECT c_custkey, greatest(ceil((c_custkey % 400) / 20), 1)::BIGINT AS total_pages, least(greatest(c_custkey % 31, 1), greatest(ceil((c_custkey % 400) / 20), 1))::BIGINT AS page,
  greatest(least(least(greatest(c_custkey % 31, 1), greatest(ceil((c_custkey % 400) / 20), 1)) - 5, greatest(ceil((c_custkey % 400) / 20), 1) - 9), 1)::BIGINT AS first,
  least(greatest(least(least(greatest(c_custkey % 31, 1), greatest(ceil((c_custkey % 400) / 20), 1)) - 5, greatest(ceil((c_custkey % 400) / 20), 1) - 9), 1) + 9, greatest(ceil((c_custkey % 400) / 20), 1))::BIGINT AS last FROM customer""")

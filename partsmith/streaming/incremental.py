@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.catalog import replace_documents, upsert
+from ..operators.catalog import merge_catalogue
 from ..operators.metrics import HISTORY
 from ..sources.store import Store
 
@@ -25,28 +25,6 @@ def latest_by_path(batch: DataFrame, version: str = "mtime") -> DataFrame:
     return batch.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def merge_catalogue(store: Store, new: dict[str, DataFrame], batch: int | None = None) -> int:
-    """Replace documents by path with all that hangs on them: documents, and those of pages, parts, xrefs and aliases that come along.
-
-    A document and its children lie in the bucket of its path, so only the buckets of the paths that come in are
-    read and rewritten: what is written follows the batch, not the catalogue. A repeated batch changes nothing.
-    """
-    docs = new["documents"].withColumn("bucket", store.bucket("relative_path"))
-    rows = {"documents": docs}
-    if "id" in docs.columns:
-        of_document = docs.select(F.col("id").alias("document_id"), "bucket")
-        rows |= {t: df.join(of_document, "document_id").select(*df.columns, "bucket") for t, df in new.items() if "document_id" in df.columns}
-    if "parts" in rows:
-        of_part = rows["parts"].select(F.col("id").alias("part_id"), "bucket")
-        rows |= {t: df.join(of_part, "part_id").select(*df.columns, "bucket") for t, df in new.items() if "part_id" in df.columns}
-    touched = store.touched(docs)
-    known = store.manifest()["schemas"]
-    old = {t: store.read(t, touched) for t in {*known, *rows} if t in known}
-    done = replace_documents(old, rows) if old and "id" in docs.columns else {"documents": upsert(old["documents"], docs)} if old else rows
-    done |= {t: df for t, df in rows.items() if t not in done}
-    return store.commit({t: (df, touched) for t, df in done.items()}, sort={t: [c for c in ("document_id", "page_num") if c in df.columns] for t, df in done.items()}, batch=batch)
-
-
 def merge_into(target: str, buckets: int = 64):
     """A foreachBatch sink that replaces documents by path in the store ``target``, the latest of each path in a batch."""
 

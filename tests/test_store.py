@@ -5,9 +5,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from partsmith.operators import search, search_index
+from partsmith.operators import catalog, search, search_index
 from partsmith.sources.store import Store
-from partsmith.streaming import incremental
 
 PARTS = "id bigint, document_id bigint, part_number_canonical string, part_number_extracted string, part_number_cell string"
 
@@ -88,10 +87,10 @@ def test_catalogue_merge(spark, tmp_path):
     docs, parts, xrefs = "id bigint, relative_path string", "id bigint, document_id bigint", "part_id bigint, target string"
     store = Store(spark, str(tmp_path / "db"), buckets=16)
     first = {"documents": rows(docs, *((i, f"d{i}.pdf") for i in range(40))), "parts": rows(parts, *((100 + i, i) for i in range(40))), "xrefs": rows(xrefs, *((100 + i, f"x{i}") for i in range(40)))}
-    incremental.merge_catalogue(store, first, 0)
+    catalog.merge_catalogue(store, first, 0)
     new = {"documents": rows(docs, (90, "d3.pdf"), (91, "new.pdf")), "parts": rows(parts, (900, 90), (901, 91)), "xrefs": rows(xrefs, (901, "y"))}
     for _ in range(2):
-        incremental.merge_catalogue(store, new, 1)
+        catalog.merge_catalogue(store, new, 1)
         assert rows_of(store, "documents") == sorted([(i, f"d{i}.pdf") for i in range(40) if i != 3] + [(90, "d3.pdf"), (91, "new.pdf")])
         assert rows_of(store, "parts") == sorted([(100 + i, i) for i in range(40) if i != 3] + [(900, 90), (901, 91)])
         assert rows_of(store, "xrefs") == sorted([(100 + i, f"x{i}") for i in range(40) if i != 3] + [(901, "y")])
