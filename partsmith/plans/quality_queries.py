@@ -11,7 +11,7 @@ from ..operators import metrics as M
 from ..operators import reconcile as R
 from ..sources import catalog as S
 from ..sources.fixtures import Catalogue, ctes
-from ..sources.staging import staged
+from ..sources.staging import new_path, staged
 from .catalog_queries import _PARENTS, with_parents
 from .extract_queries import _BUILT, _IN_TABLE, _RECORDS
 from .search_queries import FIG
@@ -207,6 +207,19 @@ def _choose(c):
     return S.choose(c.f_listing.withColumn("relative_path", path), most=20)
 
 
+_BAD = "CASE WHEN word IS NULL THEN 'null:word' WHEN page_num < 1 THEN 'page' WHEN isnan(x0) THEN 'not_finite' WHEN x1 < x0 THEN 'inverted' END"
+
+
+@query("word_source", f"{ctes('f_words')}, n AS (SELECT * REPLACE (CASE WHEN k = 1 THEN NULL ELSE word END AS word, CASE WHEN k = 2 THEN -page_num ELSE page_num END AS page_num, CASE WHEN k = 3 THEN x0 + 50 WHEN k = 4 THEN 'nan'::DOUBLE ELSE x0 END AS x0) FROM (SELECT *, (doc_id + page_num + CAST(y0 AS INTEGER)) % 40 AS k FROM f_words)) SELECT coalesce({_BAD}, 'good') AS reason, count(*) AS n, sum(abs(page_num))::BIGINT AS pages FROM n GROUP BY ALL")
+def _word_source(c):
+    k = (F.col("doc_id") + F.col("page_num") + F.round("y0").cast("int")) % 40
+    spoilt = c.words.withColumn("k", k).withColumns({"word": F.when(k != 1, F.col("word")), "page_num": F.when(k == 2, -F.col("page_num")).otherwise(F.col("page_num")), "x0": F.when(k == 3, F.col("x0") + 50).when(k == 4, F.lit(float("nan"))).otherwise(F.col("x0"))})
+    path = new_path(c.spark, "word-boxes")
+    spoilt.drop("k").write.parquet(path)
+    good, bad = S.read_input(c.spark, path, "words")
+    return good.select(F.lit("good").alias("reason"), "page_num").unionByName(bad.select("reason", "page_num")).groupBy("reason").agg(F.count("*").alias("n"), F.sum(F.abs("page_num")).alias("pages"))
+
+
 @query("corpus_gate", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'empty' WHEN doc_id % 10 < 6 THEN 'not_pdf' END AS reason FROM documents")
 def _gate(c):
     text = F.when(F.col("doc_id") % 10 == 0, F.lit("")).when(F.col("doc_id") % 10 < 6, F.col("text")).otherwise(F.concat(F.lit("%PDF-1.4"), "text"))
