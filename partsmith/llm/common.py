@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,6 +55,17 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of materialize() that no later plan reads, and let Spark drop the shuffles of plans that are done."""
+    for df in tables:
+        for folder in {p.rsplit("/", 1)[0] for p in df.inputFiles()} if df is not None else ():
+            remove(df.sparkSession, folder)
+    live = next((df for df in tables if df is not None), None)
+    if live is not None:
+        gc.collect()
+        live.sparkSession._jvm.System.gc()  # the context's cleaner follows the driver's garbage collection
+
+
 def replace(old: DataFrame | None, new: DataFrame, name: str) -> DataFrame:
     """materialize() for loops: the table of the round before goes when the new one is there."""
     out = materialize(new, name)
