@@ -7,21 +7,27 @@ of the universe's keys that pass level 0 without being listed, level 2 one of th
 pass level 1, and so on until a level lets nothing wrong through. Looking a key of the universe
 up in the levels in turn is then exact, and takes no join.
 
-The filters' size is bounded: a list longer than ``MAX_LISTED`` keys is looked up by a join instead.
+A level is one row of 64-bit words, made by an aggregate and broadcast. Its size is bounded by the list, whatever
+the corpus: level 0 takes as many bits a key as leave about as many false positives as there are listed keys,
+all further levels hold a part of those of the level before.
 
 Defined cases: null urls and urls without ``://`` have empty host and path, fit no rule and get the
 default verdict; an empty table gives an empty result, an empty list fits nothing; a key on both
-lists blocks; of rules of equal length the greater string wins; rows are never merged.
+lists blocks; of rules of equal length the greater string wins; rows are never merged; very long urls are judged
+whole; other columns of the input, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import column, materialize
 
-BITS_PER_KEY, HASHES, MAX_LISTED, MAX_LEVELS = 16, 4, 100_000, 32
+BITS_PER_KEY, MAX_LEVELS = 8, 64
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -54,46 +60,51 @@ def keys(host: F.Column, path: F.Column, kinds: list[tuple[int, int]]) -> F.Colu
 
 
 def table_of(spark: SparkSession, keys: list[str]) -> DataFrame:
-    """A list as rows of ``key``, made by the JVM."""
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, keys)) if keys else F.array().cast("array<string>")).alias("key"))
+    """A list as rows of ``key``, made by the JVM from one string."""
+    rows = spark.range(1).select(F.explode(F.split(F.lit("\0".join(keys)), "\0")).alias("key"))
+    return rows if keys else rows.where(F.lit(False))
 
 
 class Bloom:
-    """A Bloom filter held as an array of 64-bit words that the optimizer folds into a constant."""
-
-    def __init__(self, members: DataFrame, level: int):
-        n = members.count()
-        self.level, self.n, self.words = level, n, max(1, -(-n * BITS_PER_KEY // 64))
-        at = members.select(F.explode(F.array(*(self._place(F.col("key"), i) for i in range(HASHES)))).alias("at"))
-        bits = (
-            at.groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).collect()
-        )  # at most self.words rows
-        full = dict(map(tuple, bits))
-        self.bits = ",".join(str(full.get(i, 0)) for i in range(self.words))
+    """A Bloom filter: a one-row table ``row`` whose column ``name`` holds its 64-bit words."""
+
+    def __init__(self, name: str, members: DataFrame, n: int, bits_per_key: int):
+        self.name, self.seed = name, zlib.crc32(name.encode())
+        self.words, self.hashes = max(1, -(-n * bits_per_key // 64)), max(1, round(bits_per_key * math.log(2)))
+        at = members.select(F.explode(F.array(*(self._place(F.col("key"), i) for i in range(self.hashes)))).alias("at"))
+        bits = at.select(F.expr("at div 64").alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bits"))
+        none = members.sparkSession.range(self.words).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits"))
+        dense = bits.unionByName(none).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        row = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias(name))  # self.words numbers
+        self.row = materialize(row, "url-filter")
 
     def _place(self, key: F.Column, i: int) -> F.Column:
-        return F.pmod(F.xxhash64(key, F.lit(self.level), F.lit(i)), F.lit(64 * self.words))
+        return F.pmod(F.xxhash64(key, F.lit(self.seed), F.lit(i)), F.lit(64 * self.words))
 
     def has(self, key: F.Column) -> F.Column:
-        words = F.split(F.lit(self.bits), ",").cast("array<bigint>")
+        """For rows beside which the filter's row stands."""
         out = F.lit(True)
-        for i in range(HASHES):
+        for i in range(self.hashes):
             at = self._place(key, i)
-            out = out & (F.getbit(F.element_at(words, (F.floor(at / 64) + 1).cast("int")), (at % 64).cast("int")) == 1)
+            out = out & (F.getbit(F.element_at(F.col(self.name), (F.floor(at / 64) + 1).cast("int")), (at % 64).cast("int")) == 1)
         return out
 
+    def passing(self, rows: DataFrame) -> DataFrame:
+        return rows.crossJoin(F.broadcast(self.row)).where(self.has(F.col("key"))).drop(self.name)  # one row
+
 
-def cascade(listed: DataFrame, universe: DataFrame) -> list[Bloom]:
-    """The levels for ``listed.key`` within ``universe.key``. One pass over the universe; what later
-    levels hold are the few false positives of the level before."""
-    levels = [Bloom(listed, 0)]
-    wrong = universe.where(levels[0].has(F.col("key"))).distinct().join(listed, "key", "left_anti")
-    inside, outside = listed, materialize(wrong, "url-level")
-    while not outside.isEmpty():
+def cascade(name: str, listed: DataFrame, n: int, universe: DataFrame, size: int) -> list[Bloom]:
+    """The levels for n keys ``listed.key`` within ``universe.key`` of about ``size`` rows. One pass over the universe; what
+    later levels hold are the few false positives of the level before."""
+    first = BITS_PER_KEY + math.ceil(math.log2(max(1, size / max(1, n))) / math.log(2))
+    levels = [Bloom(f"_{name}0", listed, n, first)]
+    outside = materialize(levels[0].passing(universe).distinct().join(listed, "key", "left_anti"), "url-level")
+    inside = listed
+    while n_out := outside.count():
         if len(levels) == MAX_LEVELS:
             raise ValueError("the cascade does not end")
-        levels.append(Bloom(outside, len(levels)))
-        inside, outside = outside, materialize(inside.where(levels[-1].has(F.col("key"))), "url-level")
+        levels.append(Bloom(f"_{name}{len(levels)}", outside, n_out, BITS_PER_KEY))
+        inside, outside = outside, materialize(levels[-1].passing(inside), "url-level")
     return levels
 
 
@@ -110,31 +121,24 @@ def longest(found: F.Column) -> F.Column:
     return best["k"]
 
 
-def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", key: str = "page_id", url: str = "url", max_listed: int = MAX_LISTED) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", key: str = "page_id", url: str = "url") -> DataFrame:
     """Per row: key, host, path, rule (null if none fits), verdict (the longest rule's, else the default)."""
-    spark = pages.sparkSession
-    host, path = host_and_path(F.col(url))
-    rows = pages.select(key, host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("_keys", keys(F.col("host"), F.col("path"), shapes(rules)))
-    if len(rules) > max_listed:
-        return _by_join(rows, rules, default, key)
-    listed = {a: table_of(spark, sorted({h + p for x, h, p in rules if x == a})) for a in ("block", "allow")}
-    universe = rows.select(F.explode("_keys").alias("key"))
-    levels = {a: cascade(x, universe) for a, x in listed.items()}
+    spark, kinds = pages.sparkSession, shapes(rules)
+    host, path = host_and_path(column(url))
+    rows = pages.select(column(key).alias("_key"), host.alias("host"), path.alias("path"))
+    rows = rows.withColumn("_keys", keys(F.col("host"), F.col("path"), kinds))
+    universe, size = rows.select(F.explode("_keys").alias("key")), pages.count() * len(kinds)
+    levels = {}
+    for action in ("block", "allow"):
+        listed = sorted({h + p for x, h, p in rules if x == action})
+        levels[action] = cascade(action, table_of(spark, listed), len(listed), universe, size)
+    filters = None
+    for f in (*levels["block"], *levels["allow"]):
+        filters = f.row if filters is None else filters.crossJoin(f.row)  # one row each
     fits = F.filter("_keys", lambda k: member(levels["block"], k) | member(levels["allow"], k))
-    judged = rows.withColumn("rule", longest(fits))
+    judged = rows.crossJoin(F.broadcast(filters)).withColumn("rule", longest(fits))
     verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(member(levels["block"], F.col("rule")), F.lit("block")).otherwise(F.lit("allow"))
-    return judged.select(key, "host", "path", "rule", verdict.alias("verdict"))
-
-
-def _by_join(rows: DataFrame, rules: list[tuple[str, str, str]], default: str, key: str) -> DataFrame:
-    """For lists beyond the filters' bound: the distinct keys meet the list in an equi-join."""
-    spark = rows.sparkSession
-    table = spark.createDataFrame([(h + p, a) for a, h, p in rules], "key string, action string").groupBy("key").agg(F.max("action").alias("action"))
-    uses = rows.select("host", "path", F.explode("_keys").alias("key")).distinct().join(table, "key")
-    best = uses.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key").alias("rule"), F.col("action"))).alias("best"))
-    out = rows.join(best, ["host", "path"], "left")
-    return out.select(key, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    return judged.select(F.col("_key").alias(key), "host", "path", "rule", verdict.alias("verdict"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

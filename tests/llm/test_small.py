@@ -340,6 +340,16 @@ def test_secrets_by_brute_force(spark):
     assert secrets.secret_spans(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_many_url_rules(spark):
+    rules = [("block" if i % 3 else "allow", f"h{i}.com", "/" if i % 2 else "/ab/") for i in range(300_000)]
+    rows = [(i, f"http://x.h{i * 7 % 400_000}.com/{'ab/' if i % 5 else ''}") for i in range(3000)]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.url_verdicts(spark.createDataFrame(rows, "page_id bigint, url string"), rules).collect()}
+    for i, _ in rows:
+        n = i * 7 % 400_000
+        fits = n < 300_000 and (n % 2 or i % 5)
+        assert got[i] == ((f"h{n}.com" + ("/" if n % 2 else "/ab/"), "block" if n % 3 else "allow") if fits else (None, "allow"))
+
+
 def test_urls(spark):
     urls = ["http://a.net/x", "https://Example.NET/en/1?x", "https://b.example.net/en/", "http://example.com/de/", "http://xexample.com/de/", "http://m.example.com/fr/", "http://x.org/fr/#", "http://x.org?/fr/", None, "", "nothing", "http://net", "http://net/", "x://a..net/\n?", "http://.net/"]
     rows = [(i, u) for i, u in enumerate(urls)] + [(0, urls[0])]
@@ -354,15 +364,17 @@ def test_urls(spark):
 
     want = Counter((i, *judge(u)) for i, u in rows)
     assert Counter(tuple(r) for r in url_filter.url_verdicts(df, url_filter.RULES).collect()) == want
-    assert Counter(tuple(r) for r in url_filter.url_verdicts(df, url_filter.RULES, max_listed=0).collect()) == want
     assert url_filter.url_verdicts(df.limit(0), url_filter.RULES).count() == 0
 
 
 def test_cascade_is_exact(spark):
     listed = spark.range(0, 3000, 3).select(F.col("id").cast("string").alias("key"))
     universe = spark.range(3000).select(F.col("id").cast("string").alias("key"))
-    levels = url_filter.cascade(listed, universe)
-    assert {r["key"] for r in universe.where(url_filter.member(levels, F.col("key"))).collect()} == {str(i) for i in range(0, 3000, 3)}
+    levels = url_filter.cascade("t", listed, listed.count(), universe, 3000)
+    beside = universe
+    for f in levels:
+        beside = beside.crossJoin(f.row)
+    assert {r["key"] for r in beside.where(url_filter.member(levels, F.col("key"))).collect()} == {str(i) for i in range(0, 3000, 3)}
 
 
 def test_toxicity(spark):
