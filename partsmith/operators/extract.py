@@ -93,11 +93,12 @@ def cell_texts(rows: DataFrame, by: list[str]) -> DataFrame:
     return kept.select(*by, F.array_join(F.filter(F.transform("l", lambda x: x["text"]), lambda t: t != ""), "\n").alias("text"))
 
 
-def anchors(words: DataFrame, rule=T.is_part_number_cell) -> DataFrame:
-    """(doc_id, page_num, y, pn): lines of the part number column that are part numbers by the rule, without close repeats."""
+def anchors(words: DataFrame, rule=T.is_part_number_cell, form=None) -> DataFrame:
+    """(doc_id, page_num, y, pn): lines of the part number column, in the form asked for, that are part numbers by the rule, without close repeats."""
     a, b = COLUMNS["part_number"]
     kept = words.where(cx().between(a * PT, b * PT) & cy().between(SCAN_FROM, SCAN_TO))
-    rows = lines(kept, PAGE, "").select(*PAGE, "y", F.replace("text", F.lit(" "), F.lit("")).alias("pn")).where(rule(F.col("pn")))
+    bare = F.replace("text", F.lit(" "), F.lit(""))
+    rows = lines(kept, PAGE, "").select(*PAGE, "y", (form(bare) if form else bare).alias("pn")).where(rule(F.col("pn")))
     none = F.expr("cast(array() as array<struct<y:double,pn:string>>)")
 
     def step(s: Column, x: Column) -> Column:

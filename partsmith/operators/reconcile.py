@@ -124,7 +124,7 @@ def truth_rows(words: DataFrame) -> DataFrame:
     equi-keys are the page and slices of ``SLICE`` points that an interval covers.
     """
     words = E.clip(words, E.TABLE)
-    found = E.anchors(words, T.is_part_number_truth).withColumn("pn", F.upper("pn"))
+    found = E.anchors(words, T.is_part_number_truth, F.upper)
     until = F.coalesce(F.lead("y").over(Window.partitionBy(*E.PAGE).orderBy("y")), F.lit(E.SCAN_TO))
     spans = found.withColumn("_end", until).withColumn("_slice", F.explode(F.sequence(F.floor(F.col("y") / SLICE), F.floor(F.col("_end") / SLICE))))
     cells = E.with_columns(words).where(F.col("col").isin("fig_item", "nomenclature")).withColumn("_at", E.cy()).withColumn("_slice", F.floor(E.cy() / SLICE))
@@ -207,7 +207,7 @@ def _first_of_each(rows: DataFrame, most: int) -> DataFrame:
 
 def mine_deep_levels(words: DataFrame, least: int, most: int, tokens: int = 200) -> DataFrame:
     """(doc_id, page_num, pn): of pages with a line of so many leading dots, the first number by name with a row so deep; the first ``most`` pages of a document."""
-    near = E.rows_near(words, E.anchors(words, T.is_part_number_truth).withColumn("pn", F.upper("pn"))).withColumn("level", T.nomenclature_level("nomenclature"))
+    near = E.rows_near(words, E.anchors(words, T.is_part_number_truth, F.upper)).withColumn("level", T.nomenclature_level("nomenclature"))
     dotted = words.where(F.ltrim("word").startswith("." * least)).select(*E.PAGE).distinct()
     deep = near.where(F.col("level") >= least).join(page_tokens(words, tokens), [*E.PAGE, "pn"], "left_semi").join(dotted, list(E.PAGE), "left_semi")
     return _first_of_each(deep.groupBy(*E.PAGE).agg(F.min("pn").alias("pn")), most)
@@ -220,7 +220,7 @@ def mine_cross_page(words: DataFrame, footers: DataFrame, most: int, tokens: int
     follows = (F.col("_figure_code") == F.col("figure_code")) & (F.col("_page_num") == F.col("page_num") - 1)
     pages = rows.where(follows & F.upper("_page_token").contains("PAGE 1") & F.col("t").contains("PAGE 2")).select(*E.PAGE, "figure_code")
     own = words.join(pages.select(*E.PAGE), list(E.PAGE), "left_semi")
-    near = E.rows_near(own, E.anchors(own, T.is_part_number_truth).withColumn("pn", F.upper("pn"))).join(page_tokens(own, tokens), [*E.PAGE, "pn"], "left_semi")
+    near = E.rows_near(own, E.anchors(own, T.is_part_number_truth, F.upper)).join(page_tokens(own, tokens), [*E.PAGE, "pn"], "left_semi")
     first = near.groupBy(*E.PAGE).agg(F.min_by(F.struct("pn", "fig_item"), F.struct("pn", "y")).alias("r"))
     return _first_of_each(pages.join(first, list(E.PAGE)).select(*E.PAGE, "figure_code", "r.pn", "r.fig_item"), most)
 
