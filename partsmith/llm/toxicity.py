@@ -9,11 +9,13 @@ Toxic documents are ordinary prose but for a few places, so the dictionaries are
 compressed lengths alone: (1) a base is trained on ordinary windows; of the toxic windows those stay
 that cost most under it; (2) a toxic and an ordinary tail are trained on the windows that stay, each half of
 the documents is measured under the tails of the other half, so that no window is measured under itself, and those of the largest
-distances stay; (3) in each of these the word without which the distance shrinks most is found, and
-new tails are made of such words as share a part with those of other documents of their kind; the
-windows are measured and searched again under these, ``ROUNDS`` times. Windows that stand in several documents are left out, so that copies add nothing.
-Both final dictionaries hold the same base, nearest to the text, and tails of equal length before it: they differ
-in nothing but what the tails match.
+distances stay; (3) each of these is narrowed to the word without which its distance shrinks most, new tails are
+trained on the narrowed windows of both kinds, and all windows are measured under these, ``ROUNDS`` times; the last tails are trained
+on those of both halves. A tail's size follows what it is trained on (a ``SHARE``-th of it, ``LEAST_TAIL`` at least). Windows that stand in
+several documents are left out, so that copies add nothing. Every part of both dictionaries is trained by zstandard, in the same way for both;
+both hold the same base, nearest to the text, and tails of equal length before it: they differ in nothing but what the
+tails match. They are matched as raw content: with the entropy tables of training, lengths follow the letters of a
+window more than its matches, and little is told apart.
 
 The model is fitted on a sample of about ``SAMPLE`` labelled training rows: four fifths give at most about
 ``WINDOWS`` windows of each kind (of ``LONGEST`` bytes at most) for the dictionaries, one fifth calibrates the
@@ -30,7 +32,6 @@ word is one window's word like any other; other columns of the input, whatever t
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import zip_longest
@@ -43,7 +44,9 @@ from pyspark.sql import functions as F
 
 from .common import bucket, materialize
 
-WINDOW, LEVEL, BASE, TAIL, SEGMENT, PART, RECUR, ROUNDS, LONGEST = 8, 6, 65_536, 16_384, 12, 6, 3, 4, 1024
+WINDOW, LEVEL, BASE, TAIL, ROUNDS, LONGEST = 8, 6, 65_536, 16_384, 4, 1024
+SEGMENT, PART = 12, 6  # bytes of the pieces that training chooses among, and of their parts that it counts
+NARROW, NARROW_PART, SHARE, LEAST_TAIL = 24, 8, 16, 1024  # the same for tails of narrowed windows, and their size
 SAMPLE, WINDOWS, REJECT = 40_000, 60_000, 0.3
 # Punctuation that is taken out of words.
 PUNCTUATION = b".,!?;:|*%&$#\"()[]{}"
@@ -67,10 +70,10 @@ def lengths(dictionary: bytes, texts: list[bytes]) -> np.ndarray:
     return np.fromiter((len(compress(t)) for t in texts), np.int64, len(texts))
 
 
-def trained(texts: list[bytes], size: int) -> bytes:
+def trained(texts: list[bytes], size: int, segment: int = SEGMENT, part: int = PART) -> bytes:
     """A dictionary that zstandard trains on the texts; the texts themselves where they are too few to train on."""
     try:
-        return zstandard.train_dictionary(size, texts, level=LEVEL, k=SEGMENT, d=PART).as_bytes()
+        return zstandard.train_dictionary(size, texts, level=LEVEL, k=segment, d=part).as_bytes()
     except zstandard.ZstdError:
         return b"".join(texts)[-size:]
 
@@ -99,21 +102,9 @@ def core(window: bytes, far, near) -> bytes | None:
     return b" " + words[at] + b" " if gains and gains[at] > 0 else None
 
 
-def parts(word: bytes) -> set[bytes]:
-    return {word[i : i + PART] for i in range(max(1, len(word) - PART + 1))}
-
-
-def recurring(own: list[bytes], other: list[bytes], weight: float, size: int = TAIL) -> bytes:
-    """The words of ``own`` that share a part with others of it, and far less often with ``other`` (of that weight), the most frequent last."""
-    often, less = (Counter(p for w in ws for p in parts(w)) for ws in (own, other))
-    force = {w: max((often[p] for p in parts(w) if often[p] >= RECUR and often[p] > 4 * weight * less[p]), default=0) for w in set(own)}
-    ranked, room = [], size
-    for w in sorted((w for w in force if force[w]), key=lambda w: (-force[w], w)):
-        if room < len(w):
-            break
-        ranked.append(w)
-        room -= len(w)
-    return b"".join(reversed(ranked))
+def narrowed(cores: list[bytes]) -> bytes:
+    """A tail trained on windows that were narrowed to their cores."""
+    return trained(cores, max(LEAST_TAIL, sum(map(len, cores)) // SHARE), NARROW, NARROW_PART) if cores else b""
 
 
 def fit(toxic: list[tuple[bytes, bool]], ordinary: list[tuple[bytes, bool]]) -> tuple[bytes, bytes]:
@@ -145,12 +136,9 @@ def fit(toxic: list[tuple[bytes, bool]], ordinary: list[tuple[bytes, bool]]) ->
             far, near = compressor(far).compress, compressor(near).compress
             for kind, ws, keep, half in (("t", t, keep_t, t_half), ("o", o, keep_o, o_half)):
                 cores[kind, bool(h)] = [c for w in chosen(ws, keep, half == bool(h)) if (c := core(w, far, near))]
-        scale = len(t) / max(1, len(o))
-        both = lambda halves: [[c for h in halves for c in cores[kind, h]] for kind in "to"]  # noqa: E731, B023
 
         def tails(*halves: bool) -> tuple[bytes, bytes]:
-            own, other = both(halves)  # noqa: B023
-            return recurring(own, other, scale), recurring(other, own, 1 / scale)  # noqa: B023
+            return tuple(narrowed([c for h in halves for c in cores[kind, h]]) for kind in "to")  # noqa: B023
 
         if last:
             return pair(base, *tails(False, True))
