@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import column, materialize
 
-LEAST, LONGEST, TOP, BLOCK, RANGE = 100, 5, 2000, 4_000_000, 1 << 20
+LEAST, LONGEST, TOP, BLOCK, RANGE = 100, 5, 2000, 1_000_000, 1 << 20
 ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 STOP = b"\xff"  # no byte of UTF-8: stands for a mark that ends a piece
 PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", STOP * 10)
@@ -316,7 +316,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     pieces = materialize(blocks(docs, text, lang, block), "collocation-blocks")
     totals = pieces.select(F.inline("sizes")).groupBy("lang").agg(F.sum("n").alias("n"))
     entries = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
-    known = materialize(frequent_words(pieces, least, 1 + entries // size), "collocation-words")
+    known = materialize(frequent_words(pieces, least, 1 + 4 * entries // size), "collocation-words")
     words = known.where("block is null").select(F.inline(F.arrays_zip("id", "lang", "phrase", "a")))
     ids = materialize(numbered(pieces, known), "collocation-ids")
     found = [words.select("*", F.array("a").alias("heads"), F.array("a").alias("tails"), F.col("phrase").alias("last"))]
