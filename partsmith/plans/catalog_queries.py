@@ -142,7 +142,7 @@ _D = ctes("f_documents")
 _S = ctes("f_documents", "f_scan_prev", "f_listing")
 
 
-@query("documents_list", f"{_D} SELECT id, pdf_name, relative_path FROM f_documents")
+@query("documents_list", f"{_D} SELECT * FROM f_documents")
 def _list(c):
     return C.listing(c.f_documents)
 
@@ -305,7 +305,7 @@ def _dup_rows(c):
     return C.duplicate_rows(c.f_documents, "pdf_name")
 
 
-@query("backfill_paths", f"{_D} SELECT id, pdf_name, CASE WHEN id % 3 = 0 THEN pdf_name ELSE relative_path END AS relative_path FROM f_documents")
+@query("backfill_paths", f"{_D} SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN pdf_name ELSE relative_path END AS relative_path) FROM f_documents")
 def _backfill(c):
     blank = F.when(F.col("id") % 3 == 0, F.lit("  ")).otherwise(F.col("relative_path"))
     return C.backfill_paths(c.f_documents.withColumn("relative_path", blank))
