@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, materialize
+from .common import column, discard, materialize
 
 LEAST, LONGEST, TOP, BLOCK, RANGE = 100, 5, 2000, 1_000_000, 1 << 20
 ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -314,11 +314,12 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     heads and tails (counts of its first and of its last 1, 2, ... words).
     """
     pieces = materialize(blocks(docs, text, lang, block), "collocation-blocks")
-    totals = pieces.select(F.inline("sizes")).groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = materialize(pieces.select(F.inline("sizes")).groupBy("lang").agg(F.sum("n").alias("n")), "collocation-totals")
     entries = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
     known = materialize(frequent_words(pieces, least, 1 + 4 * entries // size), "collocation-words")
-    words = known.where("block is null").select(F.inline(F.arrays_zip("id", "lang", "phrase", "a")))
+    words = materialize(known.where("block is null").select(F.inline(F.arrays_zip("id", "lang", "phrase", "a"))), "collocation-phrases")
     ids = materialize(numbered(pieces, known), "collocation-ids")
+    discard(pieces, known)
     found = [words.select("*", F.array("a").alias("heads"), F.array("a").alias("tails"), F.col("phrase").alias("last"))]
     for n in range(2, longest + 1):
         most = found[-1].agg(F.max("id")).first()[0] or 1
@@ -339,8 +340,8 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
                 "collocation-phrases",
             )
         )
-        if n < longest:
-            ids = materialize(longer(ids, met, bits), "collocation-ids")
+        before, ids = ids, materialize(longer(ids, met, bits), "collocation-ids") if n < longest else None
+        discard(before, met)
     return totals, found
 
 
