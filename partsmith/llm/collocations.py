@@ -1,7 +1,7 @@
 """Phrase collocations, counted exactly in counting quotient filters.
 
 1. Texts become blocks of word numbers. A block has a dictionary of its own, so texts are read once and never
-   shuffled; the dictionaries alone are merged, by ranges of a hash, which gives each language's frequent words their ids.
+   shuffled; the dictionaries alone meet in an aggregate, which gives each language's frequent words their ids.
 2. A phrase of n words is the pair of the ids of its first and its last n - 1 words, packed into one key: it can
    only be frequent if both are. Each block counts its keys in a counting quotient filter: the key is permuted
    invertibly, its upper bits (quotient) name a slot and its lower bits (remainder) are stored in full, so the
@@ -20,19 +20,17 @@ gives no row; other columns are not looked at.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, discard, materialize
+from .common import column, materialize
 
-LEAST, LONGEST, TOP, BLOCK, RANGE = 100, 5, 2000, 1_000_000, 1 << 20
+LEAST, LONGEST, TOP, BLOCK, RANGE = 100, 5, 2000, 4_000_000, 1 << 20
 ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 STOP = b"\xff"  # no byte of UTF-8: stands for a mark that ends a piece
 PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", STOP * 10)
@@ -157,61 +155,20 @@ def blocks(docs: DataFrame, text: str, lang: str, size: int = BLOCK) -> DataFram
     return rows.mapInArrow(run, "block bigint, words array<struct<lang: string, word: string, n: bigint>>, sizes array<struct<lang: string, n: bigint>>, codes binary")
 
 
-LONGS = pa.list_(pa.int64())
+def frequent_words(pieces: DataFrame, least: int) -> DataFrame:
+    """(id, lang, phrase, a) of the words that a language holds ``least`` times. Ids are dealt by 64 groups of words, so no task numbers all of them."""
+    found = pieces.select(F.inline("words")).groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    group = F.crc32(F.concat_ws(" ", "lang", "word")) % 64
+    place = F.row_number().over(Window.partitionBy("group").orderBy("lang", "word")).cast("bigint")
+    return found.withColumn("group", group).select(((place - 1) * 64 + F.col("group") + 1).alias("id"), "lang", F.col("word").alias("phrase"), "a")
 
 
-def frequent_words(pieces: DataFrame, least: int, ranges: int) -> DataFrame:
-    """The words that a language holds ``least`` times, and where blocks have them: rows (block, lang, phrase, a, at, id) of arrays.
-
-    Dictionaries are cut into ranges of a hash, and those of a range are merged. Rows without a block hold each range's
-    words (lang, phrase, a, id); those with one hold the places (at) in its dictionary and ids of its own ones.
-    """
-    strings = pa.list_(pa.string())
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, entries in zip(batch.column(0), batch.column(1), strict=True):
-                langs, words, n = entries.values.flatten()
-                part = np.fromiter((zlib.crc32(w.encode()) % ranges for w in words.to_pylist()), np.int64, len(words))
-                order = np.argsort(part, kind="stable")
-                ends = pa.array(np.searchsorted(part[order], np.arange(ranges + 1)), pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, x.take(pa.array(order))) for x in (langs, words, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(ranges)), pa.array([block.as_py()] * ranges, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(order)), *lists], ["range", "block", "at", "lang", "word", "n"])
-
-    schema = pa.schema([("block", pa.int64()), ("lang", strings), ("phrase", strings), ("a", LONGS), ("at", LONGS), ("id", LONGS)])
-
-    def met(table: pa.Table) -> pa.Table:
-        own = table.column("range")[0].as_py()
-        table = table.combine_chunks()
-        size = pc.list_value_length(table.column("at")).combine_chunks().to_numpy()
-        at, lang, word, n = (pc.list_flatten(table.column(c)).combine_chunks() for c in ("at", "lang", "word", "n"))
-        index = pc.binary_join_element_wise(lang, word, " ").dictionary_encode().indices.to_numpy()  # a word holds no space
-        first = np.unique(index, return_index=True)[1]
-        sums = np.zeros(len(first), np.int64)
-        np.add.at(sums, index, n.to_numpy())
-        often = np.flatnonzero(sums >= least)
-        ids = np.zeros(len(first), np.int64)
-        ids[often] = np.arange(len(often)) * ranges + own + 1
-        if len(often) and ids.max() >= 1 << 32:
-            raise ValueError("more than 2^32 words are frequent")
-        of, places = ids[index], at.to_numpy()
-        none = np.zeros(0, np.int64)
-        out = [[None, lang.take(pa.array(first[often])), word.take(pa.array(first[often])), sums[often], none, ids[often]]] if len(often) else []
-        ends = np.cumsum(size)
-        for block, lo, hi in zip(table.column("block").to_pylist(), ends - size, ends, strict=True):
-            hit = np.flatnonzero(of[lo:hi]) + lo
-            if len(hit):
-                out.append([block, [], [], none, places[hit], of[hit]])
-        return pa.Table.from_arrays([pa.array([x.to_pylist() if isinstance(x, pa.Array) else x for x in c], f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 6, schema, strict=True)], schema=schema)
-
-    made = pieces.select("block", "words").mapInArrow(cut, "range bigint, block bigint, at array<bigint>, lang array<string>, word array<string>, n array<bigint>")
-    return made.groupBy("range").applyInArrow(met, "block bigint, lang array<string>, phrase array<string>, a array<bigint>, at array<bigint>, id array<bigint>")
-
-
-def numbered(pieces: DataFrame, answers: DataFrame) -> DataFrame:
+def numbered(pieces: DataFrame, words: DataFrame) -> DataFrame:
     """(block, ids, pairs): the ids of the block's words, 0 for others and for ends of pieces, and how many neighbours both have one."""
-    known = answers.where("block is not null").groupBy("block").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("id")).alias("id"))
-    rows = pieces.join(known, "block").select("block", "codes", "at", "id")
+    own = pieces.select("block", F.posexplode("words").alias("at", "w")).select("block", "at", "w.lang", F.col("w.word").alias("phrase"))
+    found = own.join(words.select("id", "lang", "phrase"), ["lang", "phrase"], "left")  # a row for each entry, whatever share of them is frequent
+    known = found.groupBy("block").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id"))).alias("known"))
+    rows = pieces.join(known, "block").select("block", "codes", F.col("known.at").alias("at"), F.col("known.id").alias("id"))
 
     def ids_of(codes: memoryview, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
         codes = np.frombuffer(codes, np.int32)
@@ -263,7 +220,8 @@ def counted(blocks_of_ids: DataFrame, bits: int, ranges: int, least: int, answer
                 made = [filter_of(keys[cut[r] : cut[r + 1]] & np.uint64((1 << inner) - 1), counts[cut[r] : cut[r + 1]], inner) for r in full]
                 yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([block.as_py()] * len(full), pa.int64()), pa.array(made, pa.binary())], ["range", "block", "filter"])
 
-    schema = pa.schema([("block", pa.int64()), ("left", LONGS), ("right", LONGS), ("id", LONGS), ("a", LONGS)])
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("block", pa.int64()), ("left", longs), ("right", longs), ("id", longs), ("a", longs)])
 
     def met(table: pa.Table) -> pa.Table:
         own = table.column("range")[0].as_py()
@@ -314,12 +272,9 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     heads and tails (counts of its first and of its last 1, 2, ... words).
     """
     pieces = materialize(blocks(docs, text, lang, block), "collocation-blocks")
-    totals = materialize(pieces.select(F.inline("sizes")).groupBy("lang").agg(F.sum("n").alias("n")), "collocation-totals")
-    entries = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
-    known = materialize(frequent_words(pieces, least, 1 + 4 * entries // size), "collocation-words")
-    words = materialize(known.where("block is null").select(F.inline(F.arrays_zip("id", "lang", "phrase", "a"))), "collocation-phrases")
-    ids = materialize(numbered(pieces, known), "collocation-ids")
-    discard(pieces, known)
+    totals = pieces.select(F.inline("sizes")).groupBy("lang").agg(F.sum("n").alias("n"))
+    words = materialize(frequent_words(pieces, least), "collocation-words")
+    ids = materialize(numbered(pieces, words), "collocation-ids")
     found = [words.select("*", F.array("a").alias("heads"), F.array("a").alias("tails"), F.col("phrase").alias("last"))]
     for n in range(2, longest + 1):
         most = found[-1].agg(F.max("id")).first()[0] or 1
@@ -340,8 +295,8 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
                 "collocation-phrases",
             )
         )
-        before, ids = ids, materialize(longer(ids, met, bits), "collocation-ids") if n < longest else None
-        discard(before, met)
+        if n < longest:
+            ids = materialize(longer(ids, met, bits), "collocation-ids")
     return totals, found
 
 
