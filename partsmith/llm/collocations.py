@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import column, materialize
 
-LEAST, LONGEST, TOP, BLOCK, RANGE = 100, 5, 2000, 4_000_000, 1 << 20
+LEAST, LONGEST, TOP, BLOCK, RANGE = 100, 5, 2000, 2_000_000, 1 << 20
 ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 STOP = b"\xff"  # no byte of UTF-8: stands for a mark that ends a piece
 PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", STOP * 10)
@@ -41,10 +41,14 @@ PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", STOP * 10)
 
 def permute(keys: np.ndarray, width: int) -> np.ndarray:
     """A one-to-one mix of the keys of ``width`` bits."""
+    keys = keys.copy()
     mask, half = np.uint64((1 << width) - 1), np.uint64((width + 1) // 2)
     for odd in ODD:
-        keys = (keys ^ (keys >> half)) * np.uint64(odd) & mask
-    return keys ^ (keys >> half)
+        keys ^= keys >> half
+        keys *= np.uint64(odd)
+        keys &= mask
+    keys ^= keys >> half
+    return keys
 
 
 def unpermute(keys: np.ndarray, width: int) -> np.ndarray:
@@ -211,9 +215,16 @@ def counted(blocks_of_ids: DataFrame, bits: int, ranges: int, least: int, answer
     def filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(*batch.columns, strict=True):
-                ids = np.frombuffer(data.as_buffer(), "<u4").astype(np.uint64)
-                at = np.flatnonzero((ids[1:] > 0) & (ids[:-1] > 0))
-                keys, counts = np.unique(permute(ids[at] << np.uint64(bits) | ids[at + 1], width), return_counts=True)
+                ids = np.frombuffer(data.as_buffer(), "<u4")
+                both = (ids[1:] > 0) & (ids[:-1] > 0)
+                keys = ids[:-1][both].astype(np.uint64)
+                keys <<= np.uint64(bits)
+                keys |= ids[1:][both]
+                keys = permute(keys, width)
+                keys.sort()
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                counts = np.diff(first, append=len(keys))
+                keys = keys[first]
                 cut = np.searchsorted(keys, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(inner)) if part else np.array([0, len(keys)])
                 cut[-1] = len(keys)
                 full = np.flatnonzero(np.diff(cut))
