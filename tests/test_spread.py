@@ -28,3 +28,24 @@ def test_rows_without_parents_spread(spark):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_pages_of_records_travel_once(spark):
+    from partsmith.operators import extract
+    from partsmith.sources.fixtures import Catalogue
+
+    c = Catalogue(spark, "/root/testdata/sf0.001")
+    many = lambda df: df.repartition(3)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert exchanges(extract.records(many(c.boxes), many(c.word_pages))) == 1
+        cells = many(spark.range(9).selectExpr("cast(id as int) doc_id", "cast(id % 3 as int) page_num", "'A1' raw"))
+        found = many(spark.range(9).selectExpr("cast(id as int) doc_id", "cast(id % 3 as int) page_num", "'A10' token"))
+        assert exchanges(extract.canonicalize(cells, found)) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
