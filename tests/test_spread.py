@@ -49,3 +49,13 @@ def test_pages_of_records_travel_once(spark):
         assert exchanges(extract.canonicalize(cells, found)) == 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_only_rows_that_come_again_gather_chains(spark):
+    from partsmith.operators import hierarchy
+
+    rows = [(i, 1, 1, "F", f"P{i % 8}", 0, None) for i in range(1, 11)]
+    df = spark.createDataFrame(rows, "id bigint, document_id bigint, page_num int, figure_code string, part_number_cell string, nom_level int, parent_part_id bigint")
+    df = df.selectExpr("*", "0 as not_illustrated", *(f"cast(null as string) as {c}" for c in ("fig_item_raw", "fig_item_no", "nomenclature_clean", "effectivity", "units_per_assy")))
+    assert {(r["id"], r["survivor"]) for r in hierarchy.copies(df, 2).collect()} == {(9, 1), (10, 2)}
+    assert {r["id"] for r in hierarchy.first_ones(df, 2).collect()} == set(range(1, 9))
