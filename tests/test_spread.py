@@ -59,3 +59,17 @@ def test_only_rows_that_come_again_gather_chains(spark):
     df = df.selectExpr("*", "0 as not_illustrated", *(f"cast(null as string) as {c}" for c in ("fig_item_raw", "fig_item_no", "nomenclature_clean", "effectivity", "units_per_assy")))
     assert {(r["id"], r["survivor"]) for r in hierarchy.copies(df, 2).collect()} == {(9, 1), (10, 2)}
     assert {r["id"] for r in hierarchy.first_ones(df, 2).collect()} == set(range(1, 9))
+
+
+def test_pages_to_build_are_read_without_a_shuffle(spark):
+    from partsmith.sources.fixtures import Catalogue, build_pages
+
+    c = Catalogue(spark, "/root/testdata/sf0.001")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert exchanges(c.build_pages) == 0
+        rows = lambda df: sorted(df.collect(), key=lambda r: (r["doc_id"], r["page_num"]))
+        assert rows(c.build_pages) == rows(build_pages(c.boxes, c.word_pages).select(*c.build_pages.columns))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
