@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partsmith.llm import bpe, exact_dedup, mixing, near_copies, toxicity
+from partsmith.llm import bpe, exact_dedup, mixing, simhash, toxicity
 from partsmith.llm.common import materialize
 
 
@@ -22,8 +22,8 @@ def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more on five-word shingles, the one with the smallest doc_id stays."""
-    return near_copies.survivors(docs)
+    """Of documents whose fingerprints are linked as in op5_simhash, the one with the smallest doc_id stays."""
+    return simhash.survivors(docs)
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
