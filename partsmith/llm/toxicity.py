@@ -32,6 +32,7 @@ word is one window's word like any other; other columns of the input, whatever t
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import zip_longest
@@ -103,7 +104,18 @@ def core(window: bytes, far, near) -> bytes | None:
 
 
 def narrowed(cores: list[bytes]) -> bytes:
-    """A tail trained on windows that were narrowed to their cores."""
+    """A tail trained on windows that were narrowed to their cores.
+
+    Training counts parts of ``NARROW_PART`` bytes, so a core in which no more than one fits is written again. Cores that come
+    once are left out where others come again. The others are laid in rounds, each holding a core once, so that
+    what training takes beside a core that recurs recurs too.
+    """
+    seen, nth = Counter(), []
+    for c in cores:
+        c = b" " + c[1:] * -(-NARROW_PART // (len(c) - 1))
+        seen[c] += 1
+        nth.append((seen[c], c))
+    cores = [c for _, c in sorted([x for x in nth if seen[x[1]] > 1] or nth)]
     return trained(cores, max(LEAST_TAIL, sum(map(len, cores)) // SHARE), NARROW, NARROW_PART) if cores else b""
 
 

@@ -428,6 +428,16 @@ def test_toxic_dictionaries_hold_what_recurs():
     assert np.mean([gain(w) for w in fresh]) > 2 and abs(np.mean([gain(window(None)) for _ in range(100)])) < 0.5
 
 
+def test_narrowed_tails_keep_short_words():
+    r = random.Random(10)
+    noise = [("".join(r.choices("bcdfgaeiou", k=r.randint(5, 12)))).encode() for _ in range(3000)]
+    short, often = [b"scum", b"moron", b"zq"], noise[:40]
+    cores = [b" " + w + b" " for w in noise + 15 * often + 60 * short]
+    r.shuffle(cores)
+    tail = toxicity.narrowed(cores)
+    assert all(b" " + w + b" " in tail for w in short) and sum(b" " + w + b" " in tail for w in noise[40:]) < 5  # what comes once is left out
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(400 + i, 401 + i) for i in range(60)] + [(500, 500)]
