@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import column, materialize
 
-LEAST, LONGEST, TOP, BLOCK, RANGE = 100, 5, 2000, 2_000_000, 1 << 20
+LEAST, LONGEST, TOP, BLOCK, RANGE, ENTRIES = 100, 5, 2000, 1_000_000, 1 << 20, 16_384  # ENTRIES: of a dictionary in one row
 ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 STOP = b"\xff"  # no byte of UTF-8: stands for a mark that ends a piece
 PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", STOP * 10)
@@ -118,24 +118,28 @@ class _Numbers(dict):
 
 
 def blocks(docs: DataFrame, text: str, lang: str, size: int = BLOCK) -> DataFrame:
-    """(block, words, counts, sizes, codes): codes number the words (0 ends a piece), counts follow words, sizes hold each language's words."""
+    """(block, at, words, sizes, codes): codes number the words (0 ends a piece), sizes hold each language's words.
+
+    A block's dictionary comes in rows of ``ENTRIES`` words from place ``at`` on; sizes and codes stand in the first of them.
+    """
     entry = pa.struct([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
     total = pa.struct([("lang", pa.string()), ("n", pa.int64())])
-    schema = pa.schema([("block", pa.int64()), ("words", pa.list_(entry)), ("sizes", pa.list_(total)), ("codes", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("words", pa.list_(entry)), ("sizes", pa.list_(total)), ("codes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId() << 24
         words, langs, tables, codes, held = [STOP], [None], {}, [], 0
 
-        def block() -> pa.RecordBatch:
+        def block() -> Iterator[pa.RecordBatch]:
             flat = np.concatenate(codes)
             n = pa.array(np.bincount(flat, minlength=len(words))[1:])
             names = pa.array(langs[1:], pa.string())
             entries = pa.StructArray.from_arrays([names, pa.array(words[1:], pa.binary()).cast(pa.string()), n], fields=list(entry))
             sums = pa.table({"lang": names, "n": n}).group_by("lang").aggregate([("n", "sum")]).combine_chunks()
             totals = pa.StructArray.from_arrays([sums.column(i).combine_chunks() for i in range(2)], fields=list(total))
-            lists = (pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (entries, totals))
-            return pa.RecordBatch.from_arrays([pa.array([made]), *lists, pa.array([flat.tobytes()], pa.binary())], schema=schema)
+            for at in range(0, len(entries), ENTRIES):
+                lists = (pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (entries.slice(at, ENTRIES), totals[: 0 if at else None]))
+                yield pa.RecordBatch.from_arrays([pa.array([made]), pa.array([at], pa.int32()), *lists, pa.array([None if at else flat.tobytes()], pa.binary())], schema=schema)
 
         for batch in batches:
             for language, t in zip(*batch.columns, strict=True):
@@ -149,14 +153,14 @@ def blocks(docs: DataFrame, text: str, lang: str, size: int = BLOCK) -> DataFram
                 langs += [language] * (len(words) - len(langs))
                 held += len(found)
                 if held >= size:
-                    yield block()
+                    yield from block()
                     made += 1
                     words, langs, tables, codes, held = [STOP], [None], {}, [], 0
         if held:
-            yield block()
+            yield from block()
 
     rows = docs.select(F.coalesce(column(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(column(text), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "block bigint, words array<struct<lang: string, word: string, n: bigint>>, sizes array<struct<lang: string, n: bigint>>, codes binary")
+    return rows.mapInArrow(run, "block bigint, at int, words array<struct<lang: string, word: string, n: bigint>>, sizes array<struct<lang: string, n: bigint>>, codes binary")
 
 
 def frequent_words(pieces: DataFrame, least: int) -> DataFrame:
@@ -169,10 +173,10 @@ def frequent_words(pieces: DataFrame, least: int) -> DataFrame:
 
 def numbered(pieces: DataFrame, words: DataFrame) -> DataFrame:
     """(block, ids, pairs): the ids of the block's words, 0 for others and for ends of pieces, and how many neighbours both have one."""
-    own = pieces.select("block", F.posexplode("words").alias("at", "w")).select("block", "at", "w.lang", F.col("w.word").alias("phrase"))
+    own = pieces.select("block", "at", F.posexplode("words").alias("nth", "w")).select("block", (F.col("at") + F.col("nth")).alias("at"), "w.lang", F.col("w.word").alias("phrase"))
     found = own.join(words.select("id", "lang", "phrase"), ["lang", "phrase"], "left")  # a row for each entry, whatever share of them is frequent
     known = found.groupBy("block").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id"))).alias("known"))
-    rows = pieces.join(known, "block").select("block", "codes", F.col("known.at").alias("at"), F.col("known.id").alias("id"))
+    rows = pieces.where("codes is not null").join(known, "block").select("block", "codes", F.col("known.at").alias("at"), F.col("known.id").alias("id"))
 
     def ids_of(codes: memoryview, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
         codes = np.frombuffer(codes, np.int32)

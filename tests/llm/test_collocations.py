@@ -86,3 +86,14 @@ def test_merged_filters():
         want.update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
     keys, counts = C.merge(parts)
     assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == want and sorted(want) == keys.tolist()
+
+
+def test_dictionaries_come_in_small_rows(spark, monkeypatch):
+    monkeypatch.setattr(C, "ENTRIES", 7)
+    texts = [(" ".join(f"w{(i * k) % 50}" for k in range(1, 60)), "en" if i % 2 else None) for i in range(40)]
+    df = spark.createDataFrame(texts, "text string, lang string").coalesce(2)
+    rows = C.blocks(df, "text", "lang", 500).collect()
+    assert max(len(x["words"]) for x in rows) == 7 and all((x["codes"] is None) == (x["at"] > 0) == (not x["sizes"]) for x in rows)
+    assert len({(x["block"], x["at"]) for x in rows}) == len(rows) > len({x["block"] for x in rows}) > 2
+    got = C.collocations(df, least=5, block=500, size=64).collect()
+    assert {tuple(x[k] for k in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for x in got} == plain(texts, 5, top=2000)
